@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query, module.
 _OPS = {
     "op2_mixing": "mixing",
+    "op4_packing": "packing",
     "op5_sharding": "sharding",
 }
 
