@@ -6,9 +6,11 @@ from importlib import import_module
 
 #: Query, module.
 _OPS = {
+    "op1_licenses": "licenses",
     "op2_mixing": "mixing",
     "op4_packing": "packing",
     "op5_sharding": "sharding",
+    "op9_fingerprints": "fingerprints",
 }
 
 
