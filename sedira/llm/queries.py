@@ -10,6 +10,7 @@ _OPS = {
     "op2_mixing": "mixing",
     "op4_packing": "packing",
     "op5_sharding": "sharding",
+    "op6_substrings": "substrings",
     "op8_jaccard": "jaccard",
     "op9_fingerprints": "fingerprints",
 }
