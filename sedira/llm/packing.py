@@ -14,7 +14,9 @@ struct, so that no name clashes.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +28,25 @@ from sedira.llm.common import Scratch, gapless, read
 
 LENGTH = 2048
 END = 0
-#: Characters that str.split() takes for white space and the tokenizer does not (fixed values).
-_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-_CACHE: dict[str, tuple[object, dict, dict]] = {}
+#: White space to str.split() but not to the tokenizer, letters whose lower case depends on their place, and what special tokens begin with (fixed values).
+_ODD = re.compile(r"[\x1c-\x1f\u03a3\u0130]|<\|")
+#: A full stop or comma that ends a chunk after a letter or digit.
+_MARK = re.compile(r"(?<=[^\W_])([.,])(?=\s|\Z)")
+_PLAIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 #: Chunks whose ids a worker remembers, in each of two generations; a bound of memory, not of what is encoded.
-CACHE_CHUNKS = 150_000
+CACHE_CHUNKS = 400_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write the bytes of the letters 80 to FF: a printable byte as itself, the others from 256 on in order."""
+    own = [b for r in ((33, 127), (161, 173), (174, 256)) for b in range(*r)]
+    other = [b for b in range(256) if b not in own]
+    as_char = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(other)}
+    return {c: "".join(as_char[b] for b in chr(c).encode()) for c in range(128, 256)}
+
+
+_BYTES = _byte_letters()
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def default_tokenizer() -> str:
@@ -39,12 +55,31 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Chunks(dict):
+    """Ids of a chunk, found when first asked for; two generations bound the memory."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            if _PLAIN.fullmatch(chunk):  # normal form, lower case, one piece: only the merges are left to do
+                ids = array("I", [t.id for t in self.model.tokenize(chunk.translate(_BYTES))]).tobytes()
+            else:
+                ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        self[chunk] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and lets no token cross it, so the ids of a text are those of its chunks between white
-    space, which are looked up in a cache of two generations. A text with a character on which the two notions of white
-    space differ is encoded whole.
+    The tokenizer folds case, drops white space and lets no token cross it, nor one go from a letter or digit to a
+    following full stop or comma, so the ids of a text are those of its chunks between such places, which are looked up in
+    a cache. Texts on whose chunks the two notions of white space, case or special tokens could differ are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -52,38 +87,22 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.chunks = _Chunks(self.tokenizer)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > CACHE_CHUNKS:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        odd = {k for k, t in enumerate(texts) if any(c in t for c in _ODD)}
-        split = [t.split() if k not in odd else () for k, t in enumerate(texts)]
-        seen = set().union(*split)
-        seen.difference_update(young)
-        new = []
-        for w in seen:
-            if (x := old.get(w)) is not None:
-                young[w] = x
-            else:
-                new.append(w)
-        young.update(zip(new, self._whole(new)))
-        get = young.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        for k in odd:
-            out[k] = self._whole([texts[k]])[0]
-        return out
+    def encode(self, text: str) -> bytes:
+        if _ODD.search(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self.chunks) > CACHE_CHUNKS:
+            old = self.chunks
+            self.chunks = _Chunks(self.tokenizer)
+            self.chunks.old = dict(old)
+        return b"".join(map(self.chunks.__getitem__, _MARK.sub(r" \1", text.lower()).split()))
 
 
 def _encoder(path: str) -> Encoder:
-    if path not in _CACHE:
-        _CACHE[path] = Encoder(path)
-    return _CACHE[path]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -94,10 +113,9 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [t or "" for t in part.column("text").to_pylist()]
                 rows: list[tuple] = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(texts)):
-                    ids += tail
+                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    ids = encoder.encode(text or "") + tail
                     for k, o in enumerate(range(0, len(ids), step)):
                         p = ids[o : o + step]
                         rows.append((doc, k, o // 4, len(p) // 4, zlib.crc32(p), p if with_ids else None))
