@@ -11,6 +11,7 @@ _OPS = {
     "op4_packing": "packing",
     "op5_sharding": "sharding",
     "op6_substrings": "substrings",
+    "op7_langid": "langid",
     "op8_jaccard": "jaccard",
     "op9_fingerprints": "fingerprints",
 }
