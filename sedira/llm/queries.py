@@ -8,6 +8,7 @@ from importlib import import_module
 _OPS = {
     "op1_licenses": "licenses",
     "op2_mixing": "mixing",
+    "op3_neardup_vectors": "neardup_vectors",
     "op4_packing": "packing",
     "op5_sharding": "sharding",
     "op6_substrings": "substrings",
