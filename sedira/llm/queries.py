@@ -15,6 +15,7 @@ _OPS = {
     "op7_langid": "langid",
     "op8_jaccard": "jaccard",
     "op9_fingerprints": "fingerprints",
+    "op10_brown": "brown",
 }
 
 
