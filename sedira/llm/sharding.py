@@ -72,7 +72,7 @@ def _histogram(rows: DataFrame, probes: list[Key]) -> tuple[np.ndarray, np.ndarr
 
     out = np.zeros((2, len(ph) + 1), np.int64)
     found = rows.select("shard_h", "shard_i", "shard_size").mapInArrow(count, "bin long, bytes long, n long")
-    for r in found.groupBy("bin").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).toLocalIterator():
+    for r in found.groupBy("bin").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).collect():  # a row a bin
         out[:, r["bin"]] = r["bytes"], r["n"]
     return out[0], out[1]
 
@@ -85,6 +85,17 @@ def _between(lo: Key, hi: Key, n: int) -> list[Key]:
     return sorted({((k >> 64) + (1 if k & _TOP else 0), 0) if wide else (k >> 64, k & _TOP) for k in keys if a < k < b})
 
 
+def _from_sample(rows: DataFrame, shards: int, most: int = 4096) -> list[Key]:
+    """The first probes: the keys of `most` rows with the least hash of the id, and within a text that makes up much of them, evenly spaced hashes of ids. Counts are exact whatever is probed; good probes save turns."""
+    found = rows.select("shard_h").orderBy("shard_i").limit(max(most, 64 * shards)).toPandas()["shard_h"].to_numpy(np.int64)
+    h, n = np.unique(found.view(np.uint64) ^ np.uint64(1 << 63), return_counts=True)
+    out = {(int(x), 0) for x in h}
+    for x, k in zip(h.tolist(), n.tolist()):
+        if k * shards * 8 > len(found):
+            out |= {(x, _TOP * j // (4 * k)) for j in range(4 * k)} | {(x + 1, 0)}
+    return sorted(k for k in out if k[0] <= _TOP) or [(1 << 63, 0)]
+
+
 def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE, probes: int = PROBES) -> list[Key]:
     """shards - 1 keys; what is at or above the k-th, and below the next, is shard k."""
     if shards < 2:
@@ -92,7 +103,7 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE, probes
     lo: list[Key] = [(0, 0)] * (shards - 1)
     hi: list[Key] = [(1 << 64, 0)] * (shards - 1)
     best: list[tuple[float, Key]] = [(float("inf"), (_TOP, _TOP))] * (shards - 1)
-    first = _between((0, 0), (1 << 64, 0), shards * probes // 4)
+    first = _from_sample(rows, shards)
     for turn in range(40):
         ask = first if not turn else sorted({p for k in range(shards - 1) if best[k][0] > slack for p in _between(lo[k], hi[k], probes)})
         ask = [p for p in ask if p[0] <= _TOP]
