@@ -14,9 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedira.llm.common import WORD, read
+from sedira.llm.common import WORD, Scratch, read
 
 CAP = 3
+#: Sources whose table (a name and two numbers each) is broadcast at most.
+BROADCAST = 1 << 16
 
 
 def tokens(text: Column) -> Column:
@@ -51,9 +53,16 @@ def unit(seed: int, *of: Column) -> Column:
 
 
 def plan(docs: DataFrame, weight: Column | None = None, cap: int = CAP, seed: int = 2) -> DataFrame:
-    """The documents with mix_size, mix_source_size, mix_target and mix_copies (how often the mix holds each)."""
+    """The documents with mix_size, mix_source_size, mix_target and mix_copies (how often the mix holds each).
+
+    The table of sources is written and counted first: up to `BROADCAST` sources it is broadcast, and the documents stay
+    where they are read; beyond that the join is left to the optimizer.
+    """
+    spark = docs.sparkSession
     sized = docs.withColumn("mix_size", tokens(F.col("text")))
     by = targets(docs.select("source", tokens(F.col("text")).alias("mix_size")), weight, cap).select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
+    by = Scratch(spark).keep(by, "sources")
+    by = F.broadcast(by) if by.count() <= BROADCAST else by
     joined = sized.join(by, sized["source"].eqNullSafe(by["mix_source"])).drop("mix_source")
     rate = F.when(F.col("mix_source_size") > 0, F.least(F.lit(float(cap)), F.col("mix_target") / F.col("mix_source_size"))).otherwise(1.0)
     whole = F.floor(rate)
