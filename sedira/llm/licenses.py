@@ -11,12 +11,13 @@ code point; repeated documents each give a row; an empty table gives none. `scan
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedira.llm.common import read
+from sedira.llm.common import Scratch, read
 
 #: Equivalent spellings of the public licence matching guidelines (this word counts as that one).
 EQUIVALENT = {
@@ -72,23 +73,25 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
 }
+#: Known digests (64 bytes and a name each) that are broadcast at most.
+BROADCAST = 1 << 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that only states a copyright (a fixed pattern, both in Java's and in RE2's syntax).
 COPYRIGHT = r"(?m)^[ \t#*/;.-]*(copyright|\(c\)|©)[^\n]*$"
 
 
-def canonical(text: Column) -> Column:
-    """Letters A-Z in lower case, copyright lines and everything but a-z, 0-9 and non-ASCII characters dropped, equivalent spellings made one; words apart by one space."""
-    t = F.translate(text, _UPPER, _LOWER)
-    t = F.regexp_replace(t, COPYRIGHT, "")
-    t = F.concat(F.lit(" "), F.regexp_replace(t, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" "))
-    t = reduce(lambda c, ab: F.replace(c, F.lit(f" {ab[0]} "), F.lit(f" {ab[1]} ")), sorted(EQUIVALENT.items()), t)
-    return F.trim(t)
+def _plain(text: Column) -> Column:
+    """Letters A-Z in lower case; copyright lines and everything but a-z, 0-9 and non-ASCII characters dropped; words between single spaces."""
+    t = F.regexp_replace(F.translate(text, _UPPER, _LOWER), COPYRIGHT, "")
+    return F.concat(F.lit(" "), F.regexp_replace(t, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), F.lit(" "))
 
 
-def digest(text: Column) -> Column:
-    c = canonical(text)
-    return F.when(c != "", F.sha2(c, 256))
+def with_digest(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """`keep` and digest: the SHA-256 of the canonical form of `text`, null if that is empty. Spellings are only replaced in texts that have one of them; each step is a column, so that none is computed twice."""
+    spelled = F.col("_plain").rlike(f" ({'|'.join(sorted(EQUIVALENT))}) ")
+    one = reduce(lambda c, ab: F.replace(c, F.lit(f" {ab[0]} "), F.lit(f" {ab[1]} ")), sorted(EQUIVALENT.items()), F.col("_plain"))
+    rows = rows.select(*keep, _plain(F.col("text")).alias("_plain")).select(*keep, F.trim(F.when(spelled, one).otherwise(F.col("_plain"))).alias("_form"))
+    return rows.select(*keep, F.nullif(F.sha2("_form", 256), F.lit(hashlib.sha256(b"").hexdigest())).alias("digest"))
 
 
 def known(spark: SparkSession) -> DataFrame:
@@ -96,9 +99,11 @@ def known(spark: SparkSession) -> DataFrame:
 
 
 def scan(docs: DataFrame, licenses: DataFrame) -> DataFrame:
-    """doc (struct of the input's columns), digest, license_id (null: no known licence's text). The join is left to the optimizer, which broadcasts the digests only if their size allows it."""
-    table = licenses.select(digest(F.col("text")).alias("digest"), "license_id").where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
-    return docs.select(F.struct("*").alias("doc"), digest(F.col("text")).alias("digest")).join(table, "digest", "left")
+    """doc (struct of the input's columns), digest, license_id (null: no known licence's text). Up to `BROADCAST` known digests are broadcast, so that documents are not exchanged; beyond that the optimizer chooses the join."""
+    table = with_digest(licenses, ["license_id"]).where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    table = Scratch(docs.sparkSession).keep(table, "licenses")
+    table = F.broadcast(table) if table.count() <= BROADCAST else table
+    return with_digest(docs.select(F.struct("*").alias("doc"), "text"), ["doc"]).join(table, "digest", "left")
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
