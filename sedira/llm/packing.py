@@ -243,7 +243,7 @@ def pack(cut: DataFrame, scratch: Scratch, length: int = LENGTH, rows_per_task:
     up by a binary search.
     """
     spark = cut.sparkSession
-    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}  # at most `length` rows
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `length` rows
     slots = _slots(strategy(histogram, length), length)
     n = sum(histogram.values())
     buckets = max(8, n // rows_per_task)
