@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedira.llm.common import Scratch, doc_crc, read, slices, spans, text_buffers, word_hashes
+from sedira.llm.common import Scratch, doc_crc, gathered, read, slices, spans, text_buffers, word_hashes
 
 HEAD, TAILS, CLASSES = 447, 576, 48
 KNOWN = 1 << 18
@@ -53,13 +53,14 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def vocabulary(training: DataFrame) -> DataFrame:
     """(h, tail, c): the count of every word."""
 
+    def both(b: pa.RecordBatch) -> np.ndarray:
+        h, tail, _ = _words(b.column("text"))
+        return np.stack([h.view(np.int64), tail], 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            got = [_words(b.column("text"))[:2] for b in slices(whole)]
-            if got:
-                h, tail = (np.concatenate(x) for x in zip(*got))
-                h, first, c = np.unique(h, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(tail[first].astype(np.int16)), pa.array(c.astype(np.int64))], ["h", "tail", "c"])
+        for x in gathered((both(b) for whole in batches for b in slices(whole)), 2 << 20):
+            h, first, c = np.unique(x[:, 0], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(x[first, 1].astype(np.int16)), pa.array(c.astype(np.int64))], ["h", "tail", "c"])
 
     return training.select("text").mapInArrow(run, "h long, tail short, c long").groupBy("h").agg(F.first("tail").alias("tail"), F.sum("c").alias("c"))
 

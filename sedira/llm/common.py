@@ -19,7 +19,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 2 << 20
 
 
+#: Rows of an Arrow batch at most: texts can be long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 1500
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    _bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -44,6 +54,7 @@ class Scratch:
     """Tables written once to the shared folder, which cuts lineage: a lost executor costs a re-read, not a recomputation."""
 
     def __init__(self, spark: SparkSession):
+        _bound_batches(spark)
         self.spark, self.base = spark, f"{_shared_dir(spark)}/sedira-{uuid.uuid4().hex}"
         atexit.register(_delete, spark, self.base)
 
@@ -177,6 +188,20 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarra
     return out, to
 
 
+def gathered(parts: Iterator[np.ndarray], at_least: int = 4 << 20) -> Iterator[np.ndarray]:
+    """Arrays put together until they hold so many numbers: what is combined before an exchange, in bounded memory."""
+    held: list[np.ndarray] = []
+    size = 0
+    for p in parts:
+        held.append(p)
+        size += len(p)
+        if size >= at_least:
+            yield np.concatenate(held)
+            held, size = [], 0
+    if size:
+        yield np.concatenate(held)
+
+
 # ---- rows of a key together, on partitions that are sorted by the key ------------------------------------------
 
 

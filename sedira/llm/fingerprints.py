@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedira.llm.common import mix, parts, read
+from sedira.llm.common import Scratch, mix, parts, read
 
 K, W = 16, 64
+#: Ranges of doc_id whose first ids are broadcast at most.
+BROADCAST = 1 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 _MUL = 0x9E3779B97F4A7C15
 
@@ -104,6 +106,7 @@ def with_next(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     there as well, which is one more row a range.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     docs = docs.select("doc_id", "text")
     n = parts(spark)
     cuts = np.unique(np.array(docs.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []))
@@ -119,6 +122,8 @@ def with_next(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     circle = Window.orderBy("part")  # one row a range
     whole = circle.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = first.select(F.col("part").alias("own"), "first_id", F.coalesce(F.lag("part").over(circle), F.max("part").over(whole)).alias("part"))
+    first = scratch.keep(first, "first")
+    first = F.broadcast(first) if first.count() <= BROADCAST else first  # a few numbers a range
     heads = docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"])).groupBy(first["part"], docs["doc_id"]).agg(F.min("text").alias("text"))
     fed = rows.select("part", F.lit(0).alias("follows"), "doc_id", "text").unionByName(heads.select("part", F.lit(1).alias("follows"), "doc_id", "text"))
     fed = fed.repartition(max(n, len(cuts) + 1), "part").sortWithinPartitions("part", "follows", F.col("doc_id").asc_nulls_last(), "text")

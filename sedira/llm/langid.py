@@ -27,14 +27,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedira.llm.common import doc_crc, read
+from sedira.llm.common import Scratch, doc_crc, read
 
 SAMPLE = 600
+#: Languages whose counts are broadcast at most.
+BROADCAST = 1 << 16
 SWITCH = 6.0
 UNKNOWN = "und"
 WORDS = re.compile(r"[^\W\d_]+")
 #: Words of which a worker remembers the scores, in each of two generations.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 #: First code points of runs of one script, and the script (fixed values: the blocks of the public code charts, summarily).
 SCRIPTS = [
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
@@ -117,6 +119,8 @@ def sample(docs: DataFrame, each: int = SAMPLE) -> DataFrame:
     counts = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
     # a hash is uniform: this share of its range holds some more than `each` texts, of which the least `each` are taken
     share = F.least(F.lit(1.0), (F.lit(each) + 4 * math.sqrt(each)) / F.col("n"))
+    counts = Scratch(docs.sparkSession).keep(counts, "counts")
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST else counts  # a row a language
     chosen = labelled.join(counts, "lang").where((F.pmod("h", F.lit(1 << 40)) / float(1 << 40)) < share).dropDuplicates(["lang", "h"])
     from pyspark.sql import Window
 

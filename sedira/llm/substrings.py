@@ -7,7 +7,7 @@ spans are joined globally, and a sentence goes if any span that covers it occurs
 doc_id, or before it in the same one. A repeated passage of whole sentences goes as a whole if it has at least twice
 `words` words, since each of its sentences then starts or ends a span within it.
 
-Spans that very many documents share are found first, by counts within batches; their first occurrences come from an
+Spans that very many documents share are found first, by counts within parts of the input; their first occurrences come from an
 aggregate that combines before it exchanges, and are joined by broadcast (their number is bounded). All other spans are
 exchanged once by hash and read in order, so no group is ever held.
 
@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedira.llm.common import Scratch, _powers, mix, parts, read, slices, spans, text_buffers, word_hashes
+from sedira.llm.common import _powers, gathered, mix, parts, read, slices, spans, text_buffers, word_hashes
 
 WORDS = 24
-#: A span found `HOT_HERE` times in a batch counts as hot; the list has at most `HOT_MOST` entries (under 4 MB).
+#: A span found `HOT_HERE` times in a few million counts as hot; the list has at most `HOT_MOST` entries (under 4 MB).
 HOT_HERE, HOT_MOST = 16, 1 << 17
 _AFTER = np.zeros(256, bool)
 _AFTER[list(b"\"')]}")] = True
@@ -104,9 +104,8 @@ def _rows(docs: DataFrame, words: int, hot, keep_hot: bool) -> DataFrame:
 
 def _hot(docs: DataFrame, words: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            found = [Sentences(b.column("text")).runs(words)[0] for b in slices(whole)]
-            h, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        for h in gathered(Sentences(b.column("text")).runs(words)[0] for whole in batches for b in slices(whole)):
+            h, n = np.unique(h, return_counts=True)
             n, h = n[n >= HOT_HERE], h[n >= HOT_HERE]
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 

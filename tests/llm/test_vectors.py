@@ -27,7 +27,8 @@ def brute(x, t):
 @pytest.mark.parametrize("small", [False, True])
 def test_near_duplicates(spark, small, monkeypatch):
     if small:  # leaves, tiles and lists that overflow
-        monkeypatch.setattr(nv, "LEAF_MOST", 40)
+        monkeypatch.setattr(nv, "LEAF", 16)
+        monkeypatch.setattr(nv, "LEAF_MOST", 60)
         monkeypatch.setattr(nv, "TILE", 16)
     rng = np.random.default_rng(2)
     base = rng.standard_normal((200, 24)).astype(np.float32)
