@@ -34,7 +34,7 @@ _ODD = re.compile(r"[\x1c-\x1f\u03a3\u0130]|<\|")
 _MARK = re.compile(r"(?<=[^\W_])([.,])(?=\s|\Z)")
 _PLAIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 #: Chunks whose ids a worker remembers, in each of two generations; a bound of memory, not of what is encoded.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 200_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -130,52 +130,67 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END
 # ---- the fit, over a histogram of at most `length` numbers ----------------------------------------------------------
 
 
-def patterns(present: np.ndarray, length: int) -> np.ndarray:
-    """Multisets of one, two or three of the present lengths that add up to `length`, as rows padded with 0; ascending."""
-    has = np.zeros(length + 1, bool)
-    has[present] = True
-    out = [np.array([[0, 0, length]])] if has[length] else []
-    a = present[present <= length // 2]
-    two = a[has[length - a]]
-    out.append(np.stack([np.zeros_like(two), two, length - two], 1))
+def patterns(present: np.ndarray, length: int, slack: int = 0) -> np.ndarray:
+    """Multisets of one, two or three of the present lengths that add up to `length`, or to at most `slack` less, as rows padded with 0; ascending."""
+    present = np.sort(present)
+    out = [np.stack([np.zeros((n := present[present >= length - slack]).size, np.int64)] * 2 + [n], 1)]
+
+    def with_third(x: int, rows: np.ndarray) -> np.ndarray:
+        """(x, b, c) with b of `rows`, c at least b, and the sum within the slack."""
+        lo = np.maximum(np.searchsorted(present, length - slack - x - rows, "left"), np.searchsorted(present, rows, "left"))
+        n = np.maximum(np.searchsorted(present, length - x - rows, "right") - lo, 0)
+        c = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+        return np.stack([np.full(len(c), x), np.repeat(rows, n), present[c]], 1)
+
+    out.append(with_third(0, present[present <= length // 2]))
     for x in present[present <= length // 3]:
-        b = present[(present >= x) & (present <= (length - x) // 2)]
-        b = b[has[length - x - b]]
-        out.append(np.stack([np.full_like(b, x), b, length - x - b], 1))
-    return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+        out.append(with_third(int(x), present[(present >= x) & (present <= (length - x) // 2)]))
+    return np.concatenate(out)
 
 
-def fit(counts: np.ndarray, pats: np.ndarray, rounds: int = 150) -> np.ndarray:
-    """Non-negative least squares, min |A x - counts| with column p of A holding pattern p, by multiplicative updates on the sparse A."""
+def fit(counts: np.ndarray, pats: np.ndarray, rounds: int = 2000) -> np.ndarray:
+    """Non-negative least squares, min |W (A x - counts)| with column p of A holding pattern p, by multiplicative updates on the sparse A. W weighs lengths by their size: a long piece that is left over costs a sequence, short ones fill gaps."""
     size = len(counts)
+    weight = (np.arange(size) / size) ** 2
 
     def through(x: np.ndarray) -> np.ndarray:
-        y = sum(np.bincount(pats[:, k], x, size) for k in range(3))
-        y[0] = 0
-        return y
+        return sum(np.bincount(pats[:, k], x, size) for k in range(3)) * weight
 
     back = lambda y: y[pats[:, 0]] + y[pats[:, 1]] + y[pats[:, 2]]
-    target = counts.astype(float)
-    target[0] = 0
+    target = counts * weight
     want = back(target)
-    x = np.full(len(pats), target.sum() / max(1, 3 * len(pats)))
-    for _ in range(rounds):
-        x *= want / np.maximum(back(through(x)), 1e-12)
+    x = np.full(len(pats), counts[1:].sum() / max(1, 3 * len(pats)))
+    before = np.inf
+    for k in range(rounds):
+        y = through(x)
+        if k % 50 == 49:
+            now = float((np.square(y - target) / np.maximum(weight, 1e-9)).sum())
+            if now > before * 0.99:
+                break
+            before = now
+        x *= want / np.maximum(back(y), 1e-12)
     return x
 
 
+#: Patterns that are fitted at most: the slack is the widest of 0, 1, 2, 4, ... that stays within.
+PATTERNS = 400_000
+
+
 def strategy(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, tuple[int, ...]]]:
-    """(repeats, lengths in a sequence): a packing of the whole histogram."""
+    """(repeats, lengths in a sequence): a packing of the whole histogram. Patterns with a piece of over half a sequence, which must have one to itself, are used first."""
     left = np.zeros(length + 1, np.int64)
     for k, n in histogram.items():
         left[k] = n
     plan: list[tuple[int, tuple[int, ...]]] = []
-    present = np.flatnonzero(left)
-    pats = patterns(present, length)
+    pats = patterns(np.flatnonzero(left), length)
+    for slack in (1, 2, 4, 8, 16, 32):
+        if len(pats) * 3 > PATTERNS:
+            break
+        pats = patterns(np.flatnonzero(left), length, slack)
     if len(pats):
         x = np.floor(fit(left, pats) + 1e-6).astype(np.int64)
         used = np.flatnonzero(x)
-        for p in used[np.argsort(-x[used], kind="stable")]:
+        for p in used[np.lexsort((-x[used], pats[used, 2] <= length // 2))]:
             parts, need = np.unique(pats[p][pats[p] > 0], return_counts=True)
             if n := int(min(x[p], (left[parts] // need).min())):
                 left[parts] -= n * need
