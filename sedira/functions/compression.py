@@ -284,6 +284,11 @@ class _Words:
         self.bits &= (1 << self.n) - 1
         return v
 
+    def fill(self) -> None:
+        """A word more if fewer than 16 bits are held."""
+        if self.n < 16:
+            self.need(self.n + 16)
+
     def symbol(self, code: tuple) -> int:
         table, width = code
         self.need(width)
@@ -328,8 +333,8 @@ def lzx(data: bytes, size: int = 32768, window: int = 32768, call_size: int = 12
         kind = bits.pull(3)
         left = 32768 if bits.pull(1) else bits.pull(16)
         if kind == 3:
-            if bits.n >= 16 or bits.n == 0:
-                bits.at += 2 if bits.n == 0 else -2 * (bits.n // 16 - 1) if bits.n > 16 else 0
+            # to the next 16-bit boundary, a whole word on if there already; words read ahead are given back
+            bits.at += (2 if bits.n % 16 == 0 else 0) - 2 * (bits.n // 16)
             bits.bits = bits.n = 0
             recent = list(struct.unpack_from("<III", data, bits.at))
             out += data[bits.at + 12 : bits.at + 12 + left]
@@ -432,35 +437,41 @@ def lzxpress_huffman(data: bytes, size: int) -> bytes:
         bits.need(32)
         end = min(size, len(out) + 65536)
         while len(out) < end:
-            if bits.n < 16:
-                bits.need(32 if bits.n + 16 <= 32 else 16)
             s = bits.symbol(code)
+            bits.fill()
             if s < 256:
                 out.append(s)
-                if bits.n < 16:
-                    bits.need(bits.n + 16)
                 continue
-            s -= 256
-            n, k = s & 15, s >> 4
+            n, k = s - 256 & 15, s - 256 >> 4
             if n == 15:
-                n = data[bits.at]
+                n = data[bits.at] + 15
                 bits.at += 1
-                if n == 255:
-                    n = struct.unpack_from("<H", data, bits.at)[0] - 15
+                if n == 270:
+                    n = struct.unpack_from("<H", data, bits.at)[0]
                     bits.at += 2
-                n += 15
-            if bits.n < 16:
-                bits.need(bits.n + 16)
+                    if not n:
+                        n = struct.unpack_from("<I", data, bits.at)[0]
+                        bits.at += 4
             far = (1 << k) + bits.pull(k)
-            if bits.n < 16:
-                bits.need(bits.n + 16)
+            bits.fill()
             _copy(out, far, n + 3)
-        at = bits.at - 2 * ((bits.n - 16) // 16) if bits.n >= 16 else bits.at
         at = bits.at
     return bytes(out[:size])
 
 
+def _qcow(data: bytes, size: int | None) -> bytes:
+    """A raw deflate stream that may be followed by padding."""
+    return zlib.decompressobj(-15).decompress(data)
+
+
+def _lzma(data: bytes, size: int | None) -> bytes:
+    import lzma
+
+    return lzma.decompress(data)
+
+
 CODECS = {
+    "qcow": _qcow, "lzma": _lzma,
     "zlib": lambda d, n: zlib.decompress(d), "deflate": lambda d, n: zlib.decompress(d, -15), "bzip2": lambda d, n: bz2.decompress(d),
     "adc": adc, "lznt1": lznt1, "lzvn": lzvn, "lzfse": lzfse, "lzx": lambda d, n: lzx(d, n or 32768), "lzxpress": lzxpress, "lzxpress_huffman": lzxpress_huffman,
 }
