@@ -1,7 +1,7 @@
 """Character encodings and base64.
 
-Code pages that the JDK has are decoded in the JVM (spark.sql.legacy.javaCharsets opens all of them); the few it lacks are
-256-entry tables. Case folding is by single UCS-2 units, as file systems compare names, not by upper().
+Code pages that the JDK has are decoded in the JVM if the session opens them (spark.sql.legacy.javaCharsets) and replaces
+what has no character (spark.sql.legacy.codingErrorAction); else, and for the few it lacks, by Python's tables over Arrow. Case folding is by single UCS-2 units, as file systems compare names, not by upper().
 """
 
 from __future__ import annotations
@@ -68,7 +68,7 @@ def decode(data: Column, charset: str) -> Column:
     """Text of bytes. The JVM decodes unless the JDK lacks the charset or the session keeps to the short list."""
     java = CHARSETS[charset]
     session = SparkSession.getActiveSession()
-    every = session is not None and session.conf.get("spark.sql.legacy.javaCharsets", "false") == "true"
+    every = session is not None and all(session.conf.get(f"spark.sql.legacy.{x}", "false") == "true" for x in ("javaCharsets", "codingErrorAction"))
     if java and (every or java in ("US-ASCII", "UTF-8", "UTF-16LE", "UTF-16BE", "ISO-8859-1")):
         return F.decode(data, java)
     if charset in JDK_ONLY:

@@ -381,7 +381,8 @@ def name_casefold(spark, d):
 
 def _codepage(charset: str):
     def run(spark, d):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        for setting in ("javaCharsets", "codingErrorAction"):
+            spark.conf.set(f"spark.sql.legacy.{setting}", "true")
         docs = _t(spark, d, "documents").select("doc_id", "text").withColumn("raw", codec.encode(F.col("text"), charset)).where("raw is not null")
         return docs.select("doc_id", codec.decode(F.col("raw"), charset).alias("text"))
 

@@ -60,6 +60,9 @@ class _Reader(DataSourceReader):
     def files(self) -> list[str]:
         return _files(self.o["path"])
 
+    def plain_files(self) -> list[str]:
+        return [p for p in self.files() if os.path.isfile(p)]
+
     def failed(self, error: Exception) -> list[str]:
         if self.strict:
             raise error
@@ -100,7 +103,7 @@ class BlobChunks(_Reader):
         size, per = int(self.o.get("chunk", str(1 << 20))), int(self.o.get("per_partition", "64"))
         base = int(self.o.get("offset", "0"))
         out = []
-        for p in self.files():
+        for p in self.plain_files():
             n = os.path.getsize(p) - base
             if n <= 0:
                 if not self.strict:
@@ -119,6 +122,9 @@ class BlobChunks(_Reader):
 class HeadTail(_Reader):
     """What signatures need: the first `head` and last `tail` bytes (4104 and 512), one after the other."""
 
+    def partitions(self):
+        return [Part(p) for p in self.plain_files()]
+
     def read(self, part):
         f = FileStream(part.path)
         head, tail = int(self.o.get("head", "4104")), int(self.o.get("tail", "512"))
