@@ -20,7 +20,7 @@ CHARSETS = {
     "iso8859_9": "ISO-8859-9", "iso8859_10": None, "iso8859_11": "x-iso-8859-11", "iso8859_13": "ISO-8859-13",
     "iso8859_14": None, "iso8859_15": "ISO-8859-15", "iso8859_16": "ISO-8859-16",
     "koi8_r": "KOI8-R", "koi8_u": "KOI8-U",
-    "mac_arabic": "x-MacArabic", "mac_celtic": None, "mac_centraleurope": "x-MacCentralEurope", "mac_croatian": "x-MacCroatian",
+    "mac_arabic": None, "mac_celtic": None, "mac_centraleurope": "x-MacCentralEurope", "mac_croatian": "x-MacCroatian",
     "mac_cyrillic": "x-MacCyrillic", "mac_dingbats": "x-MacDingbat", "mac_farsi": None, "mac_gaelic": None, "mac_greek": "x-MacGreek",
     "mac_icelandic": "x-MacIceland", "mac_roman": "x-MacRoman", "mac_romanian": "x-MacRomania", "mac_russian": "x-MacCyrillic", "mac_symbol": "x-MacSymbol",
     "mac_thai": "x-MacThai", "mac_turkish": "x-MacTurkish", "mac_ukrainian": "x-MacUkraine",
@@ -29,7 +29,7 @@ CHARSETS = {
     "windows1254": "windows-1254", "windows1255": "windows-1255", "windows1256": "windows-1256", "windows1257": "windows-1257", "windows1258": "windows-1258",
 }
 #: Those that Python has, for the JDK's gaps and for row-wise use inside readers.
-PYTHON = {"iso8859_10": "iso8859_10", "iso8859_14": "iso8859_14", "mac_farsi": "mac_farsi", "windows932": "cp932", "windows936": "gbk", "windows949": "cp949", "windows950": "cp950", "windows874": "cp874", "utf16le": "utf-16-le", "utf16be": "utf-16-be", "iso8859_11": "iso8859_11", "mac_centraleurope": "mac_centeuro", "mac_icelandic": "mac_iceland", "mac_russian": "mac_cyrillic", "ascii": "ascii", "utf8": "utf-8"} | {f"windows{n}": f"cp{n}" for n in range(1250, 1259)}
+PYTHON = {"iso8859_10": "iso8859_10", "iso8859_14": "iso8859_14", "mac_arabic": "mac_arabic", "mac_farsi": "mac_farsi", "windows932": "cp932", "windows936": "gbk", "windows949": "cp949", "windows950": "cp950", "windows874": "cp874", "utf16le": "utf-16-le", "utf16be": "utf-16-be", "iso8859_11": "iso8859_11", "mac_centraleurope": "mac_centeuro", "mac_icelandic": "mac_iceland", "mac_russian": "mac_cyrillic", "ascii": "ascii", "utf8": "utf-8"} | {f"windows{n}": f"cp{n}" for n in range(1250, 1259)}
 #: Those that only the JDK has.
 JDK_ONLY = ("mac_dingbats", "mac_symbol", "mac_thai", "mac_ukrainian")
 #: Where Mac Celtic and Mac Gaelic differ from Mac Roman (byte: code point).

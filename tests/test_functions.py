@@ -220,7 +220,7 @@ def test_lzx():
     tree = lambda lengths: "".join(format(n, "04b") for n in pre) + "".join(pre_code[(0 - n) % 17] for n in lengths)
     code, long = huffman(main), huffman(length)
     bits = "001" + "0" + format(30, "016b") + tree(main[:256]) + tree(main[256:]) + tree(length)
-    bits += code[97] + code[98] + code[99] + code[256 + 8 * 4 + 7] + "1" + long[10] + code[256 + 2] + code[98] + code[97]
+    bits += code[97] + code[98] + code[99] + code[256 + 8 * 4 + 7] + long[10] + "1" + code[256 + 2] + code[98] + code[97]
     want = bytearray(b"abc")
     for n in (19, 4):
         for _ in range(n):
