@@ -655,3 +655,128 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     null = F.lit(None).cast("string")
     name = F.concat(F.lit("/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))
     return e.select("doc_id", "format", "md5", bodyfile.line(F.col("md5"), name, F.col("doc_id"), text.mode_string_posix(F.lit(0o100644)), null, null, F.col("n_chars"), null, null, null, null).alias("line"))
+
+
+# ---- rules of formats ------------------------------------------------------------------------------------------------------
+
+
+def _le(value, width):
+    """Little-endian bytes of an integer column."""
+    h = F.lpad(F.hex(value), 2 * width, "0")
+    return F.concat(*(F.unhex(F.substring(h, 2 * k + 1, 2)) for k in reversed(range(width))))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 1 THEN 128 ELSE 0 END::BIGINT AS flags, (p_partkey % 256)::BIGINT AS type, (p_partkey * 7)::BIGINT AS start_lba, (p_size * 1000)::BIGINT AS sectors FROM part")
+def layout_mbr_entry(spark, d):
+    from sedira.functions import formats
+
+    flags = F.when(F.col("p_size") % 2 == 1, F.unhex(F.lit("80"))).otherwise(F.unhex(F.lit("00")))
+    raw = F.concat(flags, F.unhex(F.lit("010203")), _le(F.col("p_partkey") % 256, 1), F.unhex(F.lit("040506")), _le(F.col("p_partkey") * 7, 4), _le(F.col("p_size").cast("long") * 1000, 4))
+    return _t(spark, d, "part").select("p_partkey", binary.parse(raw, formats.MBR_ENTRY).alias("e")).select("p_partkey", "e.flags", "e.type", "e.start_lba", "e.sectors")
+
+
+@query("SELECT p_partkey, p_name AS name, (p_partkey * 2048)::DECIMAL(20, 0) AS first_lba, (p_partkey * 2048 + p_size)::DECIMAL(20, 0) AS last_lba, substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) || '-' || substr(h, 11, 2) || substr(h, 9, 2) || '-' || substr(h, 15, 2) || substr(h, 13, 2) || '-' || substr(h, 17, 4) || '-' || substr(h, 21) AS type FROM (SELECT *, md5(p_name) AS h FROM part) WHERE length(p_name) <= 36")
+def layout_gpt_entry(spark, d):
+    from sedira.functions import formats
+
+    uid = F.unhex(F.md5("p_name"))
+    name = F.unhex(F.rpad(F.hex(F.encode("p_name", "UTF-16LE")), 144, "0"))
+    raw = F.concat(uid, uid, _le(F.col("p_partkey") * 2048, 8), _le(F.col("p_partkey") * 2048 + F.col("p_size"), 8), _le(F.lit(0).cast("long"), 8), name)
+    return _t(spark, d, "part").where("length(p_name) <= 36").select("p_partkey", binary.parse(raw, formats.GPT_ENTRY).alias("e")).select("p_partkey", "e.name", "e.first_lba", "e.last_lba", "e.type")
+
+
+@query("SELECT o_orderkey, CASE WHEN c & 512 <> 0 OR i & 128960 <> 0 OR r & 888 <> 0 THEN 4 WHEN c & 4 <> 0 OR i & 12 <> 0 THEN 3 ELSE 2 END AS version FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 512 ELSE 56 END AS c, o_orderkey % 5 * 2 AS i, o_orderkey % 7 % 3 AS r FROM orders)")
+def ext_version(spark, d):
+    from sedira.functions import formats
+
+    k = F.col("o_orderkey")
+    c = F.when(k % 3 == 0, 4).when(k % 3 == 1, 512).otherwise(56)
+    return _t(spark, d, "orders").select("o_orderkey", formats.ext_version(c, (k % 5 * 2).cast("int"), (k % 7 % 3).cast("int")).alias("version"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 OR n >= 65525 THEN 32 WHEN n >= 4085 THEN 16 ELSE 12 END AS bits FROM (SELECT o_orderkey, o_orderkey * 13 % 100000 AS n FROM orders)")
+def fat_bits(spark, d):
+    from sedira.functions import formats
+
+    return _t(spark, d, "orders").select("o_orderkey", formats.fat_bits(F.col("o_orderkey") * 13 % 100000, F.when(F.col("o_orderkey") % 11 == 0, 2).otherwise(0)).alias("bits"))
+
+
+@query("SELECT event_id, event_id::VARCHAR || '-' || (user_id % 65536)::VARCHAR AS reference FROM events")
+def ntfs_reference(spark, d):
+    from sedira.functions import formats
+
+    return _t(spark, d, "events").select("event_id", formats.ntfs_reference(F.shiftleft(F.col("user_id") % 65536, 48).bitwiseOR(F.col("event_id"))).alias("reference"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 8 AS state, o_orderkey * 1048576 AS \"offset\", CASE WHEN o_orderkey % 8 = 6 THEN 'in_file' WHEN o_orderkey % 2 = 1 AND o_orderkey % 8 = 7 THEN 'by_bitmap' WHEN o_custkey % 2 = 1 AND o_orderkey % 8 = 0 THEN 'in_parent' ELSE 'sparse' END AS kind FROM orders WHERE NOT (o_orderkey % 8 = 7 AND o_custkey % 2 = 0)")
+def vhdx_block(spark, d):
+    from sedira.functions import formats
+
+    e = F.shiftleft(F.col("o_orderkey"), 20).bitwiseOR(F.col("o_orderkey") % 8)
+    rows = _t(spark, d, "orders").where("not (o_orderkey % 8 = 7 and o_custkey % 2 = 0)")
+    return rows.select("o_orderkey", formats.vhdx_block(e, F.col("o_custkey") % 2 == 1).alias("b")).select("o_orderkey", "b.state", "b.offset", "b.kind")
+
+
+@query("SELECT p_partkey, CASE WHEN n < 100 THEN 'E' || lpad(n::VARCHAR, 2, '0') ELSE chr((69 + (n - 100) // 676)::INT) || chr((65 + (n - 100) % 676 // 26)::INT) || chr((65 + (n - 100) % 26)::INT) END AS segment FROM (SELECT p_partkey, p_partkey % 14000 + 1 AS n FROM part)")
+def segment_names(spark, d):
+    from sedira.functions import formats
+
+    return _t(spark, d, "part").select("p_partkey", formats.segment_name(F.lit("E01"), F.col("p_partkey") % 14000 + 1).alias("segment"))
+
+
+@query("SELECT p_partkey, p_name AS name, p_size::BIGINT AS size FROM part")
+def plist_values(spark, d):
+    from sedira.functions import formats
+
+    xml = F.concat(F.lit('<?xml version="1.0"?><plist version="1.0"><dict><key>name</key><string>'), F.col("p_name"), F.lit("</string><key>band-size</key><integer>"), F.col("p_size").cast("string"), F.lit("</integer></dict></plist>"))
+    j = _t(spark, d, "part").select("p_partkey", formats.plist(xml.cast("binary")).alias("j"))
+    return j.select("p_partkey", F.get_json_object("j", "$.name").alias("name"), F.get_json_object("j", "$['band-size']").cast("long").alias("size"))
+
+
+@query("SELECT event_id, list_filter([CASE WHEN f & 1 <> 0 THEN 'is valid' END, CASE WHEN f & 2 <> 0 THEN 'is allocated' END, CASE WHEN f & 4 <> 0 THEN 'is in use' END, CASE WHEN f & 8 <> 0 THEN 'is bootable' END, CASE WHEN f & 16 <> 0 THEN 'is readable' END, CASE WHEN f & 32 <> 0 THEN 'is writable' END], lambda x: x IS NOT NULL) AS flags FROM (SELECT event_id, event_id % 64 AS f FROM events)")
+def flag_names(spark, d):
+    from sedira.operators import reports
+    from sedira.sources.volumes import APM_FLAGS
+
+    return _t(spark, d, "events").select("event_id", reports.flag_names(F.col("event_id") % 64, APM_FLAGS).alias("flags"))
+
+
+def _literal_codec(name: str, pack: Callable[[bytes], bytes]):
+    """A codec over streams of literal runs: what is packed comes out again."""
+
+    def run(spark, d):
+        from sedira.functions import compression
+
+        size = F.octet_length("text").cast("long")
+        packer = _packer(pack)
+        return _t(spark, d, "documents").where("length(text) > 0").select("doc_id", compression.decompress(packer("text"), name, size).cast("string").alias("text"))
+
+    run.__name__ = f"{name}_decode"
+    query("SELECT doc_id, text FROM documents WHERE length(text) > 0")(run)
+
+
+def _packer(pack):
+    def typed(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else pack(x.encode()))
+
+    return F.pandas_udf(typed, "binary")
+
+
+def _runs(data: bytes, n: int) -> list[bytes]:
+    return [data[k : k + n] for k in range(0, len(data), n)]
+
+
+def _lzvn_literals(data: bytes) -> bytes:
+    return b"".join((bytes([0xE0, len(p) - 16]) if len(p) > 15 else bytes([0xE0 | len(p)])) + p for p in _runs(data, 256)) + b"\x06" + bytes(7)
+
+
+def _lzfse_literals(data: bytes) -> bytes:
+    raw = _lzvn_literals(data)
+    return b"bvxn" + len(data).to_bytes(4, "little") + len(raw).to_bytes(4, "little") + raw + b"bvx$"
+
+
+_literal_codec("adc", lambda x: b"".join(bytes([0x7F + len(p)]) + p for p in _runs(x, 128)))
+_literal_codec("lznt1", lambda x: b"".join((len(p) - 1 | 0x3000).to_bytes(2, "little") + p for p in _runs(x, 4096)))
+_literal_codec("lzvn", _lzvn_literals)
+_literal_codec("lzfse", _lzfse_literals)
+_literal_codec("lzxpress", lambda x: b"".join(bytes(4) + p for p in _runs(x, 32)))
