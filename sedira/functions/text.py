@@ -49,16 +49,19 @@ UNPRINTABLE = [
 ]
 
 
+_ESCAPED = "[\\x00-\\x1f\\x7f-\\x9f" + "".join(f"\\x{{{c:x}}}" for c in UNPRINTABLE) + "]"
+
+
 def display_escape(text: Column) -> Column:
-    r"""Escapes / : \ by a backslash, control characters as \xNN, what does not print as \UNNNNNNNN. Texts without any such character, found by one pattern, are left as they are."""
-    escaped = F.regexp_replace(text, r"([/:\\])", r"\\$1")
-    for c in [*range(0x20), *range(0x7F, 0xA0)]:
-        escaped = F.replace(escaped, F.lit(chr(c)), F.lit(f"\\x{c:02x}"))
-    for c in UNPRINTABLE:
-        escaped = F.replace(escaped, F.lit(chr(c)), F.lit(f"\\U{c:08x}"))
-    simple = F.regexp_replace(text, r"([/:\\])", r"\\$1")
-    pattern = "[\\x00-\\x1f\\x7f-\\x9f\\x{2028}\\x{2029}\\x{e000}\\x{f8ff}\\x{fdd0}-\\x{fddf}" + "".join(f"\\x{{{c:x}}}" for c in UNPRINTABLE if c & 0xFFFE == 0xFFFE or c >= 0xF0000) + "]"
-    return F.when(text.rlike(pattern), escaped).otherwise(simple)
+    r"""Escapes / : \ by a backslash, control characters as \xNN, what does not print as \UNNNNNNNN: the distinct ones in a text are found by one pattern and replaced one by one."""
+    plain = F.regexp_replace(text, r"([/:\\])", r"\\$1")
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({_ESCAPED})")))
+
+    def code(c: Column) -> Column:
+        n = F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("int")
+        return F.concat(F.when(n < 0xA0, F.lit("\\x")).otherwise(F.lit("\\U")), F.lpad(F.lower(F.hex(n)), F.when(n < 0xA0, 2).otherwise(8), F.lit("0")))
+
+    return F.aggregate(found, plain, lambda t, c: F.replace(t, c, code(c)))
 
 
 def display_path(components: Column) -> Column:
