@@ -1,8 +1,4 @@
-"""Format identification by byte signatures: a small dimension joined to blobs.
-
-Signatures bound to the start or end are compared in the JVM; the catalog has a few rows a format and is broadcast behind
-a check of its size. Positions are bytes.
-"""
+"""Format identification by byte signatures: a small dimension held against blobs, in generated code. Positions are bytes."""
 
 from __future__ import annotations
 
@@ -11,8 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "identifier string, format string, bound string, offset int, pattern binary"
-#: Signatures that are broadcast at most.
-BROADCAST = 10_000
+#: Signatures of a catalog at most.
+MOST = 512
 #: Identifier, format, bound, offset, pattern (hexadecimal).
 CATALOG = [
     ("apm1", "apm", "start", 560, "4170706c655f706172746974696f6e5f6d617000000000000000000000000000"),
@@ -45,23 +41,35 @@ def catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(*r[:4], bytes.fromhex(r[4])) for r in CATALOG], SCHEMA)
 
 
-def _hit() -> Column:
-    """The byte position where the signature of the same row is found, else null. _data may be the head and tail of a stream of _size bytes."""
-    at_start = F.expr("substring(_data, offset + 1, octet_length(pattern)) = pattern")
-    at_end = F.expr("_size >= offset and substring(_data, octet_length(_data) - offset + 1, octet_length(pattern)) = pattern")
-    anywhere = F.expr("locate(decode(pattern, 'ISO-8859-1'), decode(_data, 'ISO-8859-1'))")
-    return F.when((F.col("bound") == "start") & at_start, F.col("offset").cast("long")).when((F.col("bound") == "end") & at_end, (F.col("_size") - F.col("offset")).cast("long")).when((F.col("bound") == "unbound") & (anywhere > 0), (anywhere - 1).cast("long"))
+def _hit(bound: str, offset: int, pattern: bytes) -> Column:
+    """The byte position where a signature is found, else null. _data may be the head and tail of a stream of _size bytes."""
+    p, n = F.unhex(F.lit(pattern.hex())), len(pattern)
+    if bound == "start":
+        return F.when(F.substring("_data", offset + 1, n) == p, F.lit(offset).cast("long"))
+    if bound == "end":
+        at = F.expr(f"substring(_data, octet_length(_data) - {offset - 1}, {n})")
+        return F.when((F.col("_size") >= offset) & (at == p), (F.col("_size") - offset).cast("long"))
+    at = F.locate(pattern.decode("latin-1"), F.decode("_data", "ISO-8859-1"))
+    return F.when(at > 0, (at - 1).cast("long"))
 
 
 def scan(blobs: DataFrame, signatures: DataFrame, data: str = "content", size: Column | None = None) -> DataFrame:
-    """The blobs' columns (without `data`), identifier, format and position: a row for each signature found (the first place, of an unbound one)."""
-    if signatures.limit(BROADCAST + 1).count() > BROADCAST:
-        raise ValueError(f"more than {BROADCAST} signatures; use all_matches, or scan by parts of the catalog")
+    """The blobs' columns (without `data`), identifier, format and position: a row for each signature found (the first place, of an unbound one).
+
+    The catalog is fetched (at most MOST rows) and becomes one projection in generated code: blobs are read once, joined
+    with nothing and not exchanged.
+    """
+    known = signatures.limit(MOST + 1).collect()
+    if len(known) > MOST:
+        raise ValueError(f"more than {MOST} signatures; scan by parts of the catalog, or use all_matches")
+    keep = [c for c in blobs.columns if c != data]
     rows = blobs.withColumn("_data", F.col(data).cast("binary")).withColumn("_size", size if size is not None else F.octet_length("_data").cast("long"))
-    by = F.broadcast(signatures)
-    # every blob is held against the catalog: its rows bound the output, and there is no exchange of blobs
-    found = rows.drop(data).crossJoin(by)
-    return found.withColumn("position", _hit()).where("position is not null").drop("_data", "_size", "bound", "offset", "pattern")
+    hits = []
+    for r in known:
+        at = _hit(r["bound"], r["offset"] or 0, bytes(r["pattern"]))
+        hits.append(F.when(at.isNotNull(), F.struct(F.lit(r["identifier"]).alias("identifier"), F.lit(r["format"]).alias("format"), at.alias("position"))))
+    found = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<struct<identifier:string,format:string,position:bigint>>")
+    return rows.select(*keep, F.explode(found).alias("_h")).select(*keep, "_h.*")
 
 
 def first_per_position(found: DataFrame, keys: list[str]) -> DataFrame:
