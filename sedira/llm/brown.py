@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedira.llm.common import Scratch, doc_crc, gathered, read, slices, spans, text_buffers, word_hashes
+from sedira.llm.common import doc_crc, fetch, gathered, lean, most_frequent, read, Scratch, slices, spans, text_buffers, word_hashes
 
 HEAD, TAILS, CLASSES = 447, 576, 48
 KNOWN = 1 << 18
@@ -62,7 +62,7 @@ def vocabulary(training: DataFrame) -> DataFrame:
             h, first, c = np.unique(x[:, 0], return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(x[first, 1].astype(np.int16)), pa.array(c.astype(np.int64))], ["h", "tail", "c"])
 
-    return training.select("text").mapInArrow(run, "h long, tail short, c long").groupBy("h").agg(F.first("tail").alias("tail"), F.sum("c").alias("c"))
+    return training.select("text").mapInArrow(lean(run), "h long, tail short, c long").groupBy("h").agg(F.first("tail").alias("tail"), F.sum("c").alias("c"))
 
 
 def _units(h: np.ndarray, tail: np.ndarray, head: np.ndarray, unit: np.ndarray) -> np.ndarray:
@@ -97,9 +97,9 @@ def bigrams(training: DataFrame, head: np.ndarray, unit: np.ndarray) -> np.ndarr
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], ["pair", "c"])
 
-    got = training.select("text").mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()
+    got = fetch(training.select("text").mapInArrow(lean(run), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")))
     out = np.zeros(size * size)
-    out[got["pair"].to_numpy()] = got["c"].to_numpy()
+    out[got["pair"]] = got["c"]
     return out.reshape(size, size)
 
 
@@ -163,7 +163,7 @@ class Model:
     n: int  # training tokens
     v: int  # distinct ones
     ends: int  # of the tokens, ends
-    least_known: int  # words that occur more often are all known
+    least_known: int  # words that occur as often are all known
 
 
 def learn(training: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
@@ -171,8 +171,9 @@ def learn(training: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
     words = scratch.keep(vocabulary(training), "words")
     ends = training.count()
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = words.orderBy(F.desc("c"), "h").limit(KNOWN).select("h", "c").toPandas()  # KNOWN rows at most
-    h, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
+    top, least = most_frequent(words.select("h", "c"), "c", KNOWN)
+    order = np.lexsort((top["h"], -top["c"]))
+    h, c = top["h"][order].astype(np.int64).view(np.uint64), top["c"][order].astype(np.int64)
     by = np.argsort(h[:HEAD])
     head, unit = h[:HEAD][by], 1 + by
     pairs = bigrams(training, head, unit)
@@ -194,7 +195,7 @@ def learn(training: DataFrame, scratch: Scratch) -> tuple[Model, DataFrame]:
             v_tail[r["tail"]] -= r["v"]
     emit[1 + HEAD :] -= np.log10(n_tail + v_tail + 1)
     by = np.argsort(h)
-    return Model(head, unit, of, move, emit, h[by], np.log10(c[by] + 1.0), int(total["n"]) + ends, int(total["v"]) + (ends > 0), ends, int(c[-1]) if len(c) == KNOWN else 0), words
+    return Model(head, unit, of, move, emit, h[by], np.log10(c[by] + 1.0), int(total["n"]) + ends, int(total["v"]) + (ends > 0), ends, least), words
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame, scratch: Scratch, name: str = "partial") -> DataFrame:
@@ -229,7 +230,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, scratch: Scratch, nam
                 row += len(n)
                 yield pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in cols], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest"])
 
-    part = scratch.keep(docs.select("doc_id", "held_out", "text").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest binary"), name)
+    part = scratch.keep(docs.select("doc_id", "held_out", "text").mapInArrow(lean(run), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest binary"), name)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -237,9 +238,9 @@ def score(docs: DataFrame, model: Model, words: DataFrame, scratch: Scratch, nam
             h = np.frombuffer(b"".join(raw), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(b.column("row").to_numpy(), [len(r) // 8 for r in raw]))], ["h", "row"])
 
-    rare = words.where(F.col("c") <= model.least_known).select("h", "c")
+    rare = words.where(F.col("c") < model.least_known).select("h", "c")
     log_c = F.log10(F.col("c") + 1)
-    more = part.select("row", "rest").mapInArrow(unpack, "h long, row long").join(rare, "h").groupBy("row").agg(F.sum(log_c).alias("more"), F.count(F.lit(1)).alias("found"))
+    more = part.select("row", "rest").mapInArrow(lean(unpack), "h long, row long").join(rare, "h").groupBy("row").agg(F.sum(log_c).alias("more"), F.count(F.lit(1)).alias("found"))
     whole = float(np.log10(model.n + model.v + 1))
     more = F.col("more"), F.coalesce("found", F.lit(0)), part.join(more, "row", "left")
     return more[2].select(
@@ -254,7 +255,7 @@ def perplexity(score: Column, tokens: Column) -> Column:
 
 
 def op10_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(doc_crc() % 7 == 2, F.lit(False)).alias("held_out"))
+    docs = read(spark, sf_dir, "documents", spread=True).select("doc_id", "text", F.coalesce(doc_crc() % 7 == 2, F.lit(False)).alias("held_out"))
     scratch = Scratch(spark)
     model, words = learn(docs.where(~F.col("held_out")), scratch)
     out = score(docs, model, words, scratch)

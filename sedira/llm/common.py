@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
 import tempfile
 import uuid
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 #: What separates words everywhere in this subpackage (a fixed value): space and the control characters 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that the vectorised functions take at a time, which bounds their temporary arrays to some 100 MB.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 #: Rows of an Arrow batch at most: texts can be long, and a batch is held by the JVM and by Python at once.
@@ -28,9 +29,13 @@ def _bound_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+def read(spark: SparkSession, sf_dir: str, table: str, spread: bool = False) -> DataFrame:
+    """A table; `spread` deals rows out if the files give fewer partitions than there are cores (one small file), for work that Python does."""
     _bound_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    if spread and df.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
+        df = df.repartition(cores)
+    return df
 
 
 def _shared_dir(spark: SparkSession) -> str:
@@ -73,6 +78,26 @@ def parts(spark: SparkSession, rows: int = 0, per: int = 1) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), math.ceil(rows / per) if rows else 0)
 
 
+def fetch(df: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a table that the caller knows to be bounded, by Arrow."""
+    table = df.toArrow()
+    return {c: table.column(c).to_numpy() for c in table.column_names}
+
+
+def most_frequent(table: DataFrame, count: str, most: int) -> tuple[dict[str, np.ndarray], int]:
+    """At most `most` rows of a written table, those with the largest counts, and the least count among them (0 if all rows are). A histogram of the counts, in steps of 1/16 of a power of two, says where to cut, so nothing is sorted globally."""
+    step = F.floor(F.log2(F.col(count)) * 16)
+    sizes = sorted(((r["s"], r["n"]) for r in table.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # 1024 rows at most
+    total, cut = 0, None
+    for s, n in sizes:
+        if total + n > most:
+            break
+        total, cut = total + n, s
+    rows = fetch(table.where(step >= cut) if cut is not None else table.limit(0))
+    everything = total == sum(n for _, n in sizes)
+    return rows, 0 if everything else int(rows[count].min()) if total else 1 << 62
+
+
 def doc_crc(column: str = "doc_id"):
     """crc32 of the id as text, an expression."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
@@ -188,7 +213,26 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarra
     return out, to
 
 
-def gathered(parts: Iterator[np.ndarray], at_least: int = 4 << 20) -> Iterator[np.ndarray]:
+def release() -> None:
+    """Gives free memory back to the machine: a worker lives on after its task, and its executor's limit counts it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(f: Callable) -> Callable:
+    """A function over Arrow batches that releases what it held when it is done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        release()
+
+    return run
+
+
+def gathered(parts: Iterator[np.ndarray], at_least: int = 1 << 20) -> Iterator[np.ndarray]:
     """Arrays put together until they hold so many numbers: what is combined before an exchange, in bounded memory."""
     held: list[np.ndarray] = []
     size = 0

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedira.llm.common import Scratch, mix, parts, read
+from sedira.llm.common import lean, mix, parts, read, Scratch
 
 K, W = 16, 64
 #: Ranges of doc_id whose first ids are broadcast at most.
@@ -146,7 +146,7 @@ def with_next(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    return fed.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return fed.mapInArrow(lean(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _edited(own: tuple, next_text: str, next_points: np.ndarray, next_kept: np.ndarray, k: int, w: int) -> tuple:

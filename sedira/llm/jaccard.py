@@ -1,15 +1,17 @@
 """N-gram Jaccard join by a token-group matrix.
 
 1. Every document becomes the set of its hashed word shingles; documents with equal sets are one class from there on.
-2. Classes with the same least shingle form a group: similar documents mostly share it.
-3. The matrix holds, for each group, the union of its members' prefix shingles. Two sets with Jaccard similarity t share
-   a shingle among the first n - ceil(t n) + 1 of each in any common order, so a group without a shingle in common with a
-   query's prefix has no overlap that could suffice; sizes and positions bound the overlap further. The order puts
-   shingles that many documents hold last, so that a passage of many documents brings no candidates. Any order is
-   exact; which shingles count as frequent only says how many groups are opened.
-4. Qualifying groups are opened: each query is held against all members, exactly. Members are dealt out in blocks, so no
-   group has to fit into one task; what connects a block's members is found by search from member to member, so no
-   pairs within a group are listed.
+2. Similar documents are partitioned into groups: classes that share one of two least-hash shingles are compared within
+   that share; what is linked so is one group, and what is not stays grouped by the first of the two. (Which documents
+   meet in a group says how much is left to do, not what is found.)
+3. The matrix holds, for each group, the union of its members' prefix shingles. In any common order of the shingles, sets
+   x and y with Jaccard similarity t share at least a - ceil(t n) + 1 of the first n - ceil(t n) + 1 shingles of each, with
+   a the overlap they need and n the size of the one whose prefix ends first. So the number of shingles that two groups'
+   unions share bounds what any of their members can have in common, and only pairs of groups that reach the bound
+   qualify. The order puts shingles that many documents hold last, so that a passage of many documents brings few
+   candidates. Any order is exact; which shingles count as frequent only says how many groups are opened.
+4. Qualifying groups are opened: the members of the smaller one are held against all members of the other, exactly.
+   Members are dealt out in blocks, so no group has to fit into one task, and no pairs within a group are listed.
 5. Links are contracted to connected components, distributed.
 
 Shingles are 64-bit hashes (63 bits used); classes are told apart by 64 bits over the whole set.
@@ -28,15 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedira.llm.common import Scratch, bounds, components, mix, parts, read, shingle_hashes, slices, spans, text_buffers, whole_groups, word_hashes
+from sedira.llm.common import bounds, components, gathered, lean, mix, most_frequent, parts, read, Scratch, shingle_hashes, slices, spans, text_buffers, whole_groups, word_hashes
 
-#: A shingle that `FREQUENT` documents hold, as counted within batches, is put last in the order; the list has at most `FREQUENT_MOST` entries (2 MB).
+#: A shingle that `FREQUENT` documents hold, as counted within a few million shingles at a time, is put last in the order; the list has at most `FREQUENT_MOST` entries (2 MB).
 FREQUENT, FREQUENT_MOST = 12, 1 << 18
-#: Members of a group that one task opens at a time.
-BLOCK = 2048
+#: Members of a group that one task opens at a time; shingles of them, as a mean, that it holds (8 bytes each); hits it counts at once.
+BLOCK, BLOCK_SHINGLES, HITS = 2048, 1 << 21, 1 << 20
+#: Rows (two numbers each) of a table that is broadcast at most; beyond it the optimizer chooses the join.
+BROADCAST = 1 << 20
 _HALF = np.uint64(1)
 _LAST = np.uint64(1 << 63)
-_S1, _S2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+_S1 = np.uint64(0xD6E8FEB86659FD93)
+_SEEDS = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
 def _sets(batch: pa.RecordBatch, k: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,16 +61,15 @@ def _sets(batch: pa.RecordBatch, k: int, frequent: np.ndarray) -> tuple[np.ndarr
     return h[new], np.concatenate([[0], np.cumsum(new)])[to]
 
 
-def _frequent(docs: DataFrame, k: int) -> np.ndarray:
+def _frequent(docs: DataFrame, k: int, scratch: Scratch) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [_sets(b, k, np.zeros(0, np.uint64))[0] for b in slices(batch)]
-            h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        for h in gathered(_sets(b, k, np.zeros(0, np.uint64))[0] for whole in batches for b in slices(whole)):
+            h, n = np.unique(h, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["h", "n"])
 
-    found = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    top = found.orderBy(F.desc("n"), "h").limit(FREQUENT_MOST).select("h").toPandas()["h"].to_numpy(np.int64)  # bounded by FREQUENT_MOST
-    return np.sort(top.view(np.uint64))
+    found = docs.select("text").mapInArrow(lean(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    top, _ = most_frequent(scratch.keep(found, "frequent"), "n", FREQUENT_MOST)
+    return np.sort(top["h"].astype(np.int64).view(np.uint64))
 
 
 def _needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -73,7 +77,7 @@ def _needed(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
-    """doc_id, n (set size), cls (hash of the set), gid (the group), prefix (bytes); frequent: a broadcast of the frequent shingles."""
+    """doc_id, n (set size), cls (hash of the set), key0 and key1 (least-hash shingles), prefix (bytes); frequent: a broadcast of the frequent shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -81,34 +85,43 @@ def signatures(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
                 h, to = _sets(b, k, frequent.value)
                 n = np.diff(to)
                 full = np.flatnonzero(n)
-                cls, gid = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+                keys = [np.zeros(len(n), np.uint64) for _ in _SEEDS]
                 if len(full):
-                    at = to[:-1][full]
-                    cls[full] = mix(np.add.reduceat(mix(h * _S1), at) + n[full].astype(np.uint64))
-                    gid[full] = np.minimum.reduceat((mix(h ^ _S2) >> _HALF) | (h & _LAST), at)
+                    for key, seed in zip(keys, _SEEDS):
+                        key[full] = np.minimum.reduceat(mix(h ^ seed), to[:-1][full])
                 keep = np.where(n > 0, n - _needed(n, percent) + 1, 0)
                 prefix = [h[a : a + p].tobytes() for a, p in zip(to[:-1], keep)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(cls.view(np.int64)), pa.array(gid.view(np.int64)), pa.array(prefix, pa.binary())], ["doc_id", "n", "cls", "gid", "prefix"])
+                cols = [b.column("doc_id"), n.astype(np.int64), _classes(h, to).view(np.int64), *(key.view(np.int64) for key in keys), pa.array(prefix, pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], ["doc_id", "n", "cls", "key0", "key1", "prefix"])
+
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, cls long, key0 long, key1 long, prefix binary")
+
+
+def _classes(h: np.ndarray, to: np.ndarray) -> np.ndarray:
+    n = np.diff(to)
+    full = np.flatnonzero(n)
+    out = np.zeros(len(n), np.uint64)
+    if len(full):
+        out[full] = mix(np.add.reduceat(mix(h * _S1), to[:-1][full]) + n[full].astype(np.uint64))
+    return out
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, gid long, prefix binary")
 
+def matrix(rows: DataFrame) -> DataFrame:
+    """The token-group matrix: (token, gid, nmin, nmax, place): sizes of the members with the token in their prefix, and its least place there. Rows (gid, n, prefix) of one group are merged, a million shingles at a time, before they are exchanged."""
 
-def matrix(reps: DataFrame) -> DataFrame:
-    """The token-group matrix: (token, gid, nmin, nmax, place): sizes of the members with the token in their prefix, and its least place there. Rows of one group are merged batch by batch before they are exchanged."""
+    def unpacked(b: pa.RecordBatch) -> np.ndarray:
+        raw = b.column("prefix").to_pylist()
+        tokens = np.frombuffer(b"".join(raw), np.int64)
+        per = np.array([len(r) // 8 for r in raw])
+        row = np.repeat(np.arange(len(raw)), per)
+        place = np.arange(len(tokens)) - np.repeat(np.cumsum(per) - per, per)
+        return np.stack([tokens, b.column("gid").to_numpy()[row], b.column("n").to_numpy()[row], place], 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            raw = b.column("prefix").to_pylist()
-            tokens = np.frombuffer(b"".join(raw), np.uint64)
-            per = np.array([len(r) // 8 for r in raw])
-            row = np.repeat(np.arange(len(raw)), per)
-            place = np.arange(len(tokens)) - np.repeat(np.cumsum(per) - per, per)
-            gid, n = b.column("gid").to_numpy()[row], b.column("n").to_numpy()[row]
-            yield _merged(tokens.view(np.int64), gid, n, n, place)
+        for x in gathered((unpacked(b) for b in batches if b.num_rows), 1 << 20):
+            yield _merged(x[:, 0], x[:, 1], x[:, 2], x[:, 2], x[:, 3])
 
-    return reps.select("gid", "n", "prefix").mapInArrow(run, "token long, gid long, nmin long, nmax long, place long")
+    return rows.select("gid", "n", "prefix").mapInArrow(lean(run), "token long, gid long, nmin long, nmax long, place long")
 
 
 def _merged(token, gid, nmin, nmax, place) -> pa.RecordBatch:
@@ -122,37 +135,44 @@ def _merged(token, gid, nmin, nmax, place) -> pa.RecordBatch:
 
 
 def candidates(rows: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """Pairs (a, b) of groups, a < b, of which a member of one may suffice for a member of the other."""
+    """Pairs (a, b) of groups, a < b, whose unions of prefixes share as many shingles as a link between members needs."""
+
+    def summed(x: np.ndarray) -> np.ndarray:
+        """Rows a, b, shared, least and most size of a's and b's; those of a pair are made one."""
+        x = x[np.lexsort((x[:, 1], x[:, 0]))]
+        at = np.flatnonzero(np.concatenate([[True], (x[1:, :2] != x[:-1, :2]).any(1)])) if len(x) else np.zeros(0, np.int64)
+        if not len(at):
+            return x
+        return np.concatenate([x[at, :2], np.add.reduceat(x[:, 2:3], at), np.minimum.reduceat(x[:, [3, 5]], at), np.maximum.reduceat(x[:, [4, 6]], at)], 1)[:, [0, 1, 2, 3, 5, 4, 6]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((0, 2), np.int64)
+        held = np.zeros((0, 7), np.int64)
         for table in whole_groups(batches, "token", 1 << 17):
             c = {x: table.column(x).to_numpy() for x in table.column_names}
             m = _merged(*(c[x] for x in ("token", "gid", "nmin", "nmax", "place")))
             token, gid, lo, hi, place = (m.column(x).to_numpy() for x in ("token", "gid", "nmin", "nmax", "place"))
             at = bounds(token)
             size = np.diff(at)
-            found = []
             # the d-th next row of the same token, for all tokens at once: as many turns as the longest run has rows
             for d in range(1, int(size.max(initial=1))):
                 long = np.flatnonzero(size > d)
-                i = np.concatenate([np.arange(at[x], at[x + 1] - d) for x in long]) if len(long) < 64 else _ranges(at[long], size[long] - d)
+                i = _ranges(at[long], size[long] - d)
                 j = i + d
                 ok = (100 * hi[j] >= percent * lo[i]) & (100 * hi[i] >= percent * lo[j])
-                # overlap of two sets whose first common shingle stands at these places
-                most = 1 + np.minimum(hi[i] - place[i] - 1, hi[j] - place[j] - 1)
-                ok &= most * (100 + percent) >= percent * (lo[i] + lo[j])
-                found.append(np.stack([gid[i[ok]], gid[j[ok]]], 1))
-                if sum(map(len, found)) > 1 << 20:
-                    found = [np.unique(np.concatenate(found), axis=0)]
-            if found:
-                seen = np.unique(np.concatenate([seen, *found]), axis=0)
-            if len(seen) > 1 << 18:
-                yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1])], ["a", "b"])
-                seen = seen[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1])], ["a", "b"])
-
-    return rows.repartition(partitions, "token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct()
+                i, j = i[ok], j[ok]
+                held = np.concatenate([held, np.stack([gid[i], gid[j], np.ones(len(i), np.int64), lo[i], hi[i], lo[j], hi[j]], 1)])
+                if len(held) > 1 << 20:
+                    held = summed(held)
+                    if len(held) > 1 << 19:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.T.copy()], names)
+                        held = held[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed(held).T.copy()], names)
+
+    names = ["a", "b", "shared", "la", "ha", "lb", "hb"]
+    found = rows.repartition(partitions, "token").sortWithinPartitions("token").mapInArrow(lean(run), ", ".join(f"{x} long" for x in names))
+    sums = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), *(f(x).alias(x) for f, x in ((F.min, "la"), (F.max, "ha"), (F.min, "lb"), (F.max, "hb"))))
+    overlap = F.ceil((F.col("la") + F.col("lb")) * percent / (100 + percent) - 1e-9)
+    return sums.where(F.col("shared") >= overlap - F.ceil(F.greatest("ha", "hb") * percent / 100 - 1e-9) + 1).select("a", "b")
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -171,9 +191,13 @@ class _Block:
         self.n = np.array([len(sets[r]) for r in rows])
 
     def linked(self, query: np.ndarray, percent: int) -> np.ndarray:
-        lo, hi = np.searchsorted(self.tokens, query, "left"), np.searchsorted(self.tokens, query, "right")
-        hit = self.owner[_ranges(lo, hi - lo)] if len(lo) else self.owner[:0]
-        both = np.bincount(hit, minlength=len(self.n))
+        lo = np.searchsorted(self.tokens, query, "left")
+        n = np.searchsorted(self.tokens, query, "right") - lo
+        both, sums, at = np.zeros(len(self.n), np.int64), np.cumsum(n), 0
+        while at < len(n):  # a million hits at a time
+            to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + HITS, "right")))
+            both += np.bincount(self.owner[_ranges(lo[at:to], n[at:to])], minlength=len(self.n))
+            at = to
         return np.flatnonzero((both > 0) & (100 * both >= percent * (self.n + len(query) - both)))
 
 
@@ -199,35 +223,50 @@ def _search(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return label
 
 
-def open_groups(rows: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """Links (a, b) that connect what is linked. `rows`: target (the opened block), member (boolean, else a query), cls, tokens."""
+def open_groups(rows: DataFrame, percent: int, partitions: int, search: bool = True) -> DataFrame:
+    """Links (a, b) that connect what is linked. `rows`: target (the opened block), member (boolean, else a query), cls, rep, tokens. Members are held against each other if asked for; else a link names what its member is known as (`rep`), once for all members of that name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "target", 64):
-            target, cls, member = (table.column(x).to_numpy() for x in ("target", "cls", "member"))
-            raw = table.column("tokens")
-            at = bounds(target)
-            a, b = [], []
-            for s, e in zip(at[:-1], at[1:]):
-                sets = [np.frombuffer(x.as_py(), np.uint64) for x in raw.slice(s, e - s)]
-                own, asked = np.flatnonzero(member[s:e]), np.flatnonzero(~member[s:e])
-                if not len(own):
+        now, members, block, label, ids = None, {}, None, None, None
+        a: list[int] = []
+        b: list[int] = []
+
+        def build() -> None:
+            """All members have come: they stand first."""
+            nonlocal block, label, ids
+            sets = [t for t, _ in members.values()]
+            if not search:
+                ids, label = np.unique(np.array([r for _, r in members.values()], np.int64), return_inverse=True)
+            else:
+                ids, label = np.array(list(members), np.int64), _search(sets, percent)
+                far = np.flatnonzero(label != np.arange(len(ids)))
+                a.extend(ids[far].tolist())
+                b.extend(ids[label[far]].tolist())
+            block = _Block(sets, np.arange(len(sets)))
+
+        for batch in batches:
+            for target, member, cls, rep, tokens in zip(*(batch.column(x).to_pylist() for x in ("target", "member", "cls", "rep", "tokens"))):
+                if target != now:
+                    if search and members and block is None:
+                        build()
+                    now, members, block = target, {}, None
+                if member:
+                    members[cls] = np.frombuffer(tokens, np.uint64), rep
                     continue
-                mine = [sets[r] for r in own]
-                label = _search(mine, percent)
-                ids = cls[s:e][own]
-                far = np.flatnonzero(label != np.arange(len(own)))
-                a += ids[far].tolist()
-                b += ids[label[far]].tolist()
-                if len(asked):
-                    block = _Block(mine, np.arange(len(own)))
-                    for q in asked:
-                        to = np.unique(label[block.linked(sets[q], percent)])
-                        a += [cls[s + q]] * len(to)
-                        b += ids[to].tolist()
+                if block is None:
+                    build()
+                if len(ids) and not (search and cls in members):
+                    to = np.unique(label[block.linked(np.frombuffer(tokens, np.uint64), percent)])
+                    a.extend([cls] * len(to))
+                    b.extend(ids[to].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            a.clear()
+            b.clear()
+        if search and members and block is None:
+            build()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.repartition(partitions, "target").sortWithinPartitions("target").mapInArrow(run, "a long, b long")
+    return rows.select("target", "member", "cls", "rep", "tokens").repartition(partitions, "target").sortWithinPartitions("target", F.desc("member")).mapInArrow(lean(run), "a long, b long")
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
@@ -236,73 +275,73 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | None
     scratch = scratch or Scratch(spark)
     p = parts(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    frequent = spark.sparkContext.broadcast(_frequent(docs, k))
+    frequent = spark.sparkContext.broadcast(_frequent(docs, k, scratch))
     sigs = scratch.keep(signatures(docs, k, percent, frequent), "signatures")
-
-    # classes, and of each one row with its prefix
-    classes = sigs.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("gid").alias("gid"), F.min("n").alias("n"))
-    classes = scratch.keep(classes, "classes")
-    rep_rows = sigs.where("n > 0").join(classes.select("cls", F.col("doc_id").alias("rep")), ["cls"]).where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "gid", "n", "prefix")
-    pairs = scratch.keep(candidates(matrix(rep_rows), percent, max(p, 2 * p)), "pairs")
-
-    # groups to open: their members in blocks, and the members of the smaller group of a pair as queries
-    groups = classes.groupBy("gid").agg(F.count(F.lit(1)).alias("m"))
-    size = lambda x: groups.select(F.col("gid").alias(x), F.col("m").alias(f"m{x}"))
-    sized = pairs.join(size("a"), "a").join(size("b"), "b")
-    ask = sized.select(F.when(F.col("ma") < F.col("mb"), F.col("a")).otherwise(F.col("b")).alias("gid"), F.when(F.col("ma") < F.col("mb"), F.col("b")).otherwise(F.col("a")).alias("into"))
-    opened = groups.where("m > 1").select("gid").union(ask.select("gid")).union(ask.select(F.col("into").alias("gid"))).distinct()
-    opened = opened.join(groups, "gid").withColumn("blocks", F.ceil(F.col("m") / BLOCK))
-    involved = scratch.keep(classes.join(opened, "gid").select("cls", "doc_id", "gid", "blocks"), "involved")
-    tokens = scratch.keep(_tokens(docs, involved, k, frequent), "tokens")
-
-    block = lambda c, n: F.xxhash64(F.col("gid"), F.pmod(F.col(c), F.col(n)))
-    members = tokens.select(block("cls", "blocks").alias("target"), F.lit(True).alias("member"), "cls", "tokens")
-    into = ask.join(opened.select(F.col("gid").alias("into"), "blocks"), "into").select(F.col("gid").alias("asks"), F.col("into").alias("gid"), F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"))
-    into = into.select(F.col("asks").alias("gid"), F.xxhash64("gid", F.col("block").cast("long")).alias("target"))
-    queries = tokens.join(into, "gid").select("target", F.lit(False).alias("member"), "cls", "tokens")
-    # of a group of several blocks, the first member of each block is asked of the others
-    wide = tokens.where("blocks > 1")
-    pivots = wide.groupBy("gid", F.pmod("cls", "blocks").alias("block"), "blocks").agg(F.min("cls").alias("cls"))
-    every = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("at")
-    pivots = pivots.select("cls", "gid", every).select("cls", F.xxhash64("gid", F.col("at").cast("long")).alias("target"))
-    pivots = wide.select("cls", "tokens").join(pivots, "cls").select("target", F.lit(False).alias("member"), "cls", "tokens")
-    edges = scratch.keep(open_groups(members.unionByName(queries).unionByName(pivots), percent, p), "edges")
-    labels = components(scratch, edges, "cc1")
-    if not wide.isEmpty():  # what is not of a wide group's most common component is asked of all its blocks
-        of = wide.select("cls", "gid", "blocks").join(labels, F.col("cls") == F.col("node"), "left").select("cls", "gid", "blocks", F.coalesce("label", "cls").alias("label"))
-        counted = of.groupBy("gid", "label").count().groupBy("gid").agg(F.max_by("label", F.struct("count", "label")).alias("most"))
-        rest = of.join(counted, "gid").where("label <> most").select("cls", "gid", every).select("cls", F.xxhash64("gid", F.col("at").cast("long")).alias("target"))
-        rest = wide.select("cls", "tokens").join(rest, "cls").select("target", F.lit(False).alias("member"), "cls", "tokens")
-        within = wide.select(block("cls", "blocks").alias("target"), F.lit(True).alias("member"), "cls", "tokens").unionByName(rest)
-        edges = scratch.keep(edges.unionByName(open_groups(within, percent, p)), "edges2")
-        labels = components(scratch, edges, "cc2")
-
-    named = classes.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label"))
+    classes = scratch.keep(sigs.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("key0").alias("key0"), F.min("key1").alias("key1"), F.min("n").alias("n")), "classes")
+
+    # similar documents: the shares of the least-hash shingles are opened, in blocks; a block's first member is also asked of the share's other blocks
+    keyed = classes.select("cls", "doc_id", "n", "key0", F.explode(F.array_distinct(F.array("key0", "key1"))).alias("key"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES))
+    shares = keyed.groupBy("key").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    near = scratch.keep(keyed.join(shares, "key").select("cls", "doc_id", "key", "key0", "blocks", F.pmod("cls", "blocks").alias("block")), "near")
+    wide = near.where("blocks > 1").groupBy("key", "block", "blocks").agg(F.min("cls").alias("cls"))
+    wide = wide.select("cls", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("member"))
+    ask = near.select("cls", "key", "block", F.lit(True).alias("member")).unionByName(wide).select("cls", F.xxhash64("key", "block").alias("target"), "member", F.col("cls").alias("rep"))
+    sets = scratch.keep(_tokens(docs, near.select("cls", "doc_id").distinct(), k, frequent), "near-sets")
+    edges = scratch.keep(open_groups(ask.join(sets, "cls"), percent, p), "near-edges")
+    scratch.drop("near-sets")
+    groups = components(scratch, edges, "groups")
+
+    # the matrix over the groups: what is linked is one group, and else what was compared in one block by the first key;
+    # all pairs within a group have been compared, so what is left are pairs of different groups
+    known = groups.select(F.col("node").alias("cls"), F.col("label").alias("label"))
+    beside = near.where("key = key0").select("cls", F.xxhash64("key", "block").alias("beside"))
+    grouped = scratch.keep(known.join(beside, "cls", "full").select("cls", F.coalesce("label", "beside").alias("gid"), F.coalesce("label", "cls").alias("rep")), "grouped")
+    rows = sigs.where("n > 0").join(_small(grouped), "cls", "left").select(F.coalesce("gid", "cls").alias("gid"), "n", "prefix")
+    pairs = scratch.keep(candidates(matrix(rows), percent, 2 * p), "pairs")
+    of = classes.join(_small(grouped), "cls", "left").select("cls", "doc_id", "n", F.coalesce("gid", "cls").alias("gid"), F.coalesce("rep", "cls").alias("rep"))
+    asked = scratch.keep(of.join(_small(pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct()), "gid", "left_semi"), "asked")
+    size = asked.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), blocks.alias("blocks"))
+    a, b = (size.select(F.col("gid").alias(x), F.col("m").alias(f"m{x}"), F.col("blocks").alias(f"blocks{x}")) for x in "ab")
+    smaller = F.col("ma") < F.col("mb")
+    into = pairs.join(a, "a").join(b, "b").select(F.when(smaller, F.col("a")).otherwise(F.col("b")).alias("gid"), F.when(smaller, F.col("b")).otherwise(F.col("a")).alias("into"), F.when(smaller, F.col("blocksb")).otherwise(F.col("blocksa")).alias("blocks"))
+    opened = into.select(F.col("into").alias("gid"), "blocks").distinct()
+    members = asked.join(opened, "gid").select("cls", F.xxhash64("gid", F.pmod("cls", "blocks")).alias("target"), F.lit(True).alias("member"), "rep")
+    queries = asked.join(into, "gid").select("cls", "rep", "into", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    queries = queries.select("cls", F.xxhash64("into", "block").alias("target"), F.lit(False).alias("member"), "rep")
+    sets = scratch.keep(_tokens(docs, asked.select("cls", "doc_id"), k, frequent), "asked-sets")
+    more = scratch.keep(open_groups(members.unionByName(queries).join(sets, "cls"), percent, p, search=False), "edges")
+    scratch.drop("asked-sets")
+
+    # links between groups, over what each class is known as
+    across = more.join(_small(grouped.select(F.col("cls").alias("a"), F.col("rep").alias("ra"))), "a", "left").select(F.coalesce("ra", "a").alias("a"), "b")
+    merged = components(scratch, across, "merged")
+    named = of.join(merged, F.col("rep") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("label", "rep").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    moved = scratch.keep(named.join(least, "label").where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("cls", "component_id"), "moved")
-    own = classes.select("cls", F.col("doc_id").alias("class_id"))
-    out = sigs.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(own, "cls", "left").join(moved, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "class_id")).alias("component_id"), "cls")
+    final = scratch.keep(named.join(least, "label").select("cls", "component_id"), "final")
+    out = sigs.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(final, "cls", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "cls")
+
 
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast if it is counted and small enough; else the optimizer's choice."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
 
-def _tokens(docs: DataFrame, involved: DataFrame, k: int, frequent) -> DataFrame:
-    """cls, gid, blocks, tokens: the whole sets of the involved classes, from the texts of their representatives."""
-    texts = docs.join(involved, docs["doc_id"].eqNullSafe(involved["doc_id"])).select("cls", "gid", "blocks", "text")
+
+def _tokens(docs: DataFrame, wanted: DataFrame, k: int, frequent) -> DataFrame:
+    """cls, tokens: the whole sets of the wanted classes (cls, doc_id), from the texts of their representatives."""
+    wanted = _small(wanted.withColumnRenamed("doc_id", "rep"))
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole):
                 h, to = _sets(b, k, frequent.value)
-                n = np.diff(to)
-                full = np.flatnonzero(n)
-                cls = np.zeros(len(n), np.uint64)
-                if len(full):
-                    cls[full] = mix(np.add.reduceat(mix(h * _S1), to[:-1][full]) + n[full].astype(np.uint64))
-                own = np.flatnonzero((cls.view(np.int64) == b.column("cls").to_numpy()) & (n > 0))  # another text of the same id is not meant
-                sets = [h[to[d] : to[d + 1]].tobytes() for d in own]
-                yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(own)) for c in ("cls", "gid", "blocks")] + [pa.array(sets, pa.binary())], ["cls", "gid", "blocks", "tokens"])
+                cls = b.column("cls").to_numpy()
+                own = np.flatnonzero(_classes(h, to).view(np.int64) == cls)  # another text of the same id is not meant
+                yield pa.RecordBatch.from_arrays([pa.array(cls[own]), pa.array([h[to[d] : to[d + 1]].tobytes() for d in own], pa.binary())], ["cls", "tokens"])
 
-    return texts.mapInArrow(run, "cls long, gid long, blocks long, tokens binary").dropDuplicates(["cls"])
+    return texts.mapInArrow(lean(run), "cls long, tokens binary")
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
@@ -316,7 +355,5 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(read(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
-
+    return link(read(spark, sf_dir, "documents", spread=True), 4, 85).select("doc_id", "n_shingles", "component_id")
 
-ORACLE_OP8 = None

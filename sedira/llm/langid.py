@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedira.llm.common import Scratch, doc_crc, read
+from sedira.llm.common import Scratch, doc_crc, read, release
 
 SAMPLE = 600
 #: Languages whose counts are broadcast at most.
@@ -36,7 +36,7 @@ SWITCH = 6.0
 UNKNOWN = "und"
 WORDS = re.compile(r"[^\W\d_]+")
 #: Words of which a worker remembers the scores, in each of two generations.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 120_000
 #: First code points of runs of one script, and the script (fixed values: the blocks of the public code charts, summarily).
 SCRIPTS = [
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
@@ -210,22 +210,23 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         pred, score = [], []
         values = texts.tolist()
         at = 0
-        while at < len(values):  # about a million characters at a time
+        while at < len(values):  # about half a million characters at a time
             to, size = at, 0
-            while to < len(values) and (to == at or size < 1 << 20):
+            while to < len(values) and (to == at or size < 1 << 19):
                 size += len(values[to] or "")
                 to += 1
             p, s = label(shared.value, values[at:to])
             pred += p
             score += s
             at = to
+        release()
         return pd.DataFrame({"lang_pred": pred, "score": score})
 
     return docs.select(F.struct("*").alias("doc"), run("text").alias("found")).select("doc", "found.*")
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = read(spark, sf_dir, "documents", spread=True).select("doc_id", "text", "lang")
     held_out = F.coalesce(doc_crc() % 3 == 1, F.lit(False))
     model = fit(sample(docs.where(~held_out)))
     return identify(docs.select("doc_id", "text"), model).select("doc.doc_id", held_out_of("doc.doc_id").alias("held_out"), "lang_pred", "score")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedira.llm.common import Scratch, bounds, components, parts, read, whole_groups
+from sedira.llm.common import bounds, components, lean, parts, read, Scratch, whole_groups
 
 #: Neighbours in a list; vectors in a leaf on average, and at most; members of a pivot's or component's tile.
 K, LEAF, LEAF_MOST, TILE = 16, 128, 4096, 1024
@@ -59,7 +59,7 @@ def classes(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
             yield pa.RecordBatch.from_arrays([b.column("vec_id").cast(pa.int64()), pa.array(cls, pa.int64()), pa.array(vec, pa.binary()), pa.array(dim, pa.int32())], ["vec_id", "cls", "vec", "dim"])
 
     kind = vectors.schema["embedding"].dataType.elementType.simpleString()
-    rows = scratch.keep(vectors.select("vec_id", F.col("embedding").cast("array<float>" if kind == "float" else "array<double>")).mapInArrow(run, "vec_id long, cls long, vec binary, dim int"), "rows")
+    rows = scratch.keep(vectors.select("vec_id", F.col("embedding").cast("array<float>" if kind == "float" else "array<double>")).mapInArrow(lean(run), "vec_id long, cls long, vec binary, dim int"), "rows")
     by = rows.where("cls is not null").groupBy("cls").agg(F.first("vec").alias("vec"), F.first("dim").alias("dim"), F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"))
     return rows.select("vec_id", "cls"), scratch.keep(by, "classes")
 
@@ -107,7 +107,7 @@ def _neighbours(rows: DataFrame, key: str, floor: float, k: int, partitions: int
                     out += _lists(_unit([raw[s + r] for r in one], int(dims[s])), ids[s:e][one], floor, k)
             yield _list_batch(out)
 
-    return rows.repartition(partitions, key).sortWithinPartitions(key).mapInArrow(run, "cls long, ids binary, sims binary")
+    return rows.repartition(partitions, key).sortWithinPartitions(key).mapInArrow(lean(run), "cls long, ids binary, sims binary")
 
 
 def forest(by: DataFrame, bits: int, trees: int, seed: int, floor: float, k: int, scratch: Scratch) -> DataFrame:
@@ -131,7 +131,7 @@ def forest(by: DataFrame, bits: int, trees: int, seed: int, floor: float, k: int
                     leaf = ((code & ((1 << bits) - 1)) * trees + t) * 65536 + dim % 65536
                     yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(code >> bits), *(part.column(c) for c in ("cls", "vec", "dim"))], ["leaf", "sub", "cls", "vec", "dim"])
 
-    rows = by.select("cls", "vec", "dim").mapInArrow(run, "leaf long, sub long, cls long, vec binary, dim int")
+    rows = by.select("cls", "vec", "dim").mapInArrow(lean(run), "leaf long, sub long, cls long, vec binary, dim int")
     full = rows.groupBy("leaf", "sub").count()
     heavy = full.groupBy("leaf").agg(F.sum("count").alias("m")).where(F.col("m") > LEAF_MOST).select("leaf")
     heavy = scratch.keep(full.join(heavy, "leaf").withColumn("ways", F.ceil(F.col("count") / LEAF_MOST)).select("leaf", "sub", "ways"), f"heavy{seed}")
@@ -172,7 +172,7 @@ def edges_of(lists: DataFrame, least: float) -> DataFrame:
             ok = sims >= least
             yield pa.RecordBatch.from_arrays([pa.array(own[ok]), pa.array(ids[ok])], ["a", "b"])
 
-    return lists.mapInArrow(run, "a long, b long")
+    return lists.mapInArrow(lean(run), "a long, b long")
 
 
 def refine(lists: DataFrame, by: DataFrame, floor: float, k: int) -> DataFrame:
@@ -202,7 +202,7 @@ def audit(by: DataFrame, threshold: float, queries: int = AUDIT) -> DataFrame:
                     ok = own[i] != ids[rows][j]
                     yield pa.RecordBatch.from_arrays([pa.array(own[i][ok]), pa.array(ids[rows][j][ok])], ["a", "b"])
 
-    return by.mapInArrow(run, "a long, b long")
+    return by.mapInArrow(lean(run), "a long, b long")
 
 
 def count_links(members: DataFrame, threshold: float, partitions: int) -> DataFrame:
@@ -233,7 +233,7 @@ def count_links(members: DataFrame, threshold: float, partitions: int) -> DataFr
                     out_n += [hit @ n[s:e][b], hit.T @ n[s:e][a]]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_c)), pa.array(np.concatenate(out_n).astype(np.int64))], ["cls", "links"])
 
-    return rows.repartition(partitions, "tile").sortWithinPartitions("tile").mapInArrow(run, "cls long, links long").groupBy("cls").agg(F.sum("links").alias("links"))
+    return rows.repartition(partitions, "tile").sortWithinPartitions("tile").mapInArrow(lean(run), "cls long, links long").groupBy("cls").agg(F.sum("links").alias("links"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = K, scratch: Scratch | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedira.llm.common import Scratch, gapless, read
+from sedira.llm.common import gapless, lean, read, Scratch
 
 LENGTH = 2048
 END = 0
@@ -34,7 +34,7 @@ _ODD = re.compile(r"[\x1c-\x1f\u03a3\u0130]|<\|")
 _MARK = re.compile(r"(?<=[^\W_])([.,])(?=\s|\Z)")
 _PLAIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 #: Chunks whose ids a worker remembers, in each of two generations; a bound of memory, not of what is encoded.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 120_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -124,7 +124,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(lean(cut), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 # ---- the fit, over a histogram of at most `length` numbers ----------------------------------------------------------
@@ -289,4 +289,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: i
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read(spark, sf_dir, "documents"), default_tokenizer()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack_documents(read(spark, sf_dir, "documents", spread=True), default_tokenizer()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedira.llm.common import Scratch, parts, read
+from sedira.llm.common import fetch, lean, parts, read, Scratch
 
 SHARDS = 24
 OVERHEAD = 8
@@ -71,7 +71,7 @@ def _histogram(rows: DataFrame, probes: list[Key]) -> tuple[np.ndarray, np.ndarr
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[0][full]), pa.array(total[1][full])], ["bin", "bytes", "n"])
 
     out = np.zeros((2, len(ph) + 1), np.int64)
-    found = rows.select("shard_h", "shard_i", "shard_size").mapInArrow(count, "bin long, bytes long, n long")
+    found = rows.select("shard_h", "shard_i", "shard_size").mapInArrow(lean(count), "bin long, bytes long, n long")
     for r in found.groupBy("bin").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).collect():  # a row a bin
         out[:, r["bin"]] = r["bytes"], r["n"]
     return out[0], out[1]
@@ -87,7 +87,7 @@ def _between(lo: Key, hi: Key, n: int) -> list[Key]:
 
 def _from_sample(rows: DataFrame, shards: int, most: int = 4096) -> list[Key]:
     """The first probes: the keys of `most` rows with the least hash of the id, and within a text that makes up much of them, evenly spaced hashes of ids. Counts are exact whatever is probed; good probes save turns."""
-    found = rows.select("shard_h").orderBy("shard_i").limit(max(most, 64 * shards)).toPandas()["shard_h"].to_numpy(np.int64)
+    found = fetch(rows.select("shard_h").orderBy("shard_i").limit(max(most, 64 * shards)))["shard_h"].astype(np.int64)
     h, n = np.unique(found.view(np.uint64) ^ np.uint64(1 << 63), return_counts=True)
     out = {(int(x), 0) for x in h}
     for x, k in zip(h.tolist(), n.tolist()):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedira.llm.common import _powers, gathered, mix, parts, read, slices, spans, text_buffers, word_hashes
+from sedira.llm.common import Scratch, _powers, gathered, lean, mix, most_frequent, parts, read, slices, spans, text_buffers, word_hashes
 
 WORDS = 24
 #: A span found `HOT_HERE` times in a few million counts as hot; the list has at most `HOT_MOST` entries (under 4 MB).
@@ -99,7 +99,7 @@ def _rows(docs: DataFrame, words: int, hot, keep_hot: bool) -> DataFrame:
                 ids = b.column("doc_id").to_numpy(zero_copy_only=False)[doc]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids.astype(np.int64)), pa.array(at.astype(np.int64))], ["h", "doc_id", "at"])
 
-    return docs.mapInArrow(run, "h long, doc_id long, at long")
+    return docs.mapInArrow(lean(run), "h long, doc_id long, at long")
 
 
 def _hot(docs: DataFrame, words: int) -> np.ndarray:
@@ -109,8 +109,9 @@ def _hot(docs: DataFrame, words: int) -> np.ndarray:
             n, h = n[n >= HOT_HERE], h[n >= HOT_HERE]
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    top = docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HOT_MOST)
-    return np.sort(top.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))  # bounded by HOT_MOST
+    found = docs.mapInArrow(lean(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top, _ = most_frequent(Scratch(docs.sparkSession).keep(found, "hot"), "n", HOT_MOST)
+    return np.sort(top["h"].astype(np.int64).view(np.uint64))
 
 
 def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -144,7 +145,7 @@ def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
             before = (h[-1], fi[-1], fa[-1])
             yield pa.RecordBatch.from_arrays([pa.array(ids[again]), pa.array(at[again])], ["doc_id", "at"])
 
-    rare = _rows(docs, words, hot, False).repartition(parts(spark), "h").sortWithinPartitions("h", "doc_id", "at").mapInArrow(later, "doc_id long, at long")
+    rare = _rows(docs, words, hot, False).repartition(parts(spark), "h").sortWithinPartitions("h", "doc_id", "at").mapInArrow(lean(later), "doc_id long, at long")
     if not len(hot.value):
         return rare
     common = _rows(docs, words, hot, True)
@@ -190,5 +191,5 @@ def _cut(text: str | None, marks) -> tuple:
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
     return remove(docs).select("doc.doc_id", "n_sentences", "n_removed", F.size("removed").alias("n_spans"), "text")
