@@ -34,7 +34,7 @@ _ODD = re.compile(r"[\x1c-\x1f\u03a3\u0130]|<\|")
 _MARK = re.compile(r"(?<=[^\W_])([.,])(?=\s|\Z)")
 _PLAIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 #: Chunks whose ids a worker remembers, in each of two generations; a bound of memory, not of what is encoded.
-CACHE_CHUNKS = 120_000
+CACHE_CHUNKS = 300_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -148,7 +148,7 @@ def patterns(present: np.ndarray, length: int, slack: int = 0) -> np.ndarray:
     return np.concatenate(out)
 
 
-def fit(counts: np.ndarray, pats: np.ndarray, rounds: int = 2000) -> np.ndarray:
+def fit(counts: np.ndarray, pats: np.ndarray, rounds: int = 800) -> np.ndarray:
     """Non-negative least squares, min |W (A x - counts)| with column p of A holding pattern p, by multiplicative updates on the sparse A. W weighs lengths by their size: a long piece that is left over costs a sequence, short ones fill gaps."""
     size = len(counts)
     weight = (np.arange(size) / size) ** 2
