@@ -45,6 +45,20 @@ def test_near_duplicates(spark, small, monkeypatch):
     assert n.max() > 20
 
 
+def test_families_that_fill_lists(spark):
+    """Each list is full of its own family; the links between the families count all the same."""
+    rng = np.random.default_rng(3)
+    near = lambda v, c: c * v / np.linalg.norm(v) + np.sqrt(1 - c * c) * (w := rng.standard_normal(64)) / np.linalg.norm(w)
+    first = rng.standard_normal(64)
+    second = near(first, 0.97)
+    x = [near(c, 0.995).tolist() for c in (first, second) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>").repartition(3)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nv.near_duplicates(df, 0.95).collect()}
+    n, root = brute(x, 0.95)
+    assert set(root) == {0} and n.min() > 40
+    assert got == {k: (n[k], root[k]) for k in range(len(x))}
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert nv.near_duplicates(df).count() == 0
