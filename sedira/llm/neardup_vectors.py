@@ -3,7 +3,8 @@
 1. Equal vectors are one class from there on.
 2. Neighbour lists are seeded from a forest of sign hashes: in each tree, vectors with the same signs against some random
    planes meet in a leaf, and each gets its nearest ones there. The number of trees follows from the number of planes, so
-   that a single pair right at the threshold is met with the asked probability whatever the size of the input.
+   that a single pair right at the threshold is met with the asked probability whatever the size of the input and of the
+   leaf: all pairs of a heavy leaf meet, or it has a forest of its own with as small a chance to miss one.
 3. The graph is refined: all neighbours of a vector, in either direction, are compared with each other, and every list
    keeps its nearest, until hardly any link is new. Lists hold only what lies above the cosine that two steps of the
    threshold can bridge, as nothing farther leads to a link; most vectors have no list at all.
@@ -32,8 +33,10 @@ from pyspark.sql import functions as F
 
 from sedira.llm.common import bounds, components, lean, parts, read, Scratch, whole_groups
 
-#: Neighbours in a list; vectors in a leaf on average, and at most; members of a pivot's or component's tile.
+#: Neighbours in a list; vectors in a leaf on average, and compared at once at most; members of a pivot's or component's tile.
 K, LEAF, LEAF_MOST, TILE = 16, 128, 4096, 1024
+#: Planes of a tree that parts a leaf; blocks of LEAF_MOST / 2 up to which a leaf is never parted.
+MORE, BLOCKS = 10, 16
 #: Chance to miss a lone pair at the threshold in the forest; queries of the audit, the recall it asks for, forests at most.
 MISS, AUDIT, RECALL, FORESTS = 1e-3, 256, 0.99, 3
 
@@ -118,10 +121,44 @@ def _neighbours(rows: DataFrame, key: str, floor: float, least: float, k: int, p
     return rows.repartition(partitions, key).sortWithinPartitions(key).mapInArrow(lean(run), "cls long, ids binary, sims binary, root long")
 
 
+def trees_for(bits: int, threshold: float) -> int:
+    """Trees with `bits` planes each that a pair at the threshold is missed by with a chance of MISS at most, also if each tree's leaves are parted by a forest that misses as much."""
+    together = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
+    return 1 if together > 0.9999 else math.ceil(math.log(MISS) / math.log(1 - together * (1 - MISS)))
+
+
+def _parted(rows: DataFrame, trees: int, subs: int, seed: int) -> DataFrame:
+    """(leaf, sub, cls, vec, dim): the rows of each leaf in the leaves of a forest of its own, of `subs` trees of MORE planes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[tuple[int, int], np.ndarray] = {}
+        weights = 1 << np.arange(MORE, dtype=np.int64)
+        for b in batches:
+            dims, tree = b.column("dim").to_numpy(), (b.column("leaf").to_numpy() >> 16) % trees
+            for dim, t in sorted(set(zip(dims.tolist(), tree.tolist()))):
+                part = b.take(pa.array(np.flatnonzero((dims == dim) & (tree == t))))
+                x = _unit(part.column("vec").to_pylist(), dim)
+                if (dim, t) not in planes:
+                    planes[dim, t] = np.random.default_rng([seed, t, dim, 1]).standard_normal((subs, dim, MORE))
+                for k, p in enumerate(planes[dim, t]):
+                    yield pa.RecordBatch.from_arrays([part.column("leaf"), pa.array(k << MORE | (x @ p > 0) @ weights), *(part.column(c) for c in ("cls", "vec", "dim"))], ["leaf", "sub", "cls", "vec", "dim"])
+
+    return rows.select("leaf", "cls", "vec", "dim").mapInArrow(lean(run), "leaf long, sub long, cls long, vec binary, dim int")
+
+
+def _tiled(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """The rows with the leaves of `heavy` (leaf, m) dealt out in tiles of two blocks each, in one of which any two of a leaf meet."""
+    rows = rows.select("leaf", "cls", "vec", "dim").join(heavy, "leaf", "left").withColumn("blocks", F.coalesce(F.ceil(2 * F.col("m") / LEAF_MOST), F.lit(1)).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls", "leaf"), F.col("blocks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: (o != F.col("own")) | (F.col("blocks") == 1))
+    rows = rows.withColumn("other", F.explode(others))
+    tile = F.xxhash64("leaf", F.least("own", "other"), F.greatest("own", "other"))
+    return rows.select(F.when(F.col("blocks") == 1, F.col("leaf")).otherwise(tile).alias("leaf"), "cls", "vec", "dim")
+
+
 def forest(by: DataFrame, bits: int, trees: int, seed: int, floor: float, least: float, k: int, scratch: Scratch) -> DataFrame:
-    """Lists from the leaves of `trees` trees. A leaf over LEAF_MOST is parted by more planes, and if that does not help, because its vectors are nearly one, at random."""
+    """Lists from the leaves of `trees` trees. In a leaf over LEAF_MOST, all pairs are compared in tiles; one of more than BLOCKS blocks is parted first by a forest of its own, if that leaves fewer pairs to compare (it does not if its vectors are nearly one)."""
     spark = by.sparkSession
-    more = 10
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, list[np.ndarray]] = {}
@@ -132,20 +169,28 @@ def forest(by: DataFrame, bits: int, trees: int, seed: int, floor: float, least:
                 part = b.take(pa.array(rows))
                 x = _unit(part.column("vec").to_pylist(), dim)
                 if dim not in planes:
-                    planes[dim] = [_planes(seed, t, bits + more, dim) for t in range(trees)]
-                weights = 1 << np.arange(bits + more, dtype=np.int64)
+                    planes[dim] = [_planes(seed, t, bits, dim) for t in range(trees)]
+                weights = 1 << np.arange(bits, dtype=np.int64)
                 for t, p in enumerate(planes[dim]):
-                    code = (x @ p > 0) @ weights
-                    leaf = ((code & ((1 << bits) - 1)) * trees + t) * 65536 + dim % 65536
-                    yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(code >> bits), *(part.column(c) for c in ("cls", "vec", "dim"))], ["leaf", "sub", "cls", "vec", "dim"])
-
-    rows = by.select("cls", "vec", "dim").mapInArrow(lean(run), "leaf long, sub long, cls long, vec binary, dim int")
-    full = rows.groupBy("leaf", "sub").count()
-    heavy = full.groupBy("leaf").agg(F.sum("count").alias("m")).where(F.col("m") > LEAF_MOST).select("leaf")
-    heavy = scratch.keep(full.join(heavy, "leaf").withColumn("ways", F.ceil(F.col("count") / LEAF_MOST)).select("leaf", "sub", "ways"), f"heavy{seed}")
+                    leaf = (((x @ p > 0) @ weights) * trees + t) * 65536 + dim % 65536
+                    yield pa.RecordBatch.from_arrays([pa.array(leaf), *(part.column(c) for c in ("cls", "vec", "dim"))], ["leaf", "cls", "vec", "dim"])
+
+    rows = by.select("cls", "vec", "dim").mapInArrow(lean(run), "leaf long, cls long, vec binary, dim int")
+    heavy = scratch.keep(rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > LEAF_MOST), f"heavy{seed}")
     if not heavy.isEmpty():
-        rows = rows.join(heavy, ["leaf", "sub"], "left").withColumn("leaf", F.when(F.col("ways").isNull(), F.col("leaf")).otherwise(F.xxhash64("leaf", "sub", F.pmod(F.xxhash64("cls", "leaf"), F.col("ways")))))
-    return _neighbours(rows.select("leaf", "cls", "vec", "dim"), "leaf", floor, least, k, parts(spark))
+        wide = heavy.where(2 * F.col("m") > BLOCKS * LEAF_MOST)
+        subs = trees_for(MORE, least)
+        if wide.isEmpty():
+            rows = _tiled(rows, heavy)
+        else:
+            sizes = scratch.keep(_parted(rows.join(wide, "leaf", "left_semi"), trees, subs, seed).groupBy("leaf", "sub").agg(F.count(F.lit(1)).alias("m")), f"parts{seed}")
+            pairs = sizes.groupBy("leaf").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("pairs"))
+            pay = scratch.keep(wide.join(pairs, "leaf").where(F.col("pairs") < F.col("m").cast("double") * F.col("m")).select("leaf"), f"parted{seed}")
+            named = F.xxhash64("leaf", "sub").alias("leaf")
+            inner = sizes.where(F.col("m") > LEAF_MOST).join(pay, "leaf", "left_semi").select(named, "m")
+            parted = _parted(rows.join(pay, "leaf", "left_semi"), trees, subs, seed).select(named, "cls", "vec", "dim")
+            rows = _tiled(rows.join(pay, "leaf", "left_anti"), heavy).unionByName(_tiled(parted, inner))
+    return _neighbours(rows, "leaf", floor, least, k, parts(spark))
 
 
 def merge(lists: DataFrame, k: int) -> DataFrame:
@@ -252,8 +297,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = K, scr
     n = by.count()
     floor = max(-1.0, 2 * threshold * threshold - 1) if threshold > 0.5 else -1.0
     bits = max(0, round(math.log2(max(n, 1) / LEAF)))
-    together = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
-    trees = 1 if together > 0.9999 else math.ceil(math.log(MISS) / math.log(1 - together))
+    trees = trees_for(bits, threshold)
     lists, joined, found = None, None, 0
 
     def take(new: DataFrame, name: str) -> None:

@@ -59,6 +59,28 @@ def test_families_that_fill_lists(spark):
     assert got == {k: (n[k], root[k]) for k in range(len(x))}
 
 
+@pytest.mark.parametrize("blocks", [1000, 3])
+def test_lone_pairs_in_heavy_leaves(spark, blocks, monkeypatch):
+    """Vectors with a mean cosine of .7 crowd into few leaves; one forest has to find the lone pairs there without an audit's help."""
+    monkeypatch.setattr(nv, "LEAF", 16)
+    monkeypatch.setattr(nv, "LEAF_MOST", 40)
+    monkeypatch.setattr(nv, "BLOCKS", blocks, raising=False)
+    monkeypatch.setattr(nv, "FORESTS", 1)
+    monkeypatch.setattr(nv, "MISS", 1e-5)  # of 150 pairs, none by chance
+    monkeypatch.setattr(nv, "audit", lambda by, threshold: by.select(by["cls"].alias("a"), by["cls"].alias("b")).limit(0))
+    rng = np.random.default_rng(6)
+    u = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = u(1.5 * u(rng.standard_normal(48)) + u(rng.standard_normal((1200, 48))))
+    other = rng.standard_normal((150, 48))
+    other = u(other - (other * x[:150]).sum(1, keepdims=True) * x[:150])
+    x = np.concatenate([x, 0.952 * x[:150] + np.sqrt(1 - 0.952**2) * other])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {r["vec_id"]: r["n_links"] for r in nv.near_duplicates(df, 0.95).collect()}
+    want = (x @ x.T >= 0.95).sum(1) - 1
+    assert want.max() == 1 and want.sum() == 300
+    assert got == dict(enumerate(want))
+
+
 def test_no_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert nv.near_duplicates(df).count() == 0
