@@ -77,7 +77,7 @@ def _needed(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
-    """doc_id, n (set size), cls (hash of the set), key0 and key1 (least-hash shingles), prefix (bytes); frequent: a broadcast of the frequent shingles."""
+    """doc_id, hash (of the text), n (set size), cls (hash of the set), key0 and key1 (least-hash shingles), prefix (bytes); frequent: a broadcast of the frequent shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -91,10 +91,10 @@ def signatures(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
                         key[full] = np.minimum.reduceat(mix(h ^ seed), to[:-1][full])
                 keep = np.where(n > 0, n - _needed(n, percent) + 1, 0)
                 prefix = [h[a : a + p].tobytes() for a, p in zip(to[:-1], keep)]
-                cols = [b.column("doc_id"), n.astype(np.int64), _classes(h, to).view(np.int64), *(key.view(np.int64) for key in keys), pa.array(prefix, pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], ["doc_id", "n", "cls", "key0", "key1", "prefix"])
+                cols = [b.column("doc_id"), b.column("hash"), n.astype(np.int64), _classes(h, to).view(np.int64), *(key.view(np.int64) for key in keys), pa.array(prefix, pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in cols], ["doc_id", "hash", "n", "cls", "key0", "key1", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, cls long, key0 long, key1 long, prefix binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(lean(run), "doc_id long, hash long, n long, cls long, key0 long, key1 long, prefix binary")
 
 
 def _classes(h: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -270,7 +270,7 @@ def open_groups(rows: DataFrame, percent: int, partitions: int, search: bool = T
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id and cls (the class of equal sets; 0 for the empty one), one row a document."""
+    """doc_id, n_shingles, component_id, cls (the class of equal sets; 0 for the empty one), label (of the component; null for the empty set) and hash (of the text), one row a document."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     p = parts(spark)
@@ -318,9 +318,9 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | None
     merged = components(scratch, across, "merged")
     named = of.join(merged, F.col("rep") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("label", "rep").alias("label"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    final = scratch.keep(named.join(least, "label").select("cls", "component_id"), "final")
-    out = sigs.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(final, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "cls")
+    final = scratch.keep(named.join(least, "label").select("cls", "component_id", "label"), "final")
+    out = sigs.select("doc_id", F.col("n").alias("n_shingles"), "cls", "hash").join(final, "cls", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "cls", "label", "hash")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -345,13 +345,19 @@ def _tokens(docs: DataFrame, wanted: DataFrame, k: int, frequent) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
-    """The documents' own columns; of each group of linked documents the one with the least doc_id stays (once, if its row is repeated). Documents with the empty set all stay."""
-    found = link(docs, k, percent, scratch)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"), F.lit(True).alias("_is_gone")).distinct()
-    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("_id"))
-    kept = rows.join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti").select("doc.*")
-    twice = found.groupBy("doc_id").count().where("count > 1")
-    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    """The documents' own columns; of each group of linked documents one stays, that with the least doc_id (null after all others) and then the least hash of its text, once if its row is repeated. Ids need not be unique: a document is told by id and text. Documents with the empty set all stay."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    found = scratch.keep(link(docs, k, percent, scratch).where("n_shingles > 0").groupBy("label", "doc_id", "hash").agg(F.count(F.lit(1)).alias("n")), "found")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    best = found.groupBy("label").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("m")).where("m > 1").select("label", "best")
+    gone = found.join(best, "label").where(rank != F.col("best")).select(F.col("doc_id").alias("_gone"), F.col("hash").alias("_text"))
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_hash"))
+    same = F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_hash") == F.col("_text"))
+    kept = rows.join(gone, same, "left_anti")
+    twice = found.where("n > 1").select(F.col("doc_id").alias("_gone"), F.col("hash").alias("_text"))
+    if not twice.isEmpty():
+        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["_id", "_hash"]))
+    return kept.select("doc.*")
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

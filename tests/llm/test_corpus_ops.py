@@ -265,6 +265,19 @@ def test_jaccard(documents, plain, k, percent, block, monkeypatch):
         assert jaccard.link(documents.where("false"), k, percent).count() == 0
 
 
+def test_deduplicate_ids_that_tell_nothing(spark):
+    """Null and repeated ids: one document of each group stays, and what is linked with nothing stays."""
+    say = lambda c: " ".join(f"{c}{k}" for k in range(40))
+    near = lambda c: say(c) + " more"
+    rows = [(None, say("a")), (1, near("a")), (None, say("clean")), (None, ""), (None, ""), (5, say("b")), (5, say("c")), (2, near("b"))]
+    rows += [(7, say("d")), (7, near("d")), (None, say("e")), (None, near("e")), (9, say("f")), (9, say("f"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in jaccard.deduplicate(df).collect()), key=str)
+    either = lambda i, c: next(x for x in got if x[0] == i and x[1] in (say(c), near(c)))
+    want = [(1, near("a")), (None, say("clean")), (None, ""), (None, ""), (5, say("c")), (2, near("b")), either(7, "d"), either(None, "e"), (9, say("f"))]
+    assert got == sorted(want, key=str)
+
+
 # ---- fingerprints ------------------------------------------------------------------------------------------------
 
 
