@@ -61,3 +61,14 @@ def test_query_without_sql(spark, name):
     for k in list(texts)[:25]:
         if texts[k]:
             assert rows[k][column] == f(texts[k])
+
+
+def test_base64_strict_takes_whole_texts(spark, tmp_path, monkeypatch):
+    """What is decoded is all of a long text."""
+    from pyspark.sql import functions as F
+
+    whole = catalog.codec.base64_decode
+    monkeypatch.setattr(catalog.codec, "base64_decode", lambda c: F.when(F.length(whole(c)) >= 300_000, c))
+    spark.createDataFrame([(3, "héllo " * 50_000), (5, "short")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["valid"] for r in catalog.queries()["base64_strict"](spark, str(tmp_path)).collect()}
+    assert got == {3: True, 5: False}
