@@ -1,43 +1,49 @@
 """Language identification of mixed-language text: script ranges, per-word scores, Viterbi.
 
 A model is learned from labelled texts: for each language, log probabilities of character trigrams of words (with word
-ends) under add-one smoothing, and the scripts its words are written in. Words are runs of letters in lower case. A
-word's script leaves the languages that were seen in that script (all, if none was); each gets the word's mean-corrected
-log likelihood, and Viterbi with a penalty for every switch labels the words of the whole text, so that spans of one
-language come out. The prediction is the language with most letters in its spans, the score the share of those letters
-times the mean posterior of the language on them.
-
-The model is fitted on a bounded sample of labelled rows, `SAMPLE` texts a language, taken by a hash of the text; words
-are scored by a table that is filled as words occur, with a bound on its memory only.
-
-Cases: a null text, or one without letters, is `und` with score 0; rows without a language are not learned from; without
-any labelled row every text with letters is `und`; repeated rows count once in the sample; very long texts are labelled
-whole. `identify` keeps other columns in a struct.
+ends) under add-one smoothing, and the scripts its words are written in. Words are runs of letters and their marks, in
+lower case. A word's script leaves the languages that were seen in that script (all, if none was); each gets the word's log
+likelihood, and Viterbi with a penalty for every switch labels the words of the whole text, so that spans of one language
+come out. A span is as sure as the posterior of its language given all its words. The prediction is the language with most
+letters in its spans; the score is the mean sureness of all letters, where those of other languages' spans count as 0, and
+`sure` is the same with all spans counted, which a text in several languages does not lower.
+
+The model is fitted on a bounded sample of labelled rows, `SAMPLE` texts a language, taken by a hash of the text; the texts
+are counted where they lie, and the driver gets the distinct trigrams of each language. Words are scored by a table that is
+filled as words occur, with a bound on its memory only.
+
+Cases: a null text, or one without letters (numerals such as ² or Ⅷ are none), is `und` with score 0; rows without a
+language are not learned from; without any labelled row every text with letters is `und`; repeated rows count once in the
+sample; very long texts are labelled whole. `identify` keeps other columns in a struct.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+import sys
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedira.llm.common import Scratch, doc_crc, read, release
+from sedira.llm.common import Scratch, doc_crc, lean, read, release
 
 SAMPLE = 600
 #: Languages whose counts are broadcast at most.
 BROADCAST = 1 << 16
 SWITCH = 6.0
 UNKNOWN = "und"
-WORDS = re.compile(r"[^\W\d_]+")
-#: Words of which a worker remembers the scores, in each of two generations.
-CACHE_WORDS = 200_000
+#: Words whose scores a worker remembers between slices of texts; numbers (of words times languages) that are held at once.
+CACHE_WORDS, NUMBERS = 200_000, 1 << 20
 #: First code points of runs of one script, and the script (fixed values: the blocks of the public code charts, summarily).
 SCRIPTS = [
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
@@ -48,15 +54,31 @@ SCRIPTS = [
     (0xFB10, "other"), (0xFF21, "latin"), (0xFF66, "kana"), (0xFFA0, "hangul"), (0x20000, "han"),
 ]
 _FIRST = [s for s, _ in SCRIPTS]
+_EXCLUDED = -1e9
+
+
+@functools.cache
+def word_pattern() -> re.Pattern:
+    """A letter (general category L) and the letters and marks (M) after it."""
+
+    def ranges(kinds: str) -> str:
+        inside = np.array([unicodedata.category(chr(c))[0] in kinds for c in range(sys.maxunicode + 1)])
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+        return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edge.reshape(-1, 2))
+
+    return re.compile(f"[{ranges('L')}][{ranges('LM')}]*")
 
 
 def script(word: str) -> str:
     return SCRIPTS[bisect_right(_FIRST, ord(word[0])) - 1][1]
 
 
-def _grams(word: str) -> list[str]:
-    w = f"<{word}>"
-    return [w[i : i + 3] for i in range(len(w) - 2)]
+class _Ids(dict):
+    """Numbers of words in the order they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 @dataclass
@@ -66,50 +88,77 @@ class Model:
     weights: np.ndarray
     scripts: dict[str, np.ndarray]
     switch: float = SWITCH
-    young: dict = field(default_factory=dict)
-    old: dict = field(default_factory=dict)
+    ids: _Ids = field(default_factory=_Ids)  # words met, and their scores and letters
+    scores: np.ndarray | None = None
+    letters: np.ndarray | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"young": {}, "old": {}}
-
-    def score(self, word: str) -> np.ndarray:
-        """Log likelihood of each language less the best one's; -inf where the script rules a language out."""
-        got = self.old.get(word)
-        if got is None:
-            get, w = self.rows.get, f"<{word}>"
-            s = self.weights[[get(w[i : i + 3], 0) for i in range(len(w) - 2)]].sum(0)
-            if (allowed := self.scripts.get(script(word))) is not None and not allowed.all():
-                s = np.where(allowed, s, -1e9)
-            got = s - s.max()
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        self.young[word] = got
-        return got
+        return self.__dict__ | {"ids": _Ids(), "scores": None, "letters": None}
+
+    def numbers(self, texts: list[str]) -> list[np.ndarray]:
+        """The words of each text as rows of `scores`, which holds all of them then."""
+        if self.scores is None or len(self.ids) > CACHE_WORDS:
+            self.ids, self.scores, self.letters = _Ids(), np.zeros((0, len(self.languages)), np.float32), np.zeros(0, np.int32)
+        words, number = word_pattern().findall, self.ids.__getitem__
+        out = [np.fromiter(map(number, words(t.lower())), np.int32) for t in texts]
+        if len(self.ids) > len(self.scores):
+            new = list(self.ids)[len(self.scores) :]
+            at = 0
+            scores = [self.scores]
+            while at < len(new):
+                part = new[at : at + max(1, NUMBERS // (8 * len(self.languages)))]
+                scores.append(self._scored(part))
+                at += len(part)
+            self.scores = np.concatenate(scores)
+            self.letters = np.concatenate([self.letters, np.array([len(w) for w in new], np.int32)])
+        return out
+
+    def _scored(self, words: list[str]) -> np.ndarray:
+        """Log likelihood of each language less the best one's; very low where the script rules a language out."""
+        get = self.rows.get
+        grams = [get(w[i : i + 3], 0) for word in words for w in (f"<{word}>",) for i in range(len(word))]
+        at = np.concatenate([[0], np.cumsum([len(w) for w in words])[:-1]])
+        s = np.add.reduceat(self.weights[grams], at)
+        every = np.ones(len(self.languages), bool)
+        kinds: dict[str, int] = {}
+        of = [kinds.setdefault(script(w), len(kinds)) for w in words]
+        s[~np.array([self.scripts.get(k, every) for k in kinds])[of]] = _EXCLUDED
+        return s - s.max(1, keepdims=True)
 
 
 def fit(sample: DataFrame, switch: float = SWITCH) -> Model:
-    """`sample`: text, lang; bounded by the caller, and collected."""
-    rows = sample.select("text", "lang").toPandas()
-    languages = sorted(rows["lang"].unique())
-    grams: list[Counter] = [Counter() for _ in languages]
+    """`sample`: text, lang. Trigrams and scripts are counted by language where the texts are; what is fetched is bounded by the trigrams of each language's words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, Counter] = {}
+        for b in batches:
+            for t, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
+                words.setdefault(lang, Counter()).update(word_pattern().findall(t.lower()))
+        out: Counter = Counter()
+        for lang, found in words.items():
+            for word, n in found.items():
+                out[lang, True, script(word)] += n
+                w = f"<{word}>"
+                for i in range(len(word)):
+                    out[lang, False, w[i : i + 3]] += n
+        if out:
+            cols = list(zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.string()), pa.array(list(out.values()), pa.int64())], ["lang", "is_script", "item", "n"])
+
+    table = sample.select("text", "lang").mapInArrow(lean(count), "lang string, is_script boolean, item string, n long").groupBy("lang", "is_script", "item").agg(F.sum("n").alias("n")).toPandas()
+    languages = sorted(table["lang"].unique())
+    grams, scripts = table[~table["is_script"].astype(bool)], table[table["is_script"].astype(bool)]
+    every = sorted(grams["item"].unique())
+    row, column = {g: k for k, g in enumerate(every, 1)}, {x: k for k, x in enumerate(languages)}
+    counts = np.zeros((len(every) + 1, len(languages)))
+    counts[grams["item"].map(row).to_numpy(int), grams["lang"].map(column).to_numpy(int)] = grams["n"]
+    base = np.log(counts.sum(0) + len(every) + 1)
     seen: dict[str, np.ndarray] = {}
-    for k, language in enumerate(languages):
-        words: Counter = Counter()
-        for t in rows.loc[rows["lang"] == language, "text"]:
-            words.update(WORDS.findall(t.lower()))
-        total = sum(words.values())
-        by_script: Counter = Counter()
-        for w, n in words.items():
-            by_script[script(w)] += n
-            for g in _grams(w):
-                grams[k][g] += n
-        for s, n in by_script.items():
-            if n >= 0.01 * total:
-                seen.setdefault(s, np.zeros(len(languages), bool))[k] = True
-    every = sorted(set().union(*grams)) if grams else []
-    base = np.array([math.log(sum(g.values()) + len(every) + 1) for g in grams])
-    counts = np.array([[0] * len(grams), *([c[g] for c in grams] for g in every)], float)
-    return Model(list(languages), {g: k for k, g in enumerate(every, 1)}, np.log(counts + 1.0) - base, seen, switch)
+    total = scripts.groupby("lang")["n"].sum()
+    for lang, item, n in zip(scripts["lang"], scripts["item"], scripts["n"]):
+        if n >= 0.01 * total[lang]:
+            seen.setdefault(item, np.zeros(len(languages), bool))[column[lang]] = True
+    return Model(list(languages), row, (np.log(counts + 1.0) - base).astype(np.float32), seen, switch)
 
 
 def sample(docs: DataFrame, each: int = SAMPLE) -> DataFrame:
@@ -126,71 +175,81 @@ def sample(docs: DataFrame, each: int = SAMPLE) -> DataFrame:
     return chosen.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "h"))).where(F.col("r") <= each).select("lang", "text")
 
 
-def label(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """Viterbi over the words of many texts at once: the step for the i-th word is taken for all texts that have one."""
+def viterbi(model: Model, texts: list[np.ndarray]) -> np.ndarray:
+    """The language of every word of texts (numbers of words, longest text first), one text after the other. The step for the i-th word is taken for all texts that have one; of each step a bit a language is kept (whether its best path stays) and the best language."""
     L = len(model.languages)
-    out, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    if not L:
-        return out, score
-    words = [WORDS.findall(t.lower()) if t else [] for t in texts]
-    order = sorted((k for k in range(len(texts)) if words[k]), key=lambda k: -len(words[k]))
-    if not order:
-        return out, score
-    n = np.array([len(words[k]) for k in order])
-    get, new = model.young.get, model.score
-    flat = np.array([s if (s := get(w)) is not None else new(w) for k in order for w in words[k]])
-    letters = np.array([len(w) for k in order for w in words[k]])
-    at = np.concatenate([[0], np.cumsum(n)[:-1]])
-    came = np.empty((len(flat), L), np.int8)  # from which language each word's best path comes
-    best = flat[at].copy()
+    n = np.array([len(t) for t in texts])
+    flat, at = np.concatenate(texts), np.concatenate([[0], np.cumsum(n)[:-1]])
+    stays, tops = np.zeros((len(flat), -(-L // 8)), np.uint8), np.zeros(len(flat), np.int32)
+    best = model.scores[flat[at]].copy()
     alive = len(n)
     for i in range(1, int(n[0])):
         while n[alive - 1] <= i:
             alive -= 1
-        b = best[:alive]
+        b, here = best[:alive], at[:alive] + i
         top = b.argmax(1)
         jump = b[np.arange(alive), top] - model.switch
         stay = b >= jump[:, None]
-        came[at[:alive] + i] = np.where(stay, np.arange(L), top[:, None])
-        best[:alive] = np.where(stay, b, jump[:, None]) + flat[at[:alive] + i]
-    path = np.empty(len(flat), np.int8)
-    now = best.argmax(1)
+        stays[here], tops[here] = np.packbits(stay, axis=1), top
+        best[:alive] = np.where(stay, b, jump[:, None]) + model.scores[flat[here]]
+    path = np.empty(len(flat), np.int32)
+    now = best.argmax(1).astype(np.int32)
     for i in range(int(n[0]) - 1, -1, -1):
         alive = int(np.searchsorted(-n, -i, "left"))  # texts with more than i words
-        path[at[:alive] + i] = now[:alive]
+        here, own = at[:alive] + i, now[:alive]
+        path[here] = own
         if i:
-            now[:alive] = came[at[:alive] + i, now[:alive]]
+            stay = stays[here, own >> 3] >> (7 - (own & 7)) & 1
+            now[:alive] = np.where(stay, own, tops[here])
+    return path
+
+
+def _sure(model: Model, flat: np.ndarray, path: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Posterior of the language of each span given its words; `first`: where spans start."""
+    sums = np.zeros((len(first), len(model.languages)))
+    step = max(1, NUMBERS // len(model.languages))
+    for a in range(0, len(flat), step):
+        lo, hi = np.searchsorted(first, a, "right") - 1, np.searchsorted(first, min(len(flat), a + step), "left")
+        cut = np.maximum(first[lo:hi], a) - a
+        sums[lo:hi] += np.add.reduceat(model.scores[flat[a : a + step]], cut)
+    sums -= sums[np.arange(len(first)), path[first]][:, None]
+    return 1 / np.exp(np.minimum(sums, 700)).sum(1)
+
+
+def label(model: Model, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+    """lang_pred, score and sure of each text."""
+    L = len(model.languages)
+    out, score, sure = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+    if not L:
+        return out, score, sure
+    words = model.numbers([t or "" for t in texts])
+    order = sorted((k for k in range(len(texts)) if len(words[k])), key=lambda k: -len(words[k]))
+    if not order:
+        return out, score, sure
+    words = [words[k] for k in order]
+    path = viterbi(model, words)
+    n, flat = np.array([len(w) for w in words]), np.concatenate(words)
     doc = np.repeat(np.arange(len(n)), n)
-    share = np.bincount(doc * L + path, letters, len(n) * L).reshape(len(n), L)
-    total = share.sum(1)
-    win = share.argmax(1)
-    # posterior of the winner on its own words, of each word by itself, averaged by letters
-    sure = np.exp(flat[np.arange(len(flat)), path]) / np.exp(flat).sum(1)
-    mine = path == win[doc]
-    mean = np.bincount(doc[mine], (sure * letters)[mine], len(n)) / share[np.arange(len(n)), win]
-    value = share[np.arange(len(n)), win] / total * mean
+    first = np.flatnonzero(np.concatenate([[True], (path[1:] != path[:-1]) | (doc[1:] != doc[:-1])]))
+    posterior = _sure(model, flat, path, first)
+    letters = np.add.reduceat(model.letters[flat].astype(np.int64), first)
+    of, lang = doc[first], path[first]
+    share = np.bincount(of * L + lang, letters, len(n) * L).reshape(len(n), L)
+    win, total = share.argmax(1), share.sum(1)
+    mine = lang == win[of]
+    value = np.bincount(of[mine], (posterior * letters)[mine], len(n)) / total
+    whole = np.bincount(of, posterior * letters, len(n)) / total
     for r, k in enumerate(order):
-        out[k], score[k] = model.languages[win[r]], float(min(1.0, max(0.0, value[r])))
-    return out, score
+        out[k], score[k], sure[k] = model.languages[win[r]], float(min(1.0, value[r])), float(min(1.0, whole[r]))
+    return out, score, sure
 
 
 def spans(model: Model, text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, language) of the spans of one text, in characters, from the first word of each to its last."""
-    found = list(WORDS.finditer(text or ""))
+    found = list(word_pattern().finditer(text or ""))
     if not found or not model.languages:
         return []
-    flat = np.array([model.score(m.group().lower()) for m in found])
-    L = len(model.languages)
-    best, came = flat[0], []
-    for s in flat[1:]:
-        top = int(best.argmax())
-        stay = best >= best[top] - model.switch
-        came.append(np.where(stay, np.arange(L), top))
-        best = np.where(stay, best, best[top] - model.switch) + s
-    path = [int(best.argmax())]
-    for c in reversed(came):
-        path.append(int(c[path[-1]]))
-    path.reverse()
+    path = viterbi(model, [np.concatenate(model.numbers([m.group() for m in found]))])
     out: list[tuple[int, int, str]] = []
     for m, p in zip(found, path):
         if out and out[-1][2] == model.languages[p]:
@@ -201,28 +260,28 @@ def spans(model: Model, text: str | None) -> list[tuple[int, int, str]]:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc (struct of the input's columns), lang_pred, score. The model (a few MB, bounded by the sample) is broadcast; there is no exchange."""
+    """doc (struct of the input's columns), lang_pred, score, sure. The model (a few MB, bounded by the sample) is broadcast; there is no exchange."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, sure double")
     def run(texts: pd.Series) -> pd.DataFrame:
-        pred, score = [], []
+        m: Model = shared.value
+        out = [None] * len(texts)
         values = texts.tolist()
-        at = 0
-        while at < len(values):  # about four million characters at a time
+        order = sorted(range(len(values)), key=lambda k: -len(values[k] or ""))  # long ones together
+        limit, at = max(1 << 16, 4 * NUMBERS // max(4, len(m.languages))), 0
+        while at < len(order):
             to, size = at, 0
-            while to < len(values) and (to == at or size < 4 << 20):
-                size += len(values[to] or "")
+            while to < len(order) and (to == at or size < limit):
+                size += len(values[order[to]] or "")
                 to += 1
-            p, s = label(shared.value, values[at:to])
-            pred += p
-            score += s
+            for k, row in zip(order[at:to], zip(*label(m, [values[k] for k in order[at:to]]))):
+                out[k] = row
             at = to
-        if size > 2 << 20:
-            release()
-        return pd.DataFrame({"lang_pred": pred, "score": score})
+        release()
+        return pd.DataFrame(out, columns=["lang_pred", "score", "sure"])
 
-    return docs.select(F.struct("*").alias("doc"), run("text").alias("found")).select("doc", "found.*")
+    return docs.select(F.struct("*").alias("doc")).select("doc", run("doc.text").alias("found")).select("doc", "found.*")
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,14 +7,16 @@ counts are rounded down and never above what is left, and the residual is packed
 counts of a length at a time. Pieces are then numbered within their length, and the number says the sequence and offset.
 
 Cases: null and empty texts are one piece that holds the end id only; repeated rows are packed as often as they occur;
-very long texts are cut but never shortened; an empty table gives no rows. Other columns are kept by `pieces`, in a
-struct, so that no name clashes.
+very long texts are cut but never shortened; an empty table gives no rows. Of the input only doc_id and text are read, so no
+other column can clash.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedira.llm.common import gapless, lean, read, Scratch
+from sedira.llm.common import gapless, read, release, Scratch
 
 LENGTH = 2048
 END = 0
@@ -46,9 +48,28 @@ def _byte_letters() -> dict[int, str]:
 
 
 _BYTES = _byte_letters()
+#: The steps of the tokenizers whose texts may be encoded chunk by chunk (fixed values, from such a tokenizer's file).
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_SPLIT = {"type": "Split", "pattern": {"Regex": _WORDS}, "behavior": "Removed", "invert": True}
+_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def by_chunks(tokenizer_json: dict) -> bool:
+    """Whether what `Encoder` takes for granted is true of a tokenizer: its own steps say so."""
+    model = tokenizer_json["model"]
+    return (
+        tokenizer_json["normalizer"] == _NORMALIZER
+        and tokenizer_json["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLIT, _LEVEL]}
+        and model["type"] == "BPE"
+        and not model["dropout"]
+        and not model["continuing_subword_prefix"]
+        and not model.get("ignore_merges")
+        and all(t["content"].startswith("<|") for t in tokenizer_json["added_tokens"])
+    )
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -77,9 +98,10 @@ class _Chunks(dict):
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes.
 
-    The tokenizer folds case, drops white space and lets no token cross it, nor one go from a letter or digit to a
-    following full stop or comma, so the ids of a text are those of its chunks between such places, which are looked up in
-    a cache. Texts on whose chunks the two notions of white space, case or special tokens could differ are encoded whole.
+    A tokenizer that folds case, drops white space and lets no token cross it, nor one go from a letter or digit to a
+    following full stop or comma, gives a text the ids of its chunks between such places, which are looked up in a cache.
+    Texts on whose chunks the two notions of white space, case or special tokens could differ, or that are not in normal
+    form (a letter may become a letter and a mark), are encoded whole; so is every text if the tokenizer's steps are others.
     """
 
     def __init__(self, path: str):
@@ -87,10 +109,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_chunks = by_chunks(json.load(f))
         self.chunks = _Chunks(self.tokenizer)
 
     def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if not self.by_chunks or _ODD.search(text) or not unicodedata.is_normalized("NFC", text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self.chunks) > CACHE_CHUNKS:
             old = self.chunks
@@ -123,8 +147,10 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+        encoder.chunks.old.clear()  # the worker lives on, perhaps for other work
+        release()
 
-    return docs.select("doc_id", "text").mapInArrow(lean(cut), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 # ---- the fit, over a histogram of at most `length` numbers ----------------------------------------------------------

@@ -106,6 +106,22 @@ def test_packing(documents):
     assert packing.pack_documents(documents.where("false"), path).count() == 0
 
 
+def test_other_tokenizers_encode_whole_texts():
+    import json
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e = packing.Encoder(path)
+    assert not e.by_chunks
+    for t in ["One, two. Three", " a  b", "it's 12.5, é."]:
+        assert np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() == e.encode(t)
+    with open(packing.default_tokenizer()) as f:
+        known = json.load(f)
+    assert packing.by_chunks(known)
+    assert not packing.by_chunks(known | {"normalizer": None}) and not packing.by_chunks(known | {"added_tokens": [{"content": "x"}]})
+
+
 def test_packing_plan_is_whole():
     rng = np.random.default_rng(3)
     for hist in ({5: 3}, {2048: 4, 1: 1}, {1025: 7}, {int(k): int(n) for k, n in zip(rng.integers(1, 2049, 300), rng.integers(1, 40, 300))}):
@@ -121,6 +137,12 @@ def test_packing_plan_is_whole():
 
 def test_encoder_equals_tokenizer():
     e = packing.Encoder(packing.default_tokenizer())
+    assert e.by_chunks
+    every = [c for c in [*range(0x3400), *range(0xA000, 0xAC10), *range(0xF900, 0x10000), *range(0x1D100, 0x1D200), *range(0x1F100, 0x1F200), *range(0x2F800, 0x2F900)]]
+    for form in ("a%s. B", "%s,"):
+        texts = [form % chr(c) for c in every]
+        for t, whole in zip(texts, e.tokenizer.encode_batch(texts, add_special_tokens=False)):
+            assert np.array(whole.ids, "<u4").tobytes() == e.encode(t), hex(ord(t[form.index("%")]))
     for t in ["İstanbul ΑΣ. it's we've, 'd <|endoftext|>x a\x1cb", "Ｆｕｌｌ １２３,. a... b.,c d'll. é. x_. ½. ² a²,  z", "<|STARTOFTEXT|>, don't. 'S", "", "́x. ,", "ß. Œ, œuvre. дом, дом. 中文。"]:
         assert np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() == e.encode(t)
 
@@ -213,18 +235,71 @@ def test_language(spark):
     asked = spark.createDataFrame([(1, say["en"], "x"), (2, say["fr"].upper(), "x"), (3, say["ru"], "x"), (4, None, "x"), (5, "123 !!", "x"), (6, say["en"] * 3 + say["fr"], "x"), (7, "", "x"), (1, say["en"], "x"), (8, "word " * 50_000, "x")], "doc_id long, text string, lang_pred string")
     got = langid.identify(asked, model).collect()
     assert [r["lang_pred"] for r in sorted(got, key=lambda r: r["doc"]["doc_id"])][:8] == ["en", "en", "fr", "ru", "und", "und", "en", "und"]
-    assert all(0 <= r["score"] <= 1 for r in got) and len(got) == 9
+    assert all(0 <= r["score"] <= r["sure"] <= 1 for r in got) and len(got) == 9
     assert [s[2] for s in langid.spans(model, mixed)] == ["en", "fr", "ru"]
+    assert langid.label(model, [mixed])[2][0] > 0.9 > langid.label(model, [mixed])[1][0]
     for t in (mixed, say["en"], say["ru"] + say["fr"]):  # all texts at once and one by one agree
         letters = collections.Counter()
         for a, b, lang in langid.spans(model, t):
-            letters[lang] += sum(len(m) for m in langid.WORDS.findall(t[a:b]))
+            letters[lang] += sum(len(m) for m in langid.word_pattern().findall(t[a:b]))
         assert langid.label(model, [say["fr"], t, None])[0][1] == letters.most_common(1)[0][0]
     none = langid.fit(docs.where("false").select("text", "lang"))
     assert {r["lang_pred"] for r in langid.identify(asked, none).collect()} == {"und"}
     assert langid.identify(asked.where("false"), model).count() == 0
 
 
+def test_words_are_letters_and_their_marks():
+    find = langid.word_pattern().findall
+    assert find("हिन्दी, ² ½ Ⅷ 12 naïve_x नुक़्ता.") == ["हिन्दी", "naïve", "x", "नुक़्ता"]
+    model = langid.Model(["a"], {}, np.zeros((1, 1), np.float32), {})
+    assert langid.label(model, ["² ½", "Ⅷ 12", "_", "é"])[0] == ["und", "und", "und", "a"]
+
+
+def log_likelihoods(model, text):
+    """Of each word and language, from the model's table alone."""
+    out = []
+    for word in langid.word_pattern().findall(text.lower()):
+        w, allowed = f"<{word}>", model.scripts.get(langid.script(word), [True] * len(model.languages))
+        s = [sum(float(model.weights[model.rows.get(w[i : i + 3], 0)][k]) for i in range(len(w) - 2)) if allowed[k] else -1e9 for k in range(len(model.languages))]
+        out.append((len(word), [x - max(s) for x in s]))
+    return out
+
+
+@pytest.mark.parametrize("languages", [3, 200])
+def test_viterbi_against_all_paths(spark, languages):
+    import itertools
+
+    rng = np.random.default_rng(languages)
+    grams = [a + b + c for a in "<xyz" for b in "xyz" for c in "xyz>"]
+    names = [f"l{k:03}" for k in range(languages)]
+    model = langid.Model(names, {g: k for k, g in enumerate(grams, 1)}, rng.normal(0, 1.5, (len(grams) + 1, languages)).astype(np.float32), {}, switch=2.0)
+    texts = [" ".join("".join(rng.choice(list("xyz"), rng.integers(1, 5))) for _ in range(rng.integers(1, 7 if languages == 3 else 4))) for _ in range(40)]
+    pred, score, sure = langid.label(model, texts)
+    for t, p, s, u in zip(texts, pred, score, sure):
+        each = log_likelihoods(model, t)
+        if languages == 3:
+            value = lambda path: sum(e[1][k] for e, k in zip(each, path)) - 2.0 * sum(a != b for a, b in zip(path, path[1:]))  # noqa: B023, E731
+            best = max(itertools.product(range(3), repeat=len(each)), key=value)
+            got = []
+            for a, b, lang in langid.spans(model, t):
+                got += [names.index(lang)] * len(t[a:b].split())
+            assert value(got) == pytest.approx(value(best), abs=1e-4)
+        else:
+            got = [names.index(lang) for a, b, lang in langid.spans(model, t) for _ in t[a:b].split()]
+        letters, weighed, mine, at = collections.Counter(), 0.0, collections.Counter(), 0
+        for lang, run in itertools.groupby(got):
+            m = len(list(run))
+            total = np.array([e[1] for e in each[at : at + m]]).sum(0)
+            n = sum(e[0] for e in each[at : at + m])
+            posterior = 1 / np.exp(total - total[lang]).sum()
+            letters[lang] += n
+            mine[lang] += n * posterior
+            weighed += n * posterior
+            at += m
+        assert letters[names.index(p)] == max(letters.values())
+        assert s == pytest.approx(mine[names.index(p)] / sum(letters.values()), abs=1e-4) and u == pytest.approx(weighed / sum(letters.values()), abs=1e-4)
+
+
 # ---- Jaccard -----------------------------------------------------------------------------------------------------
 
 
