@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from sedira.llm import jaccard, langid, mixing, packing, substrings
 from sedira.llm.common import Scratch, read
 
-#: A document whose language is no surer than this, or that has no letters, is rejected.
+#: A document whose spans are no surer of their languages than this (however many languages they are), or that has no letters, is rejected.
 LEAST_SURE = 0.25
-#: SQL cannot express the stages (Viterbi, a least-squares packing); tests hold each against brute force.
+#: SQL cannot express the stages (Viterbi, a least-squares packing); tests hold their operators against brute force.
 ORACLE_SQL = None
 
 
@@ -22,7 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language. The model is learned from a bounded sample of the labelled ones."""
     model = langid.fit(langid.sample(docs))
     found = langid.identify(docs, model)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SURE)).select("doc.*")
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("sure") >= LEAST_SURE)).select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
