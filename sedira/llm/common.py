@@ -39,8 +39,10 @@ def read(spark: SparkSession, sf_dir: str, table: str, spread: bool = False) ->
 
 
 def _shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a new local one where none is set (local tests)."""
+    """The cluster's shared folder; without one, a new folder of this machine if everything runs on it (local tests)."""
     if not (where := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="sedira-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -293,6 +295,30 @@ def gapless(df: DataFrame, group: list[str], bucket: str, order: list, name: str
     return df.withColumn("_row", F.row_number().over(within)).join(starts, [*group, bucket]).withColumn(name, (F.col("_from") + F.col("_row") - 1).cast("long")).drop("_from", "_row")
 
 
+#: Repeated documents (two numbers each) that are broadcast at most.
+REPEATED = 1 << 18
+
+
+def copy_numbers(docs: DataFrame, scratch: Scratch, name: str, by: list[str]) -> DataFrame:
+    """`docs` with `name`: the row's number (from 0, without gaps) among the rows that are equal in doc_id, text and the other columns of `by`. Only doc_ids are counted at first; where none occurs twice, that is all. Repeated rows are written and numbered by the partitions they came in, so one row that makes up much of a table is not gathered in a task."""
+    twice = scratch.keep(docs.groupBy(F.col("doc_id").alias("_twice")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_twice"), f"{name}-ids")
+    if twice.isEmpty():
+        return docs.withColumn(name, F.lit(0).cast("long"))
+    key = F.xxhash64(*(x for c in by for x in (F.col(c).isNull(), F.col(c))))
+    found = docs.select("doc_id", key.alias("_key")).join(_checked(twice), F.col("doc_id").eqNullSafe(F.col("_twice")), "left_semi")
+    found = scratch.keep(found.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key"), f"{name}-keys")
+    if found.isEmpty():
+        return docs.withColumn(name, F.lit(0).cast("long"))
+    keyed, found = docs.withColumn("_key", key), _checked(found)
+    copies = scratch.keep(keyed.join(found, "_key", "left_semi").withColumn("_bucket", F.spark_partition_id()), f"{name}-rows")
+    numbered = gapless(copies, ["_key"], "_bucket", [F.lit(0)], name)
+    return keyed.join(found, "_key", "left_anti").withColumn(name, F.lit(0).cast("long")).drop("_key").unionByName(numbered.drop("_key", "_bucket"))
+
+
+def _checked(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= REPEATED else df
+
+
 def components(scratch: Scratch, edges: DataFrame, name: str = "cc", mixed: Callable = lambda c: F.xxhash64(c, F.lit(7))) -> DataFrame:
     """Connected components of the undirected `edges` (a long, b long): (node, label), label equal for the nodes of a component and itself a node. Every node is merged into its least neighbour (in the order of a hash, so that chains are broken up), and the graph so contracted is taken again until no edge is left; each round is written to the shared folder. Nothing is gathered in the driver but a count."""
     rank = lambda c: F.struct(mixed(c).alias("r"), F.col(c).alias("id"))

@@ -1,12 +1,14 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 Tokens are counted by source, each source gets a rate of repetition (its target over its size), and every document is
-emitted floor(rate) times, plus once more with the probability of the fraction, decided by a hash of its id and text.
+emitted floor(rate) times, plus once more with the probability of the fraction f, decided by a hash u of its id and text:
+the j-th (from 0) of rows that are equal in id, text and source is emitted once more if a multiple of 1 lies in
+[j f - u, (j + 1) f - u), which is u < f for a row that is not repeated, and f of all copies for one that is.
 
 Cases: a null text has size 0 (and is emitted like any other document of its source); a null source is a source of its
-own, sorted last; repeated rows are decided alike, since the hash is of id and text; a source without words has target 0
-and rate 1, so its documents stay; an empty table gives an empty result; columns of the input are kept, and the
-operator's own columns start with `mix_`.
+own, sorted last; a source without words has target 0 and rate 1, so its documents stay; an empty table gives an empty
+result. `mix` returns the columns of the input whatever their names; `plan` adds columns that start with `mix_`, which
+the input must not have.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedira.llm.common import WORD, Scratch, read
+from sedira.llm.common import WORD, Scratch, copy_numbers, read
 
 CAP = 3
 #: Sources whose table (a name and two numbers each) is broadcast at most.
@@ -58,16 +60,17 @@ def plan(docs: DataFrame, weight: Column | None = None, cap: int = CAP, seed: in
     The table of sources is written and counted first: up to `BROADCAST` sources it is broadcast, and the documents stay
     where they are read; beyond that the join is left to the optimizer.
     """
-    spark = docs.sparkSession
-    sized = docs.withColumn("mix_size", tokens(F.col("text")))
+    scratch = Scratch(docs.sparkSession)
+    sized = copy_numbers(docs, scratch, "mix_nth", ["doc_id", "text", "source"]).withColumn("mix_size", tokens(F.col("text")))
     by = targets(docs.select("source", tokens(F.col("text")).alias("mix_size")), weight, cap).select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    by = Scratch(spark).keep(by, "sources")
+    by = scratch.keep(by, "sources")
     by = F.broadcast(by) if by.count() <= BROADCAST else by
     joined = sized.join(by, sized["source"].eqNullSafe(by["mix_source"])).drop("mix_source")
     rate = F.when(F.col("mix_source_size") > 0, F.least(F.lit(float(cap)), F.col("mix_target") / F.col("mix_source_size"))).otherwise(1.0)
     whole = F.floor(rate)
-    extra = (unit(seed, F.col("doc_id"), F.col("text")) < rate - whole).cast("long")
-    return joined.withColumn("mix_copies", (whole + extra).cast("long"))
+    part, u = rate - whole, unit(seed, F.col("doc_id"), F.col("text"))
+    extra = F.ceil((F.col("mix_nth") + 1) * part - u) - F.ceil(F.col("mix_nth") * part - u)
+    return joined.withColumn("mix_copies", (whole + extra).cast("long")).drop("mix_nth")
 
 
 def mix(docs: DataFrame, weight: Column | None = None, cap: int = CAP, seed: int = 2) -> DataFrame:
@@ -84,7 +87,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_OP2 = r"""
 WITH sized AS (
-  SELECT doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+  SELECT doc_id, text, source, row_number() OVER (PARTITION BY doc_id, text, source) - 1 AS nth, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 by_source AS (
   SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM sized GROUP BY source),
 capped AS (SELECT *, (source_size * 3)::DOUBLE AS cap, row_number() OVER (ORDER BY source ASC NULLS LAST) AS r FROM by_source),
@@ -93,8 +96,10 @@ levels AS (
     / sum(w) OVER (ORDER BY cap / w, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM capped),
 first_free AS (SELECT level FROM levels WHERE level * w <= cap ORDER BY cap / w, r LIMIT 1),
 targets AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM first_free) * w, cap)) AS target FROM levels),
-rates AS (SELECT *, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 1.0::DOUBLE END AS rate FROM targets)
-SELECT doc_id, size, source_size, target,
-  (size * (floor(rate) + CASE WHEN ('0x' || substr(md5('2:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source
+rates AS (SELECT *, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 1.0::DOUBLE END AS rate FROM targets),
+drawn AS (
+  SELECT doc_id, size, nth, source_size, target, floor(rate) AS whole, rate - floor(rate) AS part,
+    ('0x' || substr(md5('2:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source)
+SELECT doc_id, size, source_size, target, (size * (whole + ceil((nth + 1) * part - u) - ceil(nth * part - u)))::BIGINT AS taken FROM drawn
 """

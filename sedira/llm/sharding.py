@@ -1,14 +1,14 @@
 """Sharding by histogram sort.
 
-Documents are ordered by (hash of the text, hash of the id), so that equal texts are neighbours and a group of copies of
-any size can still be cut. Probes for every boundary are counted exactly: each partition adds up the bytes between
+Documents are ordered by (hash of the text, hash of the id and of the row's number among rows equal in both), so that equal
+texts are neighbours and a group of copies of any size, also of one repeated row, can still be cut. Probes for every boundary are counted exactly: each partition adds up the bytes between
 neighbouring probes, the sums of all partitions meet in the driver (a few hundred numbers a boundary), and the interval
 that holds a boundary is probed again until the count below the chosen probe is within tolerance. Where the tolerance
 allows it, a boundary is put between two groups of equal texts. Then the rows are exchanged once.
 
-Cases: a null text is empty (0 bytes, crc32 0), and a group with the empty texts; repeated rows are neighbours, in any
-order; a table of one document, or of none, leaves shards empty; other columns are kept by `shard`, whose own start with
-`shard_`.
+Cases: a null text is empty (0 bytes, crc32 0), and a group with the empty texts; repeated rows may be parted, like other
+equal texts, where a boundary needs it; a table of one document, or of none, leaves shards empty; `shard` keeps the
+input's columns in a struct, so that no name clashes.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedira.llm.common import fetch, lean, parts, read, Scratch
+from sedira.llm.common import copy_numbers, fetch, lean, parts, read, Scratch
 
 SHARDS = 24
 OVERHEAD = 8
@@ -32,14 +32,15 @@ Key = tuple[int, int]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """shard_size, shard_crc and the key (shard_h, shard_i) of each row."""
+    """doc, shard_size, shard_crc and the key (shard_h, shard_i) of each row of doc, doc_id, text, shard_nth."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({
-        "shard_size": (F.octet_length(text) + OVERHEAD).cast("long"),
-        "shard_crc": F.crc32(F.encode(text, "UTF-8")),
-        "shard_h": F.xxhash64(text),
-        "shard_i": F.xxhash64(F.lit(5), F.col("doc_id")),
-    })
+    return docs.select(
+        "doc",
+        (F.octet_length(text) + OVERHEAD).cast("long").alias("shard_size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("shard_crc"),
+        F.xxhash64(text).alias("shard_h"),
+        F.xxhash64(F.lit(5), F.col("doc_id"), F.col("shard_nth")).alias("shard_i"),
+    )
 
 
 def _unsigned(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -104,9 +105,11 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE, probes
     hi: list[Key] = [(1 << 64, 0)] * (shards - 1)
     best: list[tuple[float, Key]] = [(float("inf"), (_TOP, _TOP))] * (shards - 1)
     first = _from_sample(rows, shards)
-    for turn in range(40):
+    turn = 0
+    while True:  # each turn divides the intervals by the number of probes, until all are within tolerance or no key is left between
         ask = first if not turn else sorted({p for k in range(shards - 1) if best[k][0] > slack for p in _between(lo[k], hi[k], probes)})
         ask = [p for p in ask if p[0] <= _TOP]
+        turn += 1
         if not ask:
             break
         size, _ = _histogram(rows, ask)
@@ -141,10 +144,10 @@ def assign(rows: DataFrame, cuts: list[Key], name: str = "shard") -> DataFrame:
     return rows.withColumn(name, at.cast("int"))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, rows_per_task: int = 1 << 18, scratch: Scratch | None = None) -> DataFrame:
-    """The documents with shard_size, shard_crc, shard (int) and slot (long, gapless from 0 within the shard, in the order of the key)."""
+def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, rows_per_task: int = 1 << 18, scratch: Scratch | None = None, carry: list[str] | None = None) -> DataFrame:
+    """doc (struct of the input's columns, or of those of `carry`), shard_size, shard_crc, shard (int) and slot (long, gapless from 0 within the shard, in the order of the key)."""
     scratch = scratch or Scratch(docs.sparkSession)
-    rows = keyed(docs)
+    rows = keyed(copy_numbers(docs.select(F.struct(*(carry or ["*"])).alias("doc"), "doc_id", "text"), scratch, "shard_nth", ["doc_id", "text"]))
     slim = scratch.keep(rows.select("shard_h", "shard_i", "shard_size"), "keys")
     cuts = splitters(slim, shards, tolerance)
     n = slim.count()
@@ -178,5 +181,5 @@ def _finer(cuts: list[Key]):
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scratch = Scratch(spark)
-    out = shard(docs, scratch=scratch)
-    return out.select("doc_id", F.col("shard_size").alias("size"), F.col("shard_crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    out = shard(docs, scratch=scratch, carry=["doc_id"])
+    return out.select("doc.doc_id", F.col("shard_size").alias("size"), F.col("shard_crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -75,6 +75,18 @@ def test_mixing_stops_at_three_times(spark):
     assert all(r["mix_target"] == 3 * r["mix_source_size"] for r in rows if r["source"] != "a")
 
 
+def test_mixing_of_repeated_rows(spark):
+    """A source may be one repeated row: its copies share what it takes."""
+    docs = spark.createDataFrame([(k % 3, "a b c d e", "xyz"[k % 3]) for k in range(3000)] + [(None, None, None), (9, "other", "x")], "doc_id long, text string, source string").repartition(4)
+    rows = mixing.plan(docs).collect()
+    taken, target = collections.Counter(), {}
+    for r in rows:
+        taken[r["source"]] += r["mix_copies"] * r["mix_size"]
+        target[r["source"]] = r["mix_target"]
+    assert all(abs(taken[s] - target[s]) <= 10 for s in "xyz") and len(rows) == 3002
+    assert mixing.mix(docs).exceptAll(mixing.mix(docs.repartition(7))).count() == 0
+
+
 # ---- packing -----------------------------------------------------------------------------------------------------
 
 
@@ -157,7 +169,7 @@ def test_sharding(spark, documents):
     assert len(got) == docs.count()
     total, size, slots = 0, collections.Counter(), collections.defaultdict(list)
     for r in got:
-        raw = (r["text"] or "").encode()
+        raw = (r["doc"]["text"] or "").encode()
         assert r["shard_size"] == len(raw) + 8 and r["shard_crc"] == zlib.crc32(raw)
         size[r["shard"]] += r["shard_size"]
         slots[r["shard"]].append(r["slot"])
@@ -167,10 +179,26 @@ def test_sharding(spark, documents):
     assert sharding.shard(docs.where("false"), 5).count() == 0
     where = collections.defaultdict(set)
     for r in got:
-        where[r["text"] or ""].add(r["shard"])
+        where[r["doc"]["text"] or ""].add(r["shard"])
     assert sum(len(s) > 1 for s in where.values()) <= 4  # only a boundary cuts a group
 
 
+def test_sharding_of_repeated_rows(spark):
+    """Rows equal in id and text, which are most of the table and more than a shard, with names that clash."""
+    rows = [(7, "abcd", 1)] * 2000 + [(k, f"t{k}", 1) for k in range(398)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, slot int").repartition(3)
+    got = sharding.shard(docs).collect()
+    assert sorted((r["doc"]["doc_id"], r["doc"]["text"], r["doc"]["slot"]) for r in got) == sorted(rows)
+    size, slots = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        size[r["shard"]] += r["shard_size"]
+        slots[r["shard"]].append(r["slot"])
+    total = sum(size.values())
+    assert set(size) == set(range(24)) and all(abs(n - total / 24) <= 2 * (0.005 * total / 24 + 12) for n in size.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sharding.shard(docs.withColumn("doc_id", __import__("pyspark").sql.functions.lit(None).cast("long")), 3).count() == len(rows)
+
+
 # ---- substrings --------------------------------------------------------------------------------------------------
 
 
