@@ -24,7 +24,7 @@ def words(t):
 
 def test_license_forms_match(spark):
     mit = licenses.KNOWN["MIT"]
-    changed = "Copyright (c) 2020 Someone\n" + mit.upper().replace(",", " ;").replace("WITHOUT LIMITATION", "WITHOUT\n  LIMITATION") + "\n(c) others"
+    changed = "Copyright (c) 2020 Someone\n" + mit.upper().replace(",", " ;").replace("WITHOUT LIMITATION", "WITHOUT\n  LIMITATION") + "\n(c) 2021 others"
     docs = spark.createDataFrame([(1, mit, 0), (2, changed, 0), (3, mit + " more", 0), (4, None, 0), (5, "", 0), (6, "Copyright 2020 X", 0), (1, mit, 0)], "doc_id long, text string, digest int")
     got = {r["doc"]["doc_id"]: (r["digest"], r["license_id"]) for r in licenses.scan(docs, licenses.known(spark)).collect()}
     assert got[1] == got[2] and got[1][1] == "MIT"
@@ -34,6 +34,58 @@ def test_license_forms_match(spark):
     assert licenses.scan(docs, licenses.known(spark)).count() == 7
 
 
+APACHE_4 = "4. Redistribution. You may reproduce copies provided that You meet the following conditions:\n(a) You must give recipients a copy of this License; and\n(b) You must cause modified files to carry notices; and\n(c) You must retain, in the Source form, all copyright notices; and\n(d) If the Work includes a NOTICE file"
+
+
+def test_license_forms(spark):
+    """What counts as the same text, and what does not."""
+    isc, mit = licenses.KNOWN["ISC"], licenses.KNOWN["MIT"]
+    wrapped = isc.replace("provided that the above copyright", "provided that the above\ncopyright")
+    same = [
+        ("a licence licence copy", "a license license copy"),
+        ("\u201cAS IS\u201d \u2014 it\u2019s", '"AS IS" - it\'s'),
+        ("the copyright owner may sub-license per cent", "The copyright holder may sublicense percent."),
+        ("x\n(c) 2020 Some One\n \u00a9 Other\n * Copyright (C) Third\n# Copyright [yyyy] [name]\ny", "x y"),
+        (wrapped, isc),
+        ("The MIT License (MIT)\n\nCopyright (c) 2020 Me\nAll rights reserved.\n\n" + mit, mit),
+    ]
+    other = [("x\n(c) you must retain\ny", "x\ny"), (APACHE_4, APACHE_4.replace("retain", "drop")), ("copyright holders be liable", "be liable"), ("x2", "x\u00b2"), ("no license", "no licenses")]
+    rows = [(2 * k + j, t[j]) for k, t in enumerate(same + other) for j in (0, 1)]
+    got = {r["n"]: r["digest"] for r in licenses.with_digest(spark.createDataFrame(rows, "n int, text string"), ["n"]).collect()}
+    for k in range(len(same)):
+        assert got[2 * k] == got[2 * k + 1], same[k]
+    for k in range(len(same), len(same) + len(other)):
+        assert got[2 * k] != got[2 * k + 1], rows[2 * k]
+
+
+def test_license_scan_agrees_with_sql(spark):
+    """Whole licences, near misses and lines, with the SQL of the query."""
+    import duckdb
+
+    texts = [None, "", "Copyright 2020 X", "no licence here"]
+    for k, t in licenses.KNOWN.items():
+        texts += [t, f"MIT License\n\nCopyright (c) 2021 {k}\n\n" + t.replace(" ", "\n", 3).upper(), t + " more", "Before.\n" + t + "\nAfter, under a licence."]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)] + [(0, None, "y"), (4, texts[4], "y")], "doc_id long, text string, license_id string").repartition(3)
+    got = sorted((r["doc"]["doc_id"], r["digest"] or "", r["license_id"] or "", ",".join(r["line_licenses"])) for r in licenses.scan(docs, licenses.known(spark)).collect())
+    documents = docs.toPandas()  # noqa: F841
+    want = sorted((a, b or "", c or "", d) for a, b, c, d in duckdb.sql(licenses.ORACLE_OP1).fetchall())
+    assert got == want
+    found = {r[2] for r in got if r[2]}
+    assert found == set(licenses.KNOWN) and {r[3] for r in got} >= {"GPL-3.0-notice", "Apache-2.0-notice"}
+    assert sum(r[2] != "" for r in got) == 2 * len(licenses.KNOWN) + 1
+
+
+def test_longer_licenses(spark):
+    import os
+
+    folder = "/usr/share/common-licenses"
+    have = [k for k in ("Apache-2.0", "MPL-2.0", "CC0-1.0") if os.path.exists(f"{folder}/{k}")]
+    rows = [(k, open(f"{folder}/{k}", encoding="utf-8").read()) for k in have]
+    if rows:
+        got = licenses.scan(spark.createDataFrame(rows, "name string, text string"), licenses.known(spark)).collect()
+        assert all(r["license_id"] == r["doc"]["name"] for r in got)
+
+
 # ---- mixing ------------------------------------------------------------------------------------------------------
 
 
