@@ -1,16 +1,20 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences: after a word that ends in `.`, `!` or `?` (closing quotes and brackets may follow), and at
-line breaks. From every sentence runs a span of as many consecutive sentences as hold `words` words, and to every
-sentence likewise one that ends there; every span is hashed over its words (A-Z in lower case, white space left out), all
+line breaks. From every sentence runs a span of consecutive sentences, `SENTENCES` of them or as many more as hold `words`
+words, and to every sentence likewise one that ends there; every span is hashed over its words (A-Z in lower case, white space left out), all
 spans are joined globally, and a sentence goes if any span that covers it occurs earlier: in a document with a smaller
-doc_id, or before it in the same one. A repeated passage of whole sentences goes as a whole if it has at least twice
-`words` words, since each of its sentences then starts or ends a span within it.
+doc_id, or before it in the same one. A repeated passage of several whole sentences goes as a whole if it has at least twice
+`words` words, since each of its sentences then starts or ends a span within it; a single sentence that repeats between
+others that do not is no span, however long.
 
 Spans that very many documents share are found first, by counts within parts of the input; their first occurrences come from an
 aggregate that combines before it exchanges, and are joined by broadcast (their number is bounded). All other spans are
 exchanged once by hash and read in order, so no group is ever held.
 
+Only . ! ? end a sentence, and only white space parts words: text of scripts that use neither is one sentence, of one word,
+a line, so a passage repeated there is found only if it has twice `words` such lines.
+
 Cases: null and empty texts have no sentence and stay as they are; rows with equal doc_id and text count as one document,
 so they lose no sentence to each other; a null doc_id comes after all others; a text without sentence marks is one
 sentence a line; an empty table gives no rows. `remove` keeps other columns in a struct, so that no name clashes.
@@ -27,7 +31,8 @@ from pyspark.sql import functions as F
 
 from sedira.llm.common import Scratch, _powers, gathered, lean, mix, most_frequent, parts, read, slices, spans, text_buffers, word_hashes
 
-WORDS = 24
+#: Words of a span at least, and sentences; a row of the exchange has room for `MOST` sentences of a span.
+WORDS, SENTENCES, MOST = 24, 2, 32
 #: A span found `HOT_HERE` times in a few million counts as hot; the list has at most `HOT_MOST` entries (under 4 MB).
 HOT_HERE, HOT_MOST = 16, 1 << 17
 _AFTER = np.zeros(256, bool)
@@ -59,16 +64,16 @@ class Sentences:
         self.at = np.concatenate([[0], self.to[:-1]]) if len(self.to) else self.to
         self.of_doc = np.searchsorted(self.at, self.words_at)  # where each document's sentences start
 
-    def runs(self, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def runs(self, words: int, sentences: int = SENTENCES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hash, document, first and last sentence of each span."""
         if not len(self.at):
             return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
         m = len(self.at)
         doc = np.repeat(np.arange(len(self.of_doc) - 1), np.diff(self.of_doc))
         s = np.arange(m)
-        e = np.searchsorted(self.to, self.at + words)
+        e = np.maximum(np.searchsorted(self.to, self.at + words), s + sentences - 1)
         ok = (e < m) & (doc[np.minimum(e, m - 1)] == doc)
-        back = np.searchsorted(self.at, self.to - words, "right") - 1
+        back = np.minimum(np.searchsorted(self.at, self.to - words, "right") - 1, s - sentences + 1)
         ok_back = (back >= 0) & (doc[np.maximum(back, 0)] == doc)
         ok_back &= e[np.maximum(back, 0)] != s  # else it is a span from there already
         first, last = np.concatenate([s[ok], back[ok_back]]), np.concatenate([e[ok], s[ok_back]])
@@ -155,7 +160,9 @@ def repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def remove(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc (struct of the input's columns), text (without the removed sentences), n_sentences, n_removed, removed (array of struct start, end: byte spans of the removed sentences in the input's text)."""
+    """`words`: at most `MOST`. doc (struct of the input's columns), text (without the removed sentences), n_sentences, n_removed, removed (array of struct start, end: byte spans of the removed sentences in the input's text)."""
+    if not 1 <= words <= MOST:  # each sentence has a word, so `words` bounds the sentences of a span
+        raise ValueError(f"a span of {words} words; 1 to {MOST} are possible")
     th = F.xxhash64(F.col("text")).bitwiseAND(F.lit(0x7FFFFFFF))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), th.alias("th"))
     found = repeats(keyed, words)

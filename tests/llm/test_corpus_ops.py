@@ -269,38 +269,59 @@ def sentences(t):
     return out
 
 
-def test_substrings(spark, documents, plain, monkeypatch):
-    for hot in (16, 2):  # with and without the path for spans that many documents share
-        monkeypatch.setattr(substrings, "HOT_HERE", hot)
-        got = {r["doc"]["doc_id"]: r for r in substrings.remove(plain).collect()}
-        seen, n = {}, 0
-        for r in sorted(plain.collect(), key=lambda r: r["doc_id"]):
-            s = sentences((r["text"] or "").translate(ASCII_LOWER))
-            runs = set()
-            for a in range(len(s)):
-                for step in (1, -1):
-                    b, c = a, 0
-                    while 0 <= b < len(s):
-                        c += len(s[b])
-                        if c >= substrings.WORDS:
-                            runs.add((min(a, b), max(a, b)))
-                            break
-                        b += step
-            gone = set()
-            for a, b in sorted(runs):
-                here = (r["doc_id"], a, b)
-                if seen.setdefault(tuple(w for x in s[a : b + 1] for w in x), here) != here:
-                    gone |= set(range(a, b + 1))
-            n += len(gone)
-            row = got[r["doc_id"]]
-            assert (row["n_sentences"], row["n_removed"]) == (len(s), len(gone))
-            if not gone:
-                assert row["text"] == r["text"]
-            else:
-                assert words(row["text"]) == [w for k, x in enumerate(s) if k not in gone for w in x]
-        assert n > 30
-    assert substrings.remove(documents).count() == documents.count()
-    assert substrings.remove(documents.where("false")).count() == 0
+def removed_by_hand(rows, least):
+    """rows: (doc_id, text), each one once, in order. What goes, as (sentences, indices of those that go) of each row."""
+    seen, out = {}, {}
+    for i, t in rows:
+        s = sentences((t or "").translate(ASCII_LOWER))
+        runs = set()
+        for a in range(len(s)):
+            for step in (1, -1):
+                b, c = a, 0
+                while 0 <= b < len(s):
+                    c += len(s[b])
+                    if c >= least and b != a:
+                        runs.add((min(a, b), max(a, b)))
+                        break
+                    b += step
+        gone = set()
+        for a, b in sorted(runs):
+            here = (i, t, a, b)
+            if seen.setdefault(tuple(w for x in s[a : b + 1] for w in x), here) != here:
+                gone |= set(range(a, b + 1))
+        out[i, t] = s, gone
+    return out
+
+
+@pytest.mark.parametrize("hot,least", [(16, 24), (2, 24), (16, 32), (16, 3)])
+def test_substrings(spark, documents, monkeypatch, hot, least):
+    """With and without the path for spans that many documents share; nulls and repeated rows are in."""
+    monkeypatch.setattr(substrings, "HOT_HERE", hot)
+    rows = documents.select("doc_id", "text").collect()
+    once = sorted({(r["doc_id"], r["text"]) for r in rows}, key=lambda r: (r[0] is None, r[0] or 0))
+    want = removed_by_hand(once, least)
+    got = substrings.remove(documents, least).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        s, gone = want[r["doc"]["doc_id"], r["doc"]["text"]]
+        assert (r["n_sentences"], r["n_removed"]) == (len(s), len(gone))
+        if not gone:
+            assert r["text"] == r["doc"]["text"]
+        else:
+            assert words(r["text"]) == [w for k, x in enumerate(s) if k not in gone for w in x]
+    assert sum(r["n_removed"] for r in got) > 30
+    assert substrings.remove(documents.where("false"), least).count() == 0
+
+
+def test_spans_have_several_sentences(spark):
+    long = " ".join(f"w{k}" for k in range(60)) + "."
+    one = " ".join(f"S{k}." for k in range(120))
+    docs = spark.createDataFrame([(1, f"First here. {long} End one."), (2, f"Other here. {long} End two."), (3, one), (4, one), (5, f"Last. {long} End two.")], "doc_id long, text string")
+    got = {r["doc"]["doc_id"]: r["n_removed"] for r in substrings.remove(docs).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 120, 5: 2}
+    assert {r["doc"]["doc_id"]: r["n_removed"] for r in substrings.remove(docs, 32).collect()} == got
+    with pytest.raises(ValueError):
+        substrings.remove(docs, 50)
 
 
 # ---- language ----------------------------------------------------------------------------------------------------
