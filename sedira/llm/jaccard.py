@@ -36,6 +36,8 @@ from sedira.llm.common import bounds, components, gathered, lean, mix, most_freq
 FREQUENT, FREQUENT_MOST = 12, 1 << 18
 #: Members of a group that one task opens at a time; shingles of them, as a mean, that it holds (8 bytes each); hits it counts at once.
 BLOCK, BLOCK_SHINGLES, HITS = 2048, 1 << 21, 1 << 20
+#: Groups of a shingle that one task pairs with each other.
+WIDE = 2048
 #: Rows (two numbers each) of a table that is broadcast at most; beyond it the optimizer chooses the join.
 BROADCAST = 1 << 20
 _HALF = np.uint64(1)
@@ -134,43 +136,104 @@ def _merged(token, gid, nmin, nmax, place) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (token[at], gid[at], lo, hi, first)], ["token", "gid", "nmin", "nmax", "place"])
 
 
-def candidates(rows: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """Pairs (a, b) of groups, a < b, whose unions of prefixes share as many shingles as a link between members needs."""
+def _summed(x: np.ndarray) -> np.ndarray:
+    """Rows a, b, shared, least and most size of a's and b's; those of a pair are made one."""
+    x = x[np.lexsort((x[:, 1], x[:, 0]))]
+    at = np.flatnonzero(np.concatenate([[True], (x[1:, :2] != x[:-1, :2]).any(1)])) if len(x) else np.zeros(0, np.int64)
+    if not len(at):
+        return x
+    return np.concatenate([x[at, :2], np.add.reduceat(x[:, 2:3], at), np.minimum.reduceat(x[:, [3, 5]], at), np.maximum.reduceat(x[:, [4, 6]], at)], 1)[:, [0, 1, 2, 3, 5, 4, 6]]
 
-    def summed(x: np.ndarray) -> np.ndarray:
-        """Rows a, b, shared, least and most size of a's and b's; those of a pair are made one."""
-        x = x[np.lexsort((x[:, 1], x[:, 0]))]
-        at = np.flatnonzero(np.concatenate([[True], (x[1:, :2] != x[:-1, :2]).any(1)])) if len(x) else np.zeros(0, np.int64)
-        if not len(at):
-            return x
-        return np.concatenate([x[at, :2], np.add.reduceat(x[:, 2:3], at), np.minimum.reduceat(x[:, [3, 5]], at), np.maximum.reduceat(x[:, [4, 6]], at)], 1)[:, [0, 1, 2, 3, 5, 4, 6]]
+
+_PAIR = ["a", "b", "shared", "la", "ha", "lb", "hb"]
+
+
+def _pair_batch(x: np.ndarray, tile: bool) -> pa.RecordBatch:
+    """Pairs, or (tile) rows of tiles to come: gid, own block, same block twice, least and most size, tile, 0."""
+    return pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T.copy()), pa.array(np.full(len(x), tile))], [*_PAIR, "deferred"])
+
+
+def _paired(keys: np.ndarray, gid, lo, hi, percent: int, own: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Pairs of groups with the same key (sorted) whose members' sizes can be similar, not yet summed; with `own`, only of different blocks. The d-th next row of the same key, for all keys at once: as many turns as the longest run has rows."""
+    at = bounds(keys)
+    size = np.diff(at)
+    for d in range(1, int(size.max(initial=1))):
+        long = np.flatnonzero(size > d)
+        i = _ranges(at[long], size[long] - d)
+        j = i + d
+        ok = (100 * hi[j] >= percent * lo[i]) & (100 * hi[i] >= percent * lo[j])
+        if own is not None:
+            ok &= own[i] != own[j]
+        i, j = i[ok], j[ok]
+        swap = gid[i] > gid[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        yield np.stack([gid[i], gid[j], np.ones(len(i), np.int64), lo[i], hi[i], lo[j], hi[j]], 1)
+
+
+class _Sums:
+    """Pairs summed in bounded memory."""
+
+    def __init__(self) -> None:
+        self.held = np.zeros((0, 7), np.int64)
+
+    def add(self, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held = np.concatenate([self.held, x])
+        if len(self.held) > 1 << 20:
+            self.held = _summed(self.held)
+            if len(self.held) > 1 << 19:
+                yield self.rest()
+                self.held = self.held[:0]
+
+    def rest(self) -> pa.RecordBatch:
+        return _pair_batch(_summed(self.held), False)
+
+
+def candidates(rows: DataFrame, percent: int, partitions: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of groups, a < b, whose unions of prefixes share as many shingles as a link between members needs.
+
+    A shingle of more than `WIDE` groups is dealt out: its groups go to tiles of two blocks of some `WIDE` groups each, which
+    are paired by as many tasks, so no task pairs all of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 7), np.int64)
+        sums = _Sums()
         for table in whole_groups(batches, "token", 1 << 17):
             c = {x: table.column(x).to_numpy() for x in table.column_names}
             m = _merged(*(c[x] for x in ("token", "gid", "nmin", "nmax", "place")))
-            token, gid, lo, hi, place = (m.column(x).to_numpy() for x in ("token", "gid", "nmin", "nmax", "place"))
+            token, gid, lo, hi, _ = (m.column(x).to_numpy() for x in ("token", "gid", "nmin", "nmax", "place"))
             at = bounds(token)
-            size = np.diff(at)
-            # the d-th next row of the same token, for all tokens at once: as many turns as the longest run has rows
-            for d in range(1, int(size.max(initial=1))):
-                long = np.flatnonzero(size > d)
-                i = _ranges(at[long], size[long] - d)
-                j = i + d
-                ok = (100 * hi[j] >= percent * lo[i]) & (100 * hi[i] >= percent * lo[j])
-                i, j = i[ok], j[ok]
-                held = np.concatenate([held, np.stack([gid[i], gid[j], np.ones(len(i), np.int64), lo[i], hi[i], lo[j], hi[j]], 1)])
-                if len(held) > 1 << 20:
-                    held = summed(held)
-                    if len(held) > 1 << 19:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.T.copy()], names)
-                        held = held[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed(held).T.copy()], names)
-
-    names = ["a", "b", "shared", "la", "ha", "lb", "hb"]
-    found = rows.repartition(partitions, "token").sortWithinPartitions("token").mapInArrow(lean(run), ", ".join(f"{x} long" for x in names))
-    sums = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), *(f(x).alias(x) for f, x in ((F.min, "la"), (F.max, "ha"), (F.min, "lb"), (F.max, "hb"))))
+            wide = np.flatnonzero(np.diff(at) > WIDE)
+            for k in wide:
+                g, blocks = slice(at[k], at[k + 1]), -(-int(at[k + 1] - at[k]) // WIDE)
+                own = (mix(gid[g].view(np.uint64) ^ np.uint64(token[at[k]] & (1 << 62) - 1)) % np.uint64(blocks)).astype(np.int64)
+                for other in range(blocks):
+                    least, most = np.minimum(own, other), np.maximum(own, other)
+                    name = mix(np.array([token[at[k]]], np.int64).view(np.uint64) + (least * blocks + most + 1).astype(np.uint64) * _S1).view(np.int64)
+                    yield _pair_batch(np.stack([gid[g], own, (own == other).astype(np.int64), lo[g], hi[g], name, np.zeros(len(own), np.int64)], 1), True)
+            if len(wide):
+                few = np.ones(len(token), bool)
+                few[_ranges(at[wide], np.diff(at)[wide])] = False
+                token, gid, lo, hi = token[few], gid[few], lo[few], hi[few]
+            for x in _paired(token, gid, lo, hi, percent):
+                yield from sums.add(x)
+        yield sums.rest()
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums()
+        for table in whole_groups(batches, "lb", 1 << 14):
+            gid, own, same, lo, hi, tile = (table.column(x).to_numpy() for x in _PAIR[:6])
+            for one in (True, False):  # within a block, or between two
+                sel = np.flatnonzero((same == 1) == one)
+                for x in _paired(tile[sel], gid[sel], lo[sel], hi[sel], percent, None if one else own[sel]):
+                    yield from sums.add(x)
+        yield sums.rest()
+
+    kind = ", ".join(f"{x} long" for x in _PAIR) + ", deferred boolean"
+    found = scratch.keep(rows.repartition(partitions, "token").sortWithinPartitions("token").mapInArrow(lean(run), kind), "shared")
+    pairs, deferred = found.where("not deferred"), found.where("deferred")
+    if not deferred.isEmpty():
+        pairs = pairs.unionByName(deferred.repartition(partitions, "lb").sortWithinPartitions("lb").mapInArrow(lean(tiles), kind))
+    sums = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), *(f(x).alias(x) for f, x in ((F.min, "la"), (F.max, "ha"), (F.min, "lb"), (F.max, "hb"))))
     overlap = F.ceil((F.col("la") + F.col("lb")) * percent / (100 + percent) - 1e-9)
     return sums.where(F.col("shared") >= overlap - F.ceil(F.greatest("ha", "hb") * percent / 100 - 1e-9) + 1).select("a", "b")
 
@@ -298,7 +361,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | None
     beside = near.where("key = key0").select("cls", F.xxhash64("key", "block").alias("beside"))
     grouped = scratch.keep(known.join(beside, "cls", "full").select("cls", F.coalesce("label", "beside").alias("gid"), F.coalesce("label", "cls").alias("rep")), "grouped")
     rows = sigs.where("n > 0").join(_small(grouped), "cls", "left").select(F.coalesce("gid", "cls").alias("gid"), "n", "prefix")
-    pairs = scratch.keep(candidates(matrix(rows), percent, 2 * p), "pairs")
+    pairs = scratch.keep(candidates(matrix(rows), percent, 2 * p, scratch), "pairs")
     of = classes.join(_small(grouped), "cls", "left").select("cls", "doc_id", "n", F.coalesce("gid", "cls").alias("gid"), F.coalesce("rep", "cls").alias("rep"))
     asked = scratch.keep(of.join(_small(pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct()), "gid", "left_semi"), "asked")
     size = asked.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), blocks.alias("blocks"))

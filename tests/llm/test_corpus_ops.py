@@ -426,18 +426,33 @@ def brute(rows, k, percent):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize("k,percent,block", [(4, 85, 2048), (5, 80, 3), (2, 60, 2)])
-def test_jaccard(documents, plain, k, percent, block, monkeypatch):
+def distinct_rows(documents):
+    """(doc_id, text) once each; null ids last."""
+    return sorted({(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()}, key=lambda r: (r[0] is None, r[0] or 0, str(r[1])))
+
+
+@pytest.mark.parametrize("k,percent,block,wide", [(4, 85, 2048, 2048), (5, 80, 3, 4), (2, 60, 2, 1), (1, 30, 5, 3)])
+def test_jaccard(documents, k, percent, block, wide, monkeypatch):
+    """Nulls and repeated rows are in; shingles, groups and blocks overflow."""
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    want = brute([(r["doc_id"], r["text"]) for r in plain.collect()], k, percent)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link(plain, k, percent).collect()}
-    assert got == want and sum(c != i for i, (_, c) in want.items()) > 20
+    monkeypatch.setattr(jaccard, "WIDE", wide)
+    rows = distinct_rows(documents)
+    want = brute(list(enumerate(t for _, t in rows)), k, percent)
+    want = {rows[i]: (n, rows[c][0]) for i, (n, c) in want.items()}
+    got = jaccard.link(documents, k, percent)
+    texts = documents.select("doc_id", "text").withColumn("hash", __import__("pyspark").sql.functions.xxhash64("text")).distinct().collect()
+    by_hash = {(r["doc_id"], r["hash"]): r["text"] for r in texts}
+    out = got.collect()
+    assert len(out) == documents.count() and sum(c != i for (i, _), (_, c) in want.items()) > 20
+    for r in out:
+        assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"], by_hash[r["doc_id"], r["hash"]]]
     if block == 3:
-        assert jaccard.link(documents, k, percent).count() == documents.count()
         kept = jaccard.deduplicate(documents, k, percent)
         assert kept.columns == documents.columns
-        ids = [r["doc_id"] for r in kept.select("doc_id").collect() if r["doc_id"] is not None]
-        assert sorted(ids) == sorted({c for _, c in want.values()})
+        left = [(r["doc_id"], r["text"]) for r in kept.collect()]
+        groups = {c for (i, t), (n, c) in want.items() if n}
+        assert sorted(i for i, t in left if words(t)) == sorted(groups, key=lambda c: (c is None, c)) if None not in groups else len([1 for i, t in left if words(t)]) == len(groups)
+        assert sum(not words(t) for _, t in left) == documents.where("text is null or not text rlike '[^ \\\\t\\\\n]'").count()
         assert jaccard.link(documents.where("false"), k, percent).count() == 0
 
 
