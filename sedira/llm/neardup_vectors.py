@@ -8,14 +8,18 @@
 3. The graph is refined: all neighbours of a vector, in either direction, are compared with each other, and every list
    keeps its nearest, until hardly any link is new. Lists hold only what lies above the cosine that two steps of the
    threshold can bridge, as nothing farther leads to a link; most vectors have no list at all.
-4. Recall is audited: a bounded sample of vectors is held against all, in blocks; if they meet a smaller share of their
+4. Lists that are saturated (full of links) are enlarged, to twice as many neighbours at a time, and the graph is refined
+   again around them, until none is saturated or the lists have `K_MOST` neighbours. Beyond that a list takes more room than
+   the comparison of step 6 takes time, and that step is what finds the rest.
+5. Recall is audited: a bounded sample of vectors is held against all, in blocks; if they meet a smaller share of their
    links than asked, on average over those vectors, another forest with other planes is added and the graph refined again;
    if that does not help either, the query fails.
-5. Links at or above the threshold give connected components. A list that is full drops links, so components are not taken
-   from lists: wherever vectors are compared, all that links join there name one of them as their root. Within each component, all
-   members are compared, in tiles (a list that is full of links says nothing of what it left out), which makes the links exact there.
+6. Links at or above the threshold give connected components. Wherever vectors are compared, all that links join there name
+   one of them as their root, also those that a full list leaves out. Within each component, all members are compared, in
+   tiles, which makes the links exact there.
 
-All similarities are computed in double precision from the given components.
+All similarities are computed in double precision from the given components, scaled by the largest of them first, so that
+no norm overflows or vanishes.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of different
 lengths do not link; repeated rows are copies and link; a null vec_id comes after all others; an empty table gives no rows.
@@ -23,6 +27,7 @@ lengths do not link; repeated rows are copies and link; a null vec_id comes afte
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -34,7 +39,9 @@ from pyspark.sql import functions as F
 from sedira.llm.common import bounds, components, lean, parts, read, Scratch, whole_groups
 
 #: Neighbours in a list; vectors in a leaf on average, and compared at once at most; members of a pivot's or component's tile.
-K, LEAF, LEAF_MOST, TILE = 16, 128, 4096, 1024
+K, LEAF, LEAF_MOST, TILE = 16, 256, 4096, 1024
+#: Neighbours in a list that was enlarged, at most; rows of lists that a task merges at a time.
+K_MOST, HELD = 64, 1 << 19
 #: Planes of a tree that parts a leaf; blocks of LEAF_MOST / 2 up to which a leaf is never parted.
 MORE, BLOCKS = 10, 16
 #: Chance to miss a lone pair at the threshold in the forest; queries of the audit, the recall it asks for, forests at most.
@@ -48,20 +55,22 @@ def classes(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
         import xxhash
 
         for b in batches:
-            cls, vec, dim = [], [], []
-            for v in b.column("embedding"):
-                x = None
-                if v.is_valid and len(v.values) and not v.values.null_count:
-                    y = v.values.to_numpy(zero_copy_only=False)
-                    with np.errstate(over="ignore"):
-                        norm = float(np.linalg.norm(y.astype(np.float64)))
-                    if np.isfinite(y).all() and 0 < norm < math.inf:
-                        x = (y + y.dtype.type(0)).tobytes()  # one zero
-                h = None if x is None else xxhash.xxh3_64_intdigest(x)
-                cls.append(None if h is None else h - (1 << 63))
-                vec.append(x)
-                dim.append(None if x is None else len(v.values))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id").cast(pa.int64()), pa.array(cls, pa.int64()), pa.array(vec, pa.binary()), pa.array(dim, pa.int32())], ["vec_id", "cls", "vec", "dim"])
+            lists = b.column("embedding")
+            n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten()
+            kind = flat.type.to_pandas_dtype()
+            at = np.concatenate([[0], np.cumsum(n)])
+            y = flat.to_numpy(zero_copy_only=False).astype(kind) + kind(0)  # one zero; a null is not a number
+            full = np.flatnonzero(n)
+            good = np.zeros(len(n), bool)
+            if len(full):
+                most = np.maximum.reduceat(np.abs(y), at[full])  # NaN where there is one
+                good[full] = np.isfinite(most) & (most > 0)
+            raw, width = memoryview(y.tobytes()), y.dtype.itemsize
+            vec = [bytes(raw[at[k] * width : at[k + 1] * width]) if good[k] else None for k in range(len(n))]
+            cls = [None if v is None else xxhash.xxh3_64_intdigest(v) - (1 << 63) for v in vec]
+            dim = pa.array(n.astype(np.int32), mask=~good)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").cast(pa.int64()), pa.array(cls, pa.int64()), pa.array(vec, pa.binary()), dim], ["vec_id", "cls", "vec", "dim"])
 
     kind = vectors.schema["embedding"].dataType.elementType.simpleString()
     rows = scratch.keep(vectors.select("vec_id", F.col("embedding").cast("array<float>" if kind == "float" else "array<double>")).mapInArrow(lean(run), "vec_id long, cls long, vec binary, dim int"), "rows")
@@ -71,6 +80,7 @@ def classes(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
 
 def _unit(raw: list[bytes], dim: int) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), np.float32 if len(raw[0]) == 4 * dim else np.float64).reshape(len(raw), -1).astype(np.float64)
+    x /= np.abs(x).max(1)[:, None]
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -78,45 +88,67 @@ def _planes(seed: int, tree: int, bits: int, dim: int) -> np.ndarray:
     return np.random.default_rng([seed, tree, dim]).standard_normal((dim, bits))
 
 
-def _lists(x: np.ndarray, ids: np.ndarray, floor: float, least: float, k: int) -> list[tuple[int, bytes, bytes, int]]:
-    """Of each vector, the k nearest others at or above the floor: id, their ids, their similarities, and the root that it shares with all it is joined to by links (at or above `least`) of these vectors, also by those that a full list leaves out."""
-    out, rows, root = [], [], np.arange(len(x))
+def _lists(x: np.ndarray, ids: np.ndarray, floor: float, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each vector, the k nearest others at or above the floor, as rows (own, other, similarity); and rows (own, root) of the vectors that links (at or above `least`) join to others here, also by links that a full list leaves out."""
+    rows, root = [np.zeros((0, 3), np.int64)], np.arange(len(x))
     for at in range(0, len(x), 1024):
         s = x[at : at + 1024] @ x.T
         s[np.arange(len(s)), at + np.arange(len(s))] = -2
         hit = s >= floor
-        n = hit.sum(1)
-        for r in np.flatnonzero(n):
+        for r in np.flatnonzero(hit.any(1)):
             to = np.flatnonzero(hit[r])
             own = np.unique(root[np.append(to[s[r, to] >= least], at + r)])
             if len(own) > 1:
                 root[np.isin(root, own)] = own[0]
             if len(to) > k:
                 to = to[np.argpartition(-s[r, to], k)[:k]]
-            out.append((int(ids[at + r]), ids[to].tobytes(), s[r, to].tobytes()))
-            rows.append(at + r)
-    return [(*o, int(r)) for o, r in zip(out, ids[root[rows]])] if rows else []
+            rows.append(np.stack([np.full(len(to), ids[at + r]), ids[to], s[r, to].view(np.int64)], 1))
+    far = np.flatnonzero(root != np.arange(len(x)))
+    return np.concatenate(rows), np.stack([ids[far], ids[root[far]]], 1)
 
 
-def _list_batch(rows: list[tuple]) -> pa.RecordBatch:
-    c, i, s, r = zip(*rows) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(i, pa.binary()), pa.array(s, pa.binary()), pa.array(r, pa.int64())], ["cls", "ids", "sims", "root"])
+def _nearest(x: np.ndarray, k: int) -> np.ndarray:
+    """Rows (own, other, similarity), each pair once, the k nearest of each own, sorted by own."""
+    x = x[np.lexsort((x[:, 1], x[:, 0]))]
+    x = x[np.concatenate([[True], (x[1:, :2] != x[:-1, :2]).any(1)])] if len(x) else x
+    x = x[np.lexsort((-x[:, 2].view(np.float64), x[:, 0]))] if len(x) else x
+    at = bounds(x[:, 0])
+    return x[np.arange(len(x)) - np.repeat(at[:-1], np.diff(at)) < k]
+
+
+def _list_batch(x: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
+    """Sorted rows of lists as one row a list (cls, ids, sims), and rows (cls, root) beside them."""
+    at = bounds(x[:, 0])
+    own = x[at[:-1], 0] if len(x) else np.zeros(0, np.int64)
+    packed = [pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((8 * at).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(x[:, c]).tobytes())]) if len(own) else pa.array([], pa.binary()) for c in (1, 2)]
+    none = pa.nulls(len(roots), pa.binary())
+    cols = [pa.array(np.concatenate([own, roots[:, 0]])), *(pa.concat_arrays([p, none]) for p in packed), pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(roots[:, 1])])]
+    return pa.RecordBatch.from_arrays(cols, ["cls", "ids", "sims", "root"])
 
 
 def _neighbours(rows: DataFrame, key: str, floor: float, least: float, k: int, partitions: int) -> DataFrame:
-    """Lists and roots within the groups of `key`; rows: key, cls, vec, dim."""
+    """Within the groups of `key`: lists (cls, ids, sims), and roots (cls, root; the others null); rows: key, cls, vec, dim. A task merges what it has found for a vector before it gives it away, so the lists of a vector that many groups hold are as many as the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, roots, size = [np.zeros((0, 3), np.int64)], [np.zeros((0, 2), np.int64)], 0
         for table in whole_groups(batches, key, 2048):
             keys, ids, dims = (table.column(c).to_numpy() for c in (key, "cls", "dim"))
             raw = table.column("vec").to_pylist()
             at = bounds(keys)
-            out: list[tuple] = []
             for s, e in zip(at[:-1], at[1:]):
                 _, one = np.unique(ids[s:e], return_index=True)
                 if len(one) > 1:
-                    out += _lists(_unit([raw[s + r] for r in one], int(dims[s])), ids[s:e][one], floor, least, k)
-            yield _list_batch(out)
+                    x, r = _lists(_unit([raw[s + i] for i in one], int(dims[s])), ids[s:e][one], floor, least, k)
+                    lists.append(x)
+                    roots.append(r)
+                    size += len(x)
+            if size > HELD:
+                x = _nearest(np.concatenate(lists), k)
+                if len(x) > HELD // 2:
+                    yield _list_batch(x, np.unique(np.concatenate(roots), axis=0))
+                    x, roots = x[:0], roots[:1]
+                lists, size = [x], len(x)
+        yield _list_batch(_nearest(np.concatenate(lists), k), np.unique(np.concatenate(roots), axis=0))
 
     return rows.repartition(partitions, key).sortWithinPartitions(key).mapInArrow(lean(run), "cls long, ids binary, sims binary, root long")
 
@@ -193,25 +225,37 @@ def forest(by: DataFrame, bits: int, trees: int, seed: int, floor: float, least:
     return _neighbours(rows, "leaf", floor, least, k, parts(spark))
 
 
-def merge(lists: DataFrame, k: int) -> DataFrame:
-    """One list of the k nearest for each vector; how many lists meet in a row is bounded by trees and tiles."""
+def merge(lists: DataFrame, k: int, partitions: int) -> DataFrame:
+    """One list of the k nearest for each vector. Lists are exchanged by vector and read in order, so none is gathered with others but those of its vector that are read together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none, own, held = np.zeros((0, 2), np.int64), None, np.zeros((0, 3), np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, sims = (b.column(c).to_pylist() for c in ("ids", "sims"))
+            cls = np.repeat(b.column("cls").to_numpy(), [len(i) // 8 for i in ids])
+            x = np.stack([cls, np.frombuffer(b"".join(ids), np.int64), np.frombuffer(b"".join(sims), np.int64)], 1)
+            x = _nearest(np.concatenate([held, x]), k)
+            own = x[-1, 0]
+            last = x[:, 0] == own  # its lists may go on in the next batch
+            yield _list_batch(x[~last], none)
+            held = x[last]
+        yield _list_batch(held, none)
+
+    rows = lists.select("cls", "ids", "sims").repartition(partitions, "cls").sortWithinPartitions("cls")
+    return rows.mapInArrow(lean(run), "cls long, ids binary, sims binary, root long").drop("root")
 
-    @F.pandas_udf("ids binary, sims binary")
-    def best(ids, sims):
-        import pandas as pd
 
-        out = []
-        for i, s in zip(ids, sims):
-            a, x = np.frombuffer(b"".join(i), np.int64), np.frombuffer(b"".join(s), np.float64)
-            a, one = np.unique(a, return_index=True)
-            x = x[one]
-            if len(a) > k:
-                top = np.argsort(-x, kind="stable")[:k]
-                a, x = a[top], x[top]
-            out.append((a.tobytes(), x.tobytes()))
-        return pd.DataFrame(out, columns=["ids", "sims"])
+def saturated(lists: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(cls): lists of k links."""
 
-    return lists.groupBy("cls").agg(F.collect_list("ids").alias("i"), F.collect_list("sims").alias("s")).select("cls", best("i", "s").alias("m")).select("cls", "m.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            full = [len(s) >= 8 * k and np.frombuffer(s, np.float64).min() >= threshold for s in b.column("sims").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("cls").filter(pa.array(full, pa.bool_()))], ["cls"])
+
+    return lists.mapInArrow(lean(run), "cls long")
 
 
 def edges_of(lists: DataFrame, least: float) -> DataFrame:
@@ -228,10 +272,13 @@ def edges_of(lists: DataFrame, least: float) -> DataFrame:
     return lists.mapInArrow(lean(run), "a long, b long")
 
 
-def refine(lists: DataFrame, by: DataFrame, floor: float, least: float, k: int) -> DataFrame:
-    """Lists of a turn of the descent, to be merged: neighbours of neighbours, in either direction, are compared; a pivot with many is dealt out in tiles."""
+def refine(lists: DataFrame, by: DataFrame, floor: float, least: float, k: int, around: DataFrame | None = None) -> DataFrame:
+    """Lists of a turn of the descent, to be merged: neighbours of neighbours, in either direction, are compared; a pivot with many is dealt out in tiles. `around` (cls): only pivots that are neighbours of these."""
     e = edges_of(lists, floor)
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(e.select("a", F.col("a").alias("b"))).distinct()
+    if around is not None:
+        pivots = both.join(around.select(F.col("cls").alias("b")), "b", "left_semi").select("a").distinct()
+        both = both.join(pivots, "a", "left_semi")
     wide = both.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("ways"))
     dealt = both.join(wide, "a").select(F.xxhash64("a", F.pmod(F.xxhash64("b", "a"), F.col("ways"))).alias("pivot"), F.col("b").alias("cls"))
     rows = dealt.join(by.select("cls", "vec", "dim"), "cls")
@@ -304,21 +351,32 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = K, scr
         """Merges new lists into `lists`, and their roots into `joined`."""
         nonlocal lists, joined
         new = scratch.keep(new, f"{name}-new")
-        roots = scratch.keep(new.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")), f"{name}-roots")
+        roots = scratch.keep(new.where("root is not null").select(F.col("cls").alias("a"), F.col("root").alias("b")), f"{name}-roots")
         joined = roots if joined is None else joined.unionByName(roots)
-        new = new.drop("root")
-        lists = scratch.keep(merge(new if lists is None else lists.unionByName(new), k), name)
+        new = new.where("root is null").drop("root")
+        lists = scratch.keep(merge(new if lists is None else lists.unionByName(new), k, parts(spark)), name)
         scratch.drop(f"{name}-new")
 
+    def descend(name: str, around: DataFrame | None = None) -> None:
+        """Refines until hardly any link is new; each turn joins neighbours of neighbours, so distances double."""
+        nonlocal found
+        for step in itertools.count():
+            take(refine(lists, by, floor, threshold, k, around), f"{name}-{step}")
+            before, found = found, edges_of(lists, threshold).count()
+            if found <= before * 1.001:
+                break
+
     truth = scratch.keep(audit(by, threshold), "audit")
     for turn in range(FORESTS):
         take(forest(by, bits, trees, turn, floor, threshold, k, scratch), f"lists{turn}")
         found = edges_of(lists, threshold).count()
-        for step in range(4):
-            take(refine(lists, by, floor, threshold, k), f"lists{turn}-{step}")
-            before, found = found, edges_of(lists, threshold).count()
-            if found <= before * 1.001:
+        descend(f"lists{turn}")
+        while k < K_MOST:
+            full = scratch.keep(saturated(lists, k, threshold), f"full{turn}-{k}")
+            if full.isEmpty():
                 break
+            k *= 2
+            descend(f"lists{turn}-{k}", full)
         labels = components(scratch, joined, f"cc{turn}")
         a, b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
         met = truth.join(a, "a", "left").join(b, "b", "left").groupBy("a").agg(F.avg(F.coalesce((F.col("la") == F.col("lb")).cast("double"), F.lit(0.0))).alias("share"))

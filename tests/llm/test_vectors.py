@@ -59,6 +59,41 @@ def test_families_that_fill_lists(spark):
     assert got == {k: (n[k], root[k]) for k in range(len(x))}
 
 
+def test_bunches_of_hundreds(spark):
+    """Two tight bunches, all of whose vectors are linked: far more links than any list holds."""
+    rng = np.random.default_rng(5)
+    near = lambda v, c: c * v / np.linalg.norm(v) + np.sqrt(1 - c * c) * (w := rng.standard_normal(64)) / np.linalg.norm(w)
+    first = rng.standard_normal(64)
+    second = near(first, 0.985)
+    x = [near(c, 0.998).tolist() for c in (first, second) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>").repartition(3)
+    n, root = brute(x, 0.95)
+    assert set(root) == {0} and n.min() == 399
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nv.near_duplicates(df, 0.95).collect()}
+    assert got == {k: (399, 0) for k in range(400)}
+
+
+def test_saturated_lists_are_enlarged(spark, monkeypatch):
+    """A family of 30 fills lists of 4; lists of 32 hold all its links, and the descent finds them."""
+    monkeypatch.setattr(nv, "K_MOST", 64)
+    seen = []
+    saturated = nv.saturated
+    monkeypatch.setattr(nv, "saturated", lambda lists, k, t: seen.append((k, lists)) or saturated(lists, k, t))
+    rng = np.random.default_rng(8)
+    x = [(np.eye(16)[0] + 0.01 * rng.standard_normal(16)).tolist() for _ in range(30)] + [rng.standard_normal(16).tolist() for _ in range(50)]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>").repartition(2)
+    got = {r["vec_id"]: r["n_links"] for r in nv.near_duplicates(df, 0.95, k=4).collect()}
+    assert [got[k] for k in range(30)] == [29] * 30
+    assert [k for k, _ in seen] == [4, 8, 16, 32]
+    assert nv.edges_of(seen[-1][1], 0.95).count() == 30 * 29
+
+
+def test_double_components(spark):
+    x = [[1e200, 1e200], [1e-200, 1e-200], [1.0, 1.0], [5e-324, 5e-324], [1e308, -1e308], [0.0, -0.0]]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    assert {r["vec_id"]: r["n_links"] for r in nv.near_duplicates(df).collect()} == {0: 3, 1: 3, 2: 3, 3: 3, 4: 0, 5: 0}
+
+
 @pytest.mark.parametrize("blocks", [1000, 3])
 def test_lone_pairs_in_heavy_leaves(spark, blocks, monkeypatch):
     """Vectors with a mean cosine of .7 crowd into few leaves; one forest has to find the lone pairs there without an audit's help."""
