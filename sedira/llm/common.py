@@ -65,9 +65,9 @@ class Scratch:
         self.spark, self.base = spark, f"{_shared_dir(spark)}/sedira-{uuid.uuid4().hex}"
         atexit.register(_delete, spark, self.base)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         path = f"{self.base}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -86,8 +86,8 @@ def fetch(df: DataFrame) -> dict[str, np.ndarray]:
     return {c: table.column(c).to_numpy() for c in table.column_names}
 
 
-def most_frequent(table: DataFrame, count: str, most: int) -> tuple[dict[str, np.ndarray], int]:
-    """At most `most` rows of a written table, those with the largest counts, and the least count among them (0 if all rows are). A histogram of the counts, in steps of 1/16 of a power of two, says where to cut, so nothing is sorted globally."""
+def most_frequent(table: DataFrame, count: str, most: int) -> dict[str, np.ndarray]:
+    """At most `most` rows of a written table (all of them, if there are no more), those with the largest counts. A histogram of the counts, in steps of 1/16 of a power of two, says where to cut, so nothing is sorted globally; if more rows than `most` share the topmost step, a hash says which are taken."""
     step = F.floor(F.log2(F.col(count)) * 16)
     sizes = sorted(((r["s"], r["n"]) for r in table.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # 1024 rows at most
     total, cut = 0, None
@@ -95,9 +95,21 @@ def most_frequent(table: DataFrame, count: str, most: int) -> tuple[dict[str, np
         if total + n > most:
             break
         total, cut = total + n, s
-    rows = fetch(table.where(step >= cut) if cut is not None else table.limit(0))
-    everything = total == sum(n for _, n in sizes)
-    return rows, 0 if everything else int(rows[count].min()) if total else 1 << 62
+    if cut is None and sizes:
+        share = F.pmod(F.xxhash64(*table.columns), F.lit(1 << 40)) < int((1 << 40) * 0.9 * most / sizes[0][1])
+        return fetch(table.where((step == sizes[0][0]) & share).limit(most))
+    return fetch(table.where(step >= cut) if cut is not None else table.limit(0))
+
+
+def packed_lists(keys: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+    """The runs of equal sorted keys, once each, and of each column the bytes of every run."""
+    at = bounds(keys)
+    own = keys[at[:-1]] if len(keys) else keys
+    out = [pa.array(own)]
+    for c in columns:
+        offsets = (c.dtype.itemsize * at).astype(np.int32).tobytes()
+        out.append(pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(c).tobytes())]) if len(own) else pa.array([], pa.binary()))
+    return out
 
 
 def doc_crc(column: str = "doc_id"):

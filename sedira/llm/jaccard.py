@@ -70,7 +70,7 @@ def _frequent(docs: DataFrame, k: int, scratch: Scratch) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["h", "n"])
 
     found = docs.select("text").mapInArrow(lean(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    top, _ = most_frequent(scratch.keep(found, "frequent"), "n", FREQUENT_MOST)
+    top = most_frequent(scratch.keep(found, "frequent"), "n", FREQUENT_MOST)
     return np.sort(top["h"].astype(np.int64).view(np.uint64))
 
 

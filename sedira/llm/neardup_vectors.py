@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedira.llm.common import bounds, components, lean, parts, read, Scratch, whole_groups
+from sedira.llm.common import bounds, components, lean, packed_lists, parts, read, Scratch, whole_groups
 
 #: Neighbours in a list; vectors in a leaf on average, and compared at once at most; members of a pivot's or component's tile.
 K, LEAF, LEAF_MOST, TILE = 16, 256, 4096, 1024
@@ -118,11 +118,9 @@ def _nearest(x: np.ndarray, k: int) -> np.ndarray:
 
 def _list_batch(x: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
     """Sorted rows of lists as one row a list (cls, ids, sims), and rows (cls, root) beside them."""
-    at = bounds(x[:, 0])
-    own = x[at[:-1], 0] if len(x) else np.zeros(0, np.int64)
-    packed = [pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((8 * at).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(x[:, c]).tobytes())]) if len(own) else pa.array([], pa.binary()) for c in (1, 2)]
+    own, *packed = packed_lists(x[:, 0], x[:, 1], x[:, 2])
     none = pa.nulls(len(roots), pa.binary())
-    cols = [pa.array(np.concatenate([own, roots[:, 0]])), *(pa.concat_arrays([p, none]) for p in packed), pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(roots[:, 1])])]
+    cols = [pa.concat_arrays([own, pa.array(roots[:, 0])]), *(pa.concat_arrays([p, none]) for p in packed), pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(roots[:, 1])])]
     return pa.RecordBatch.from_arrays(cols, ["cls", "ids", "sims", "root"])
 
 

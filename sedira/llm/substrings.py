@@ -115,7 +115,7 @@ def _hot(docs: DataFrame, words: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     found = docs.mapInArrow(lean(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top, _ = most_frequent(Scratch(docs.sparkSession).keep(found, "hot"), "n", HOT_MOST)
+    top = most_frequent(Scratch(docs.sparkSession).keep(found, "hot"), "n", HOT_MOST)
     return np.sort(top["h"].astype(np.int64).view(np.uint64))
 
 

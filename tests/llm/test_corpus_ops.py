@@ -521,34 +521,99 @@ def test_fingerprints(documents, plain):
 # ---- language model ----------------------------------------------------------------------------------------------
 
 
-def test_brown(documents, plain, monkeypatch):
+def brown_by_hand(model, train, texts):
+    """Scores from the classes of the model alone: every other number is counted again. Texts: words and an end (None)."""
+    hashes = dict(zip(model.units.hashes.tolist(), model.units.unit.tolist()))
+
+    def unit(w):
+        if w is None:
+            return 0
+        h, tail, _ = brown._words(__import__("pyarrow").array([w]))
+        return hashes.get(int(h[0]), 1 + model.units.words + int(tail[0]))
+
+    cls = lambda w: int(model.of[unit(w)])
+    count, classes = collections.Counter(w for t in train for w in t), len(model.move)
+    pairs, after = collections.Counter(), collections.Counter()
+    for t in train:
+        for a, b in zip([None, *t], t):
+            pairs[cls(a), cls(b)] += 1
+            after[cls(a)] += 1
+    came, seen = collections.Counter(), collections.Counter()
+    for (_, b), n in pairs.items():
+        came[b] += n
+    for w, n in count.items():
+        seen[unit(w)] += n
+    distinct = collections.Counter(unit(w) for w in count)
+    mass = collections.defaultdict(float)
+    for u in range(model.units.size):
+        mass[int(model.of[u])] += seen[u] + 0.5
+    out = []
+    for t in texts:
+        total = 0.0
+        for a, b in zip([None, *t], t):
+            p = (pairs[cls(a), cls(b)] + (came[cls(b)] + 1) / (sum(came.values()) + classes)) / (after[cls(a)] + 1)
+            u = unit(b)
+            if b is not None:
+                p *= (seen[u] + 0.5) / mass[cls(b)]
+            if u > model.units.words:
+                p *= (count[b] + 1) / (seen[u] + distinct[u] + 1)
+            total += math.log10(p)
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("least,most", [(8, 1 << 20), (2, 60), (10**9, 1 << 20)])
+def test_brown(documents, monkeypatch, least, most):
+    """Nulls and repeated rows are in; all words above a count clustered, some of them, or none."""
+    from pyspark.sql import functions as F
+
     from sedira.llm.common import Scratch, doc_crc
 
-    for known in (1 << 18, 600):  # all words known at once, or joined
-        monkeypatch.setattr(brown, "KNOWN", known)
-        docs = plain.select("doc_id", "text", (doc_crc() % 7 == 2).alias("held_out"))
-        scratch = Scratch(docs.sparkSession)
-        model, table = brown.learn(docs.where("not held_out"), scratch)
-        rows = brown.score(docs, model, table, scratch).collect()
-        texts = {r["doc_id"]: (words(r["text"]) + [None], r["held_out"]) for r in docs.collect()}
-        count = collections.Counter()
-        for w, held in texts.values():
-            if not held:
-                count.update(w)
-        n, v = sum(count.values()), len(count)
-        assert len(rows) == len(texts)
-        for r in rows:
-            w = texts[r["doc_id"]][0]
-            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(count[x] > 0 for x in w), n)
-            assert r["base_score"] == pytest.approx(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w))
-            assert r["score"] < 0
-        got = {r["doc_id"]: r["score"] for r in rows}
-        again = got if known > 600 else again == pytest.approx(got)  # noqa: F821
-    assert model.move.shape == (48, 48) and np.allclose((10**model.move).sum(1), 1)
-    scratch = Scratch(documents.sparkSession)
-    none, table = brown.learn(docs.where("false"), scratch)
-    rows = brown.score(docs.limit(5), none, table, scratch).collect()
-    assert all(r["base_score"] == 0 and r["n_known"] == 0 for r in rows)
+    monkeypatch.setattr(brown, "LEAST", least)
+    monkeypatch.setattr(brown, "CLUSTERED", most)
+    docs = documents.select("doc_id", "text", F.coalesce(doc_crc() % 7 == 2, F.lit(False)).alias("held_out"))
+    scratch = Scratch(docs.sparkSession)
+    model, table, encoded = brown.learn(docs, scratch)
+    rows = brown.score(encoded, model, table, scratch).collect()
+    texts = [(r["doc_id"], words(r["text"]) + [None], r["held_out"]) for r in docs.collect()]
+    count = collections.Counter(w for _, t, held in texts if not held for w in t)
+    n, v = sum(count.values()), len(count)
+    by_hand = brown_by_hand(model, [t for _, t, held in texts if not held], [t for _, t, _ in texts])
+    want = sorted((str(i), len(t), sum(count[x] > 0 for x in t), round(sum(math.log10((count[x] + 1) / (n * 1 + v + 1)) for x in t), 3), round(s, 3)) for (i, t, _), s in zip(texts, by_hand))
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 3), round(r["score"], 3)) for r in rows) == want
+    assert {r["train_tokens"] for r in rows} == {n}
+    assert model.units.words == {8: sum(c >= 8 for w, c in count.items() if w), 2: model.units.words, 10**9: 0}[least] and model.units.words <= most
+    assert np.allclose((10**model.move).sum(1), 1)
+    none, table, encoded = brown.learn(docs.withColumn("held_out", F.lit(True)), scratch)
+    rows = brown.score(encoded, none, table, scratch).collect()
+    assert len(rows) == len(texts) and all(r["base_score"] == 0 and r["n_known"] == 0 for r in rows)
+    empty, table, encoded = brown.learn(docs.where("false"), scratch)
+    assert brown.score(encoded, empty, table, scratch).count() == 0
+
+
+def test_parallel_exchange_finds_what_alternates(spark, monkeypatch):
+    """Words of five kinds that follow each other in turn, with endings that say nothing: only the exchange of words can tell them apart."""
+    from pyspark.sql import functions as F
+
+    from sedira.llm.common import Scratch, word_hashes
+
+    monkeypatch.setattr(brown, "HEAD", 20)
+    monkeypatch.setattr(brown, "CLASSES", (6, 6))
+    monkeypatch.setattr(brown, "SWEEPS", 4)
+    rng = np.random.default_rng(2)
+    names = [[f"{'abcde'[k]}{rng.integers(10**6)}xyz" for _ in range(60)] for k in range(5)]
+    texts = [" ".join(names[(s + i) % 5][rng.integers(60)] for i in range(40)) for s in rng.integers(0, 5, 600)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").withColumn("held_out", F.col("doc_id") % 10 == 0).repartition(4)
+    model, table, encoded = brown.learn(docs, Scratch(spark))
+    assert model.units.words == 300
+    raw = np.frombuffer(" ".join(w for k in names for w in k).encode(), np.uint8)
+    starts, ends, _ = brown.spans(raw, np.array([0, len(raw)]))
+    unit = dict(zip(model.units.hashes.tolist(), model.units.unit.tolist()))
+    got = [model.of[unit[int(h)]] for h in word_hashes(raw, starts, ends)]
+    pure = sum(max(collections.Counter(got[60 * k : 60 * k + 60]).values()) for k in range(5))
+    assert pure >= 285
+    rows = [r for r in brown.score(encoded, model, table, Scratch(spark)).collect() if r["held_out"]]
+    assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows) + 0.5 * sum(r["n_tokens"] for r in rows)
 
 
 def test_exchange_finds_what_alternates():
