@@ -296,6 +296,16 @@ def bounds(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
 
 
+def below(h: np.ndarray, i: np.ndarray, ph: np.ndarray, pi: np.ndarray) -> np.ndarray:
+    """For each key (h, i), how many of the sorted keys (ph, pi) are at or below it."""
+    lo, hi = np.searchsorted(ph, h, "left"), np.searchsorted(ph, h, "right")
+    out = hi.copy()
+    for k in np.unique(lo[lo < hi]):
+        rows = np.flatnonzero((lo == k) & (hi > k))
+        out[rows] = k + np.searchsorted(pi[k : hi[rows[0]]], i[rows], "right")
+    return out
+
+
 def gapless(df: DataFrame, group: list[str], bucket: str, order: list, name: str) -> DataFrame:
     """Numbers the rows of each group from 0 without gaps. Only the rows of one (group, bucket) meet in a task: the rows are counted by bucket, and a running sum over those counts says where each bucket starts. The caller chooses buckets small enough."""
     from pyspark.sql import Window

@@ -8,13 +8,15 @@ A fingerprint is text: for every kept hash 8 hexadecimal digits of the hash and
 text. Likeness is the Jaccard similarity of the sets of hashes (1 for two empty ones).
 
 Cases: null is empty; a text of fewer than k code points has one hash, of all of it, and an empty one none; texts of any
-length are taken whole; equal texts have equal fingerprints. For `with_next`: rows are ordered by doc_id, null last, and
-equal ids by text; one document alone is its own next; an empty table gives no rows.
+length are taken whole; equal texts have equal fingerprints; `fingerprints` keeps the input's columns in a struct. For
+`with_next`: rows are ordered by doc_id, null last, and equal ids by a hash of the text, then by the text; one document
+alone is its own next; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedira.llm.common import lean, mix, parts, read, Scratch
+from sedira.llm.common import below, lean, mix, parts, read, Scratch
 
 K, W = 16, 64
-#: Ranges of doc_id whose first ids are broadcast at most.
-BROADCAST = 1 << 20
+#: Ranges of doc_id whose first ids are broadcast at most; rows of a range on average.
+BROADCAST, ROWS = 1 << 20, 4096
 _LOW = np.uint64(0xFFFFFFFF)
 _MUL = 0x9E3779B97F4A7C15
 
@@ -90,43 +92,62 @@ def _points(text: str) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
-    """The documents with `fingerprint`: no exchange, one pass."""
+    """doc (struct of the input's columns) and fingerprint: no exchange, one pass."""
 
     @F.pandas_udf("string")
     def of(texts):
         return texts.map(lambda t: written(winnow(_points(t or ""), k, w)), na_action=None)
 
-    return docs.withColumn("fingerprint", of(F.coalesce(F.col("text"), F.lit(""))))
+    return docs.select(F.struct("*").alias("doc"), of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("fingerprint"))
+
+
+def _cuts(docs: DataFrame) -> list[tuple[float, float]]:
+    """Starts of ranges after the first, by doc_id (null: infinity) and, where an id or null has many rows, by the hash of the text as a number from 0 to 1."""
+    total = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids")).first()
+    n = max(parts(docs.sparkSession), -(-total["n"] // ROWS))
+    at = docs.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 and total["ids"] else []
+    ids, times = np.unique(np.array(at, float), return_counts=True)
+    cuts = [(float(i), j / int(m)) for i, m in zip(ids, times) for j in range(m)]
+    nulls = total["n"] - total["ids"]
+    ways = max(1, math.ceil(nulls * n / max(1, total["n"])))
+    return cuts + [(math.inf, j / ways) for j in range(ways) if nulls]
 
 
 def with_next(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Texts are exchanged once, to ranges of doc_id cut at approximate quantiles; the document that follows a range is sent
-    there as well, which is one more row a range.
+    Texts are exchanged once, to ranges of doc_id cut at approximate quantiles, each a partition of its own; the document
+    that follows a range is sent there as well, which is one more row a range.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    docs = docs.select("doc_id", "text")
-    n = parts(spark)
-    cuts = np.unique(np.array(docs.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    cuts = _cuts(docs)
+    many = any(b > 0 for _, b in cuts)  # else ids alone say where a range starts, and no text is read for that
+    docs = docs.withColumn("frac", F.pmod(F.xxhash64("text"), F.lit(1 << 52)) / float(1 << 52))
+    start = F.col("frac") if many else F.lit(0.0)
+    first_keys, second_keys = (np.array([c[j] for c in cuts]) for j in (0, 1))
 
     @F.pandas_udf("int")
-    def range_of(ids):
+    def range_of(ids, frac):
         import pandas as pd
 
-        return pd.Series(np.where(ids.isna(), len(cuts) + 1, np.searchsorted(cuts, ids.fillna(0).to_numpy(), "right")).astype(np.int32))
+        a = np.where(ids.isna(), math.inf, ids.fillna(0).to_numpy(float))
+        return pd.Series(below(a, frac.to_numpy(), first_keys, second_keys).astype(np.int32))
 
-    rows = docs.withColumn("part", range_of("doc_id"))
-    first = docs.select("doc_id", range_of("doc_id").alias("part")).groupBy("part").agg(F.min("doc_id").alias("first_id"))
+    rows = docs.withColumn("part", range_of("doc_id", start))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", start.alias("frac"))
+    first = docs.select(key.alias("key"), range_of("doc_id", start).alias("part")).groupBy("part").agg(F.min("key").alias("key"))
     circle = Window.orderBy("part")  # one row a range
     whole = circle.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = first.select(F.col("part").alias("own"), "first_id", F.coalesce(F.lag("part").over(circle), F.max("part").over(whole)).alias("part"))
+    first = first.select(F.col("part").alias("own"), F.col("key.doc_id").alias("first_id"), F.col("key.frac").alias("first_frac"), F.coalesce(F.lag("part").over(circle), F.max("part").over(whole)).alias("part"))
     first = scratch.keep(first, "first")
     first = F.broadcast(first) if first.count() <= BROADCAST else first  # a few numbers a range
-    heads = docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"])).groupBy(first["part"], docs["doc_id"]).agg(F.min("text").alias("text"))
-    fed = rows.select("part", F.lit(0).alias("follows"), "doc_id", "text").unionByName(heads.select("part", F.lit(1).alias("follows"), "doc_id", "text"))
-    fed = fed.repartition(max(n, len(cuts) + 1), "part").sortWithinPartitions("part", "follows", F.col("doc_id").asc_nulls_last(), "text")
+    same = docs["doc_id"].eqNullSafe(first["first_id"])
+    same = same & (docs["frac"] == first["first_frac"]) if many else same
+    heads = docs.join(first, same).groupBy(first["part"], docs["doc_id"]).agg(F.min(F.struct("frac", "text")).alias("head")).select("part", "doc_id", "head.*")
+    fed = rows.select("part", F.lit(0).alias("follows"), "doc_id", "frac", "text").unionByName(heads.select("part", F.lit(1).alias("follows"), "doc_id", "frac", "text"))
+    fed = fed.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "follows", F.col("doc_id").asc_nulls_last(), "frac", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedira.llm.common import copy_numbers, fetch, lean, parts, read, Scratch
+from sedira.llm.common import below, copy_numbers, fetch, lean, parts, read, Scratch
 
 SHARDS = 24
 OVERHEAD = 8
@@ -47,16 +47,6 @@ def _unsigned(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
 
 
-def _below(h: np.ndarray, i: np.ndarray, ph: np.ndarray, pi: np.ndarray) -> np.ndarray:
-    """For each row, how many of the sorted probes are at or below its key; a probe is the least key of what is above it."""
-    lo, hi = np.searchsorted(ph, h, "left"), np.searchsorted(ph, h, "right")
-    out = hi.copy()
-    for k in np.unique(lo[lo < hi]):
-        rows = np.flatnonzero((lo == k) & (hi > k))
-        out[rows] = k + np.searchsorted(pi[k : hi[rows[0]]], i[rows], "right")
-    return out
-
-
 def _histogram(rows: DataFrame, probes: list[Key]) -> tuple[np.ndarray, np.ndarray]:
     """Exact bytes and rows between neighbouring probes; len(probes) + 1 numbers each."""
     ph, pi = (np.array([p[k] for p in probes], np.uint64) for k in (0, 1))
@@ -64,7 +54,7 @@ def _histogram(rows: DataFrame, probes: list[Key]) -> tuple[np.ndarray, np.ndarr
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, len(ph) + 1), np.int64)
         for b in batches:
-            at = _below(_unsigned(b, "shard_h"), _unsigned(b, "shard_i"), ph, pi)
+            at = below(_unsigned(b, "shard_h"), _unsigned(b, "shard_i"), ph, pi)
             size = b.column("shard_size").to_numpy()
             np.add.at(total[0], at, size)
             total[1] += np.bincount(at, minlength=len(ph) + 1)
@@ -173,7 +163,7 @@ def _finer(cuts: list[Key]):
 
         ph, pi = (np.array([c[k] for c in cuts], np.uint64) for k in (0, 1))
         flip = lambda x: x.to_numpy(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
-        return pd.Series(_below(flip(h), flip(i), ph, pi).astype(np.int32))
+        return pd.Series(below(flip(h), flip(i), ph, pi).astype(np.int32))
 
     return at("shard_h", "shard_i")
 

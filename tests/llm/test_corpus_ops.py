@@ -499,6 +499,25 @@ def test_winnowing_is_the_windows_rightmost_least():
         assert got == [(int(h[i]), i) for i in sorted(want)]
 
 
+@pytest.mark.parametrize("ids", ["unique", "many null", "one id"])
+def test_next_document_over_many_ranges(spark, documents, monkeypatch, ids):
+    """Ranges of a few rows, also where ids say little; nulls and repeated rows are in."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(fingerprints, "ROWS", 4)
+    docs = documents.where("text is null or length(text) < 10000")
+    if ids != "unique":
+        docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).otherwise(F.lit(None if ids == "many null" else 50).cast("long")))
+    frac = F.pmod(F.xxhash64("text"), F.lit(1 << 52)) / float(1 << 52)
+    assert ids == "unique" or len({c[0] for c in fingerprints._cuts(docs)}) < len(fingerprints._cuts(docs))
+    rows = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["f"], r["text"] or "") for r in docs.withColumn("f", frac).collect()))
+    want = collections.Counter()
+    for (none, i, _, t), (*_, nxt) in zip(rows, rows[1:] + rows[:1]):
+        want[None if none else i, hashlib.sha256((t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]).encode()).hexdigest()] += 1
+    got = collections.Counter((r["doc_id"], r["edited_sha256"]) for r in fingerprints.with_next(docs).collect())
+    assert got == want
+
+
 def test_fingerprints(documents, plain):
     got = {r["doc_id"]: r for r in fingerprints.with_next(plain).collect()}
     rows = sorted(((r["doc_id"], r["text"] or "") for r in plain.collect()))
