@@ -54,6 +54,8 @@ SCRIPTS = [
     (0xFB10, "other"), (0xFF21, "latin"), (0xFF66, "kana"), (0xFFA0, "hangul"), (0x20000, "han"),
 ]
 _FIRST = [s for s, _ in SCRIPTS]
+#: More than any code point.
+GRAM_BASE = 1 << 21
 _EXCLUDED = -1e9
 
 
@@ -84,8 +86,8 @@ class _Ids(dict):
 @dataclass
 class Model:
     languages: list[str]
-    rows: dict[str, int]  # of each trigram in weights; row 0 is for those never seen
-    weights: np.ndarray
+    grams: np.ndarray  # trigrams as numbers, sorted
+    weights: np.ndarray  # of each trigram and language; the last row is for those never seen
     scripts: dict[str, np.ndarray]
     switch: float = SWITCH
     ids: _Ids = field(default_factory=_Ids)  # words met, and their scores and letters
@@ -95,10 +97,13 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"ids": _Ids(), "scores": None, "letters": None}
 
+    def forget(self) -> None:
+        self.ids, self.scores, self.letters = _Ids(), np.zeros((0, len(self.languages)), np.float32), np.zeros(0, np.int32)
+
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
         """The words of each text as rows of `scores`, which holds all of them then."""
         if self.scores is None or len(self.ids) > CACHE_WORDS:
-            self.ids, self.scores, self.letters = _Ids(), np.zeros((0, len(self.languages)), np.float32), np.zeros(0, np.int32)
+            self.forget()
         words, number = word_pattern().findall, self.ids.__getitem__
         out = [np.fromiter(map(number, words(t.lower())), np.int32) for t in texts]
         if len(self.ids) > len(self.scores):
@@ -115,17 +120,27 @@ class Model:
 
     def _scored(self, words: list[str]) -> np.ndarray:
         """Log likelihood of each language less the best one's; very low where the script rules a language out."""
-        get = self.rows.get
-        grams = [get(w[i : i + 3], 0) for word in words for w in (f"<{word}>",) for i in range(len(word))]
-        at = np.concatenate([[0], np.cumsum([len(w) for w in words])[:-1]])
-        s = np.add.reduceat(self.weights[grams], at)
+        points = np.frombuffer(f"<{'><'.join(words)}>".encode("utf-32-le"), np.uint32).astype(np.int64)
+        n = np.array([len(w) for w in words])  # trigrams of a word and its two ends
+        at = np.cumsum(n + 2) - n - 2
+        gram = (points[:-2] * GRAM_BASE + points[1:-1]) * GRAM_BASE + points[2:]
+        keep = np.ones(len(points), bool)
+        keep[at + n] = keep[at + n + 1] = False  # those that reach into the next word
+        gram = gram[keep[:-2]]
+        i = np.minimum(np.searchsorted(self.grams, gram), max(0, len(self.grams) - 1))
+        row = np.where(self.grams[i] == gram, i, len(self.grams)) if len(self.grams) else np.zeros(len(gram), np.int64)
+        s = np.add.reduceat(self.weights[row], np.cumsum(n) - n)
         every = np.ones(len(self.languages), bool)
-        kinds: dict[str, int] = {}
-        of = [kinds.setdefault(script(w), len(kinds)) for w in words]
-        s[~np.array([self.scripts.get(k, every) for k in kinds])[of]] = _EXCLUDED
+        allowed = np.array([self.scripts.get(k, every) for _, k in SCRIPTS])
+        s[~allowed[np.searchsorted(_FIRST, points[at + 1], "right") - 1]] = _EXCLUDED
         return s - s.max(1, keepdims=True)
 
 
+def gram_number(gram: str) -> int:
+    a, b, c = map(ord, gram)
+    return (a * GRAM_BASE + b) * GRAM_BASE + c
+
+
 def fit(sample: DataFrame, switch: float = SWITCH) -> Model:
     """`sample`: text, lang. Trigrams and scripts are counted by language where the texts are; what is fetched is bounded by the trigrams of each language's words."""
 
@@ -148,17 +163,17 @@ def fit(sample: DataFrame, switch: float = SWITCH) -> Model:
     table = sample.select("text", "lang").mapInArrow(lean(count), "lang string, is_script boolean, item string, n long").groupBy("lang", "is_script", "item").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(table["lang"].unique())
     grams, scripts = table[~table["is_script"].astype(bool)], table[table["is_script"].astype(bool)]
-    every = sorted(grams["item"].unique())
-    row, column = {g: k for k, g in enumerate(every, 1)}, {x: k for k, x in enumerate(languages)}
+    column = {x: k for k, x in enumerate(languages)}
+    every, row = np.unique(np.array([gram_number(g) for g in grams["item"]], np.int64), return_inverse=True)
     counts = np.zeros((len(every) + 1, len(languages)))
-    counts[grams["item"].map(row).to_numpy(int), grams["lang"].map(column).to_numpy(int)] = grams["n"]
+    counts[row, grams["lang"].map(column).to_numpy(int)] = grams["n"]
     base = np.log(counts.sum(0) + len(every) + 1)
     seen: dict[str, np.ndarray] = {}
     total = scripts.groupby("lang")["n"].sum()
     for lang, item, n in zip(scripts["lang"], scripts["item"], scripts["n"]):
         if n >= 0.01 * total[lang]:
             seen.setdefault(item, np.zeros(len(languages), bool))[column[lang]] = True
-    return Model(list(languages), row, (np.log(counts + 1.0) - base).astype(np.float32), seen, switch)
+    return Model(list(languages), every, (np.log(counts + 1.0) - base).astype(np.float32), seen, switch)
 
 
 def sample(docs: DataFrame, each: int = SAMPLE) -> DataFrame:
@@ -263,11 +278,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc (struct of the input's columns), lang_pred, score, sure. The model (a few MB, bounded by the sample) is broadcast; there is no exchange."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, sure double")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        m: Model = shared.value
-        out = [None] * len(texts)
-        values = texts.tolist()
+    def labelled(values: list[str | None], m: Model) -> pd.DataFrame:
+        out = [None] * len(values)
         order = sorted(range(len(values)), key=lambda k: -len(values[k] or ""))  # long ones together
         limit, at = max(1 << 16, 4 * NUMBERS // max(4, len(m.languages))), 0
         while at < len(order):
@@ -278,9 +290,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             for k, row in zip(order[at:to], zip(*label(m, [values[k] for k in order[at:to]]))):
                 out[k] = row
             at = to
-        release()
         return pd.DataFrame(out, columns=["lang_pred", "score", "sure"])
 
+    @F.pandas_udf("lang_pred string, score double, sure double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield labelled(texts.tolist(), shared.value)
+        shared.value.forget()  # the worker lives on
+        release()
+
     return docs.select(F.struct("*").alias("doc")).select("doc", run("doc.text").alias("found")).select("doc", "found.*")
 
 
