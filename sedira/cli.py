@@ -40,24 +40,35 @@ def bodyfile_lines(spark: SparkSession, path: str, with_md5: bool = False) -> Da
 
 
 def export(spark: SparkSession, path: str, display_path: str, target: str) -> int:
-    """Writes the streams of an entry to files below `target`, where they are read; the number of files. A name cannot lead out of the target."""
-    rows = spark.read.format("data_forks").options(path=path, with_content="true").load().where(F.col("display_path") == display_path)
+    """Writes the streams of an entry to files below `target`, where they are read, a mebibyte at a time; the number of files. A name cannot lead out of the target."""
+    rows = spark.read.format("data_forks").options(path=path).load().where(F.col("display_path") == display_path)
+    rows = rows.select("path", "volume", "display_path", "identifier", "fork_index", "fork_name").collect()  # the streams of one entry a volume
 
     def put(batch):
+        from sedira.sources import datasources
+
         os.makedirs(target, exist_ok=True)
         for r in batch:
+            reader = datasources.DataForks({"path": r["path"]})
+            reader.lookup = {"display_path": r["display_path"]}
+            fs, _ = reader.open(datasources.Part(r["path"], volume=r["volume"]))
+            entry = next(e for e in reader.found(fs) if e.identifier == r["identifier"])
             name = "_".join(x for x in (str(r["volume"]), os.path.basename(r["display_path"]) or "root", r["fork_name"]) if x).replace(os.sep, "_")
             with open(os.path.join(target, name), "wb") as f:
-                f.write(r["content"] or b"")
+                for chunk in entry.forks[r["fork_index"]].stream.chunks(1 << 20):
+                    f.write(chunk)
+
+    if rows:
+        spark.createDataFrame(rows).repartition(len(rows)).foreachPartition(put)
+    return len(rows)
+
 
-    rows = rows.select("volume", "display_path", "fork_name", "content").cache()
-    rows.foreachPartition(put)
-    n = rows.count()
-    rows.unpersist()
-    return n
+def write_digests(rows: DataFrame, target: str) -> None:
+    """A digest list as text files, `digest  name` a line, as the hash commands of shells read it."""
+    rows.select(F.concat_ws("  ", "digest", "name").alias("value")).write.text(target)
 
 
-def run(spark: SparkSession, argv: list[str]) -> DataFrame | int:
+def run(spark: SparkSession, argv: list[str]) -> DataFrame | int | None:
     datasources.register(spark)
     p = argparse.ArgumentParser(prog="sedira", description=__doc__)
     verbs = p.add_subparsers(dest="verb", required=True)
@@ -69,6 +80,7 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame | int:
     a.add_argument("path")
     a.add_argument("--digest", default="md5", choices=["md5", "sha1", "sha224", "sha256", "sha512"])
     a.add_argument("--stop-on-error", action="store_true")
+    a.add_argument("--output", help="a folder for the list, which is written where the digests are made")
     a = verbs.add_parser("export")
     for x in ("path", "entry", "target"):
         a.add_argument(x)
@@ -78,7 +90,8 @@ def run(spark: SparkSession, argv: list[str]) -> DataFrame | int:
     a.add_argument("which", nargs="?")
     o = p.parse_args(argv)
     if o.verb == "hash":
-        return digests(spark, o.path, o.digest, o.stop_on_error)
+        found = digests(spark, o.path, o.digest, o.stop_on_error)
+        return write_digests(found, o.output) if o.output else found
     if o.verb == "export":
         return export(spark, o.path, o.entry, o.target)
     if o.verb == "info":
@@ -105,5 +118,5 @@ if __name__ == "__main__":
     if isinstance(result, DataFrame):
         for row in result.toLocalIterator():
             print(*("" if v is None else v for v in row), sep="\t")
-    else:
+    elif result is not None:
         print(result)

@@ -1,7 +1,7 @@
 """Digests and checksums. What the JVM has is used there; the rest goes by Arrow.
 
 Digests cannot be combined from parts, so a stream in chunks is folded in order within its group; CRC-32 and Adler-32 can
-be combined by length, and are (see operators.chunks).
+be combined by length, and CRC-32 is (see operators.relations).
 """
 
 from __future__ import annotations

@@ -49,19 +49,21 @@ UNPRINTABLE = [
 ]
 
 
-_ESCAPED = "[\\x00-\\x1f\\x7f-\\x9f" + "".join(f"\\x{{{c:x}}}" for c in UNPRINTABLE) + "]"
+_RARE = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f" + "".join(f"\\x{{{c:x}}}" for c in UNPRINTABLE) + "]"
+#: What is escaped in nearly every text, and how.
+_COMMON = [("\\", "\\\\"), ("/", "\\/"), (":", "\\:"), ("\n", "\\x0a"), ("\r", "\\x0d"), ("\t", "\\x09")]
 
 
 def display_escape(text: Column) -> Column:
-    r"""Escapes / : \ by a backslash, control characters as \xNN, what does not print as \UNNNNNNNN: the distinct ones in a text are found by one pattern and replaced one by one."""
-    plain = F.regexp_replace(text, r"([/:\\])", r"\\$1")
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({_ESCAPED})")))
+    r"""Escapes / : \ by a backslash, control characters as \xNN, what does not print as \UNNNNNNNN: plain replacements for what is common; of the others, only in texts that have any, the distinct ones are found by one pattern and replaced one by one."""
+    plain = reduce(lambda t, ab: F.replace(t, F.lit(ab[0]), F.lit(ab[1])), _COMMON, text)
 
     def code(c: Column) -> Column:
         n = F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("int")
         return F.concat(F.when(n < 0xA0, F.lit("\\x")).otherwise(F.lit("\\U")), F.lpad(F.lower(F.hex(n)), F.when(n < 0xA0, 2).otherwise(8), F.lit("0")))
 
-    return F.aggregate(found, plain, lambda t, c: F.replace(t, c, code(c)))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({_RARE})")))
+    return F.when(text.rlike(_RARE), F.aggregate(found, plain, lambda t, c: F.replace(t, c, code(c)))).otherwise(plain)
 
 
 def display_path(components: Column) -> Column:

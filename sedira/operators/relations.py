@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedira.session import written
+
 
 def interval_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, bucket: int, keys: list[str] = (), how: str = "inner") -> DataFrame:
     """Rows of `points` with the rows of `ranges` whose [low, high) holds the point.
@@ -53,11 +56,12 @@ def tree(edges: DataFrame, node: str, parent: str, name: str, order: str | None
     """node, level, path, and postorder_key (children before their parent, siblings by `order`): an iterative join from the roots, whose number of rounds is the depth, not the number of nodes. Raises if `depth` does not suffice."""
     order = order or name
     rows = edges.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(name).alias("name"), F.col(order).cast("string").alias("o"))
-    now = rows.where("parent is null").select("node", F.lit(0).alias("level"), F.col("name").alias("path"), F.array(F.concat(F.col("o"), F.lit("\x00"))).alias("key"))
+    now = written(rows.where("parent is null").select("node", F.lit(0).alias("level"), F.col("name").alias("path"), F.array(F.concat(F.col("o"), F.lit("\x00"))).alias("key")))
     found = now
     for _ in range(depth):
         up = now.select(F.col("node").alias("parent"), "level", "path", "key")
-        now = rows.where("parent is not null").join(up, "parent").select("node", (F.col("level") + 1).alias("level"), F.concat("path", F.lit(separator), "name").alias("path"), F.concat("key", F.array(F.concat(F.col("o"), F.lit("\x00")))).alias("key"))
+        step = rows.where("parent is not null").join(up, "parent").select("node", (F.col("level") + 1).alias("level"), F.concat("path", F.lit(separator), "name").alias("path"), F.concat("key", F.array(F.concat(F.col("o"), F.lit("\x00")))).alias("key"))
+        now = written(step)  # each level is joined once
         if now.isEmpty():
             break
         found = found.unionByName(now)
@@ -68,6 +72,16 @@ def tree(edges: DataFrame, node: str, parent: str, name: str, order: str | None
     return found.select("node", "level", "path", F.concat(F.array_join("key", "\x01"), F.lit("\x01\U0010ffff")).alias("postorder_key"))
 
 
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """The rows with their place (from 1) in the order of `key`, which is unique: ranges of the key are numbered side by side, from the sums of the ranges before."""
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    parted = written(rows.repartitionByRange(n, key).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
+    within = Window.partitionBy("_part").orderBy(key)
+    return parted.withColumn("_row", F.row_number().over(within)).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_from") + F.col("_row")).cast("long")).drop("_part", "_row", "_from")
+
+
 def chunk_sizes(chunks: DataFrame, stream: str, offset: str, end: Column) -> DataFrame:
     """chunk_size: the distance to the next chunk of the stream, or to its end."""
     w = Window.partitionBy(stream).orderBy(offset)
@@ -107,12 +121,15 @@ def stream_digests(chunks: DataFrame, kinds: tuple[str, ...] = ("md5",), stream:
 
 
 def combine_crc32(parts: DataFrame, stream: str, number: str, crc: str, length: str) -> DataFrame:
-    """stream and crc32 of whole streams from their chunks' checksums and lengths; only these small rows meet."""
+    """stream and crc32 of whole streams from their chunks' checksums and lengths. The checksum of a stream is the exclusive or of those of its chunks, each moved through as many zero bytes as follow it; only sums and exclusive ors meet, no list of chunks."""
+
     @F.pandas_udf("long")
-    def fold(v: pd.Series) -> pd.Series:
-        return v.map(lambda rows: _combined([(r["c"], r["n"]) for r in rows]))
+    def moved(crcs: pd.Series, after: pd.Series) -> pd.Series:
+        return pd.Series([_moved(int(c), int(n)) for c, n in zip(crcs, after)])
 
-    return parts.groupBy(stream).agg(F.array_sort(F.collect_list(F.struct(F.col(number).alias("k"), F.col(crc).alias("c"), F.col(length).alias("n")))).alias("rows")).select(stream, fold("rows").alias("crc32"))
+    later = Window.partitionBy(stream).orderBy(number).rowsBetween(1, Window.unboundedFollowing)
+    rows = parts.withColumn("_after", F.coalesce(F.sum(length).over(later), F.lit(0)).cast("long"))
+    return rows.groupBy(stream).agg(F.bit_xor(moved(F.col(crc).cast("long"), "_after")).alias("crc32"))
 
 
 def _times(m: list[int], v: int) -> int:
@@ -125,16 +142,20 @@ def _times(m: list[int], v: int) -> int:
     return out
 
 
-def _combined(parts: list[tuple[int, int]]) -> int:
-    """CRC of a concatenation: the first part's is moved through as many zero bits as the second has, by squaring the one-bit step."""
-    out = 0
-    for crc, n in parts:
-        m = [0xEDB88320, *(1 << k for k in range(31))]
-        bits = 8 * n
-        while bits:
-            if bits & 1:
-                out = _times(m, out)
-            m = [_times(m, x) for x in m]
-            bits >>= 1
-        out ^= crc
-    return out
+@functools.cache
+def _squares(k: int) -> list[int]:
+    """The step through 2**k zero bits, as a matrix: its square is the next one."""
+    if not k:
+        return [0xEDB88320, *(1 << i for i in range(31))]
+    m = _squares(k - 1)
+    return [_times(m, x) for x in m]
+
+
+def _moved(crc: int, n: int) -> int:
+    """A CRC moved through n zero bytes."""
+    bits, k = 8 * n, 0
+    while bits and crc:
+        if bits & 1:
+            crc = _times(_squares(k), crc)
+        bits, k = bits >> 1, k + 1
+    return crc

@@ -91,13 +91,13 @@ def checksum_crc32_forward(spark, d):
 
 
 _ADLER = """SELECT doc_id, ((list_sum(list_transform(range(n), lambda i: (n - i) * c[i + 1])) + n) % 65521 * 65536 + (list_sum(c) + 1) % 65521)::BIGINT AS adler32
-FROM (SELECT doc_id, length(text) AS n, list_transform(string_split(text, ''), lambda x: unicode(x)::BIGINT) AS c FROM documents WHERE octet_length(encode(text)) = length(text) AND length(text) > 0)"""
+FROM (SELECT doc_id, octet_length(encode(text)) AS n, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS c FROM documents WHERE length(text) > 0)
+UNION ALL SELECT doc_id, CASE WHEN text = '' THEN 1 END FROM documents WHERE coalesce(length(text), 0) = 0"""
 
 
 @query(_ADLER)
 def checksum_adler32(spark, d):
-    docs = _t(spark, d, "documents").where((F.octet_length("text") == F.length("text")) & (F.length("text") > 0))
-    return docs.select("doc_id", digest.adler32_long(F.col("text").cast("binary")).alias("adler32"))
+    return _t(spark, d, "documents").select("doc_id", digest.adler32_long(F.col("text").cast("binary")).alias("adler32"))
 
 
 @query("SELECT p_partkey, ((list_sum(list_transform(range(n), lambda i: (n - i) * c[i + 1])) + n) % 65521 * 65536 + (list_sum(c) + 1) % 65521)::BIGINT AS adler32 FROM (SELECT p_partkey, length(p_name) AS n, list_transform(string_split(p_name, ''), lambda x: unicode(x)::BIGINT) AS c FROM part)")
@@ -111,20 +111,21 @@ def digest_verify(spark, d):
     return docs.select("doc_id", "stored", digest.digest(F.col("media")).alias("computed")).withColumn("verified", F.col("stored") == F.col("computed"))
 
 
+def _chunks(spark, d):
+    """doc_id, chunk_no and bytes of the texts in chunks of 512 bytes; a text is cut before its pieces are rows."""
+    at = F.sequence(F.lit(0), F.floor((F.octet_length("content") - 1) / 512).cast("int"))
+    docs = _t(spark, d, "documents").where("length(text) > 0").select("doc_id", F.col("text").cast("binary").alias("content"))
+    return docs.select("doc_id", F.posexplode(F.transform(at, lambda k: F.substring(F.col("content"), k * 512 + 1, F.lit(512)))).alias("chunk_no", "bytes"))
+
+
 @query("SELECT doc_id, octet_length(encode(text))::BIGINT AS size, md5(text) AS md5, sha256(text) AS sha256 FROM documents WHERE length(text) > 0")
 def digest_of_chunks(spark, d):
-    docs = _t(spark, d, "documents").where("length(text) > 0").withColumn("content", F.col("text").cast("binary"))
-    chunk = F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("content") - 1) / 512).cast("int")))
-    chunks = docs.select("doc_id", "content", chunk.alias("chunk_no")).select("doc_id", "chunk_no", F.expr("substring(content, chunk_no * 512 + 1, 512)").alias("bytes"))
-    return relations.stream_digests(chunks, ("md5", "sha256"), "doc_id")
+    return relations.stream_digests(_chunks(spark, d), ("md5", "sha256"), "doc_id")
 
 
 @query()
 def checksum_crc32_of_chunks(spark, d):
-    docs = _t(spark, d, "documents").where("length(text) > 0").withColumn("content", F.col("text").cast("binary"))
-    chunk = F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("content") - 1) / 512).cast("int")))
-    chunks = docs.select("doc_id", "content", chunk.alias("chunk_no")).select("doc_id", "chunk_no", F.expr("substring(content, chunk_no * 512 + 1, 512)").alias("b"))
-    return relations.combine_crc32(chunks.select("doc_id", "chunk_no", F.crc32("b").alias("c"), F.octet_length("b").alias("n")), "doc_id", "chunk_no", "c", "n")
+    return relations.combine_crc32(_chunks(spark, d).select("doc_id", "chunk_no", F.crc32("bytes").alias("c"), F.octet_length("bytes").alias("n")), "doc_id", "chunk_no", "c", "n")
 
 
 # ---- dates and times ---------------------------------------------------------------------------------------------------
@@ -221,12 +222,12 @@ def clock_kind(spark, d):
     return _t(spark, d, "events").select("event_id", time.clock_choice(F.col("event_id") % 3, F.floor(us % 1000000 / 500000)).alias("kind"))
 
 
-@query("""SELECT '0|/' || source || '/' || d.doc_id::VARCHAR || '.' || lang || CASE WHEN quality = 1 THEN ' -> ' || url ELSE '' END || '|' || d.doc_id::VARCHAR || '|-rw-r--r--|' || coalesce(quality::VARCHAR, '') || '|' || coalesce(toxic::VARCHAR, '') || '|' || n_chars::VARCHAR || '||' || n_chars::VARCHAR || '|' || n_chars::VARCHAR || '.000000005|' AS value
-FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN pages p ON d.doc_id = p.page_id WHERE NOT (coalesce(quality = 1, false) AND url IS NULL)""")
+@query("""SELECT '0|/' || source || '/' || d.doc_id::VARCHAR || '.' || lang || CASE WHEN quality = 1 AND url IS NOT NULL THEN ' -> ' || url ELSE '' END || '|' || d.doc_id::VARCHAR || '|-rw-r--r--|' || coalesce(quality::VARCHAR, '') || '|' || coalesce(toxic::VARCHAR, '') || '|' || n_chars::VARCHAR || '||' || n_chars::VARCHAR || '|' || n_chars::VARCHAR || '.000000005|' AS value
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN pages p ON d.doc_id = p.page_id""")
 def bodyfile_lines(spark, d):
     docs, labels, pages = _t(spark, d, "documents"), _t(spark, d, "labels"), _t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url")
     at = lambda kind, nanos: F.struct(F.lit(kind).alias("kind"), F.col("n_chars").cast(time.U64).alias("ticks"), F.lit(nanos).alias("nanos"))
-    e = docs.join(labels, "doc_id", "left").join(pages, "doc_id", "left").where("not (coalesce(quality = 1, false) and url is null)")
+    e = docs.join(labels, "doc_id", "left").join(pages, "doc_id", "left")
     e = e.select(
         F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang").alias("display_path"), F.when(F.col("quality") == 1, F.col("url")).alias("link_target"),
         F.col("doc_id").alias("identifier"), text.mode_string_posix(F.lit(0o100644)).alias("mode_string"), F.col("quality").alias("owner_id"), F.col("toxic").alias("group_id"), F.col("n_chars").alias("size"),
@@ -314,9 +315,9 @@ def bytesize_1000(spark, d):
     return _sizes(spark, d).select("doc_id", text.bytesize(F.col("v"), 1000).alias("size"))
 
 
-@query("SELECT doc_id, lower(substr(hex(encode(text)), 1, 32)) AS hex FROM documents")
+@query("SELECT doc_id, lower(hex(encode(text))) AS hex FROM documents")
 def hex_lower(spark, d):
-    return _t(spark, d, "documents").select("doc_id", text.hex_lower(F.substring(F.col("text").cast("binary"), 1, 16)).alias("hex"))
+    return _t(spark, d, "documents").select("doc_id", text.hex_lower(F.col("text").cast("binary")).alias("hex"))
 
 
 _CELLS = lambda a, b: " || ".join(f"CASE WHEN length(h) > {2 * k} THEN substr(h, {2 * k + 1}, 2) || ' ' ELSE '   ' END" for k in range(a, b))
@@ -472,11 +473,10 @@ _KINDS = ["qcow", "vhd", "gpt", "mbr", "fat", "ext", "ntfs", "apm", "ewf"]
 
 def _found(spark, d):
     at = lambda k: F.element_at(F.array(*(F.lit(x) for x in _KINDS)), (k % 9 + 1).cast("int"))
-    li = _t(spark, d, "lineitem").where("l_orderkey % 3 = 0")
-    return li.select(F.col("l_orderkey").alias("blob"), at(F.col("l_partkey") * 7 + F.col("l_suppkey")).alias("format"))
+    return _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("blob"), at(F.col("l_partkey") * 7 + F.col("l_suppkey")).alias("format"))
 
 
-_FOUND = f"f AS (SELECT l_orderkey AS blob, list_distinct(list([{', '.join(repr(k) for k in _KINDS)}][((l_partkey * 7 + l_suppkey) % 9)::INT + 1])) AS f FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY 1)"
+_FOUND = f"f AS (SELECT l_orderkey AS blob, list_distinct(list([{', '.join(repr(k) for k in _KINDS)}][((l_partkey * 7 + l_suppkey) % 9)::INT + 1])) AS f FROM lineitem GROUP BY 1)"
 _PICK = "list_intersect(f, [{}])"
 _IMG, _VOL, _FS = (_PICK.format(", ".join(repr(k) for k in ks)) for ks in (signatures.IMAGES, ("apm", "gpt"), signatures.FILE_SYSTEMS))
 
@@ -552,10 +552,8 @@ def hierarchy_paths(spark, d):
 
 @query(_TREE + " SELECT node, row_number() OVER (ORDER BY array_to_string(k, chr(2)) || chr(2) || chr(1114111)) AS position FROM t")
 def hierarchy_postorder(spark, d):
-    from pyspark.sql import Window
-
-    t = relations.tree(_edges(spark, d), "node", "parent", "name")
-    return t.select("node", F.row_number().over(Window.orderBy("postorder_key")).cast("long").alias("position"))
+    t = relations.tree(_edges(spark, d), "node", "parent", "name").select("node", F.concat("postorder_key", F.lit("\x02"), "node").alias("key"))
+    return relations.numbered(t, "key", "position").select("node", "position")
 
 
 @query("SELECT o_orderkey, c_name AS parent_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 7 <> 0")
@@ -675,14 +673,14 @@ def layout_mbr_entry(spark, d):
     return _t(spark, d, "part").select("p_partkey", binary.parse(raw, formats.MBR_ENTRY).alias("e")).select("p_partkey", "e.flags", "e.type", "e.start_lba", "e.sectors")
 
 
-@query("SELECT p_partkey, p_name AS name, (p_partkey * 2048)::DECIMAL(20, 0) AS first_lba, (p_partkey * 2048 + p_size)::DECIMAL(20, 0) AS last_lba, substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) || '-' || substr(h, 11, 2) || substr(h, 9, 2) || '-' || substr(h, 15, 2) || substr(h, 13, 2) || '-' || substr(h, 17, 4) || '-' || substr(h, 21) AS type FROM (SELECT *, md5(p_name) AS h FROM part) WHERE length(p_name) <= 36")
+@query("SELECT p_partkey, substr(p_name, 1, 36) AS name, (p_partkey * 2048)::DECIMAL(20, 0) AS first_lba, (p_partkey * 2048 + p_size)::DECIMAL(20, 0) AS last_lba, substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) || '-' || substr(h, 11, 2) || substr(h, 9, 2) || '-' || substr(h, 15, 2) || substr(h, 13, 2) || '-' || substr(h, 17, 4) || '-' || substr(h, 21) AS type FROM (SELECT *, md5(p_name) AS h FROM part)")
 def layout_gpt_entry(spark, d):
     from sedira.functions import formats
 
     uid = F.unhex(F.md5("p_name"))
-    name = F.unhex(F.rpad(F.hex(F.encode("p_name", "UTF-16LE")), 144, "0"))
+    name = F.unhex(F.rpad(F.hex(F.encode(F.substring("p_name", 1, 36), "UTF-16LE")), 144, "0"))
     raw = F.concat(uid, uid, _le(F.col("p_partkey") * 2048, 8), _le(F.col("p_partkey") * 2048 + F.col("p_size"), 8), _le(F.lit(0).cast("long"), 8), name)
-    return _t(spark, d, "part").where("length(p_name) <= 36").select("p_partkey", binary.parse(raw, formats.GPT_ENTRY).alias("e")).select("p_partkey", "e.name", "e.first_lba", "e.last_lba", "e.type")
+    return _t(spark, d, "part").select("p_partkey", binary.parse(raw, formats.GPT_ENTRY).alias("e")).select("p_partkey", "e.name", "e.first_lba", "e.last_lba", "e.type")
 
 
 @query("SELECT o_orderkey, CASE WHEN c & 512 <> 0 OR i & 128960 <> 0 OR r & 888 <> 0 THEN 4 WHEN c & 4 <> 0 OR i & 12 <> 0 THEN 3 ELSE 2 END AS version FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 512 ELSE 56 END AS c, o_orderkey % 5 * 2 AS i, o_orderkey % 7 % 3 AS r FROM orders)")
@@ -708,13 +706,12 @@ def ntfs_reference(spark, d):
     return _t(spark, d, "events").select("event_id", formats.ntfs_reference(F.shiftleft(F.col("user_id") % 65536, 48).bitwiseOR(F.col("event_id"))).alias("reference"))
 
 
-@query("SELECT o_orderkey, o_orderkey % 8 AS state, o_orderkey * 1048576 AS \"offset\", CASE WHEN o_orderkey % 8 = 6 THEN 'in_file' WHEN o_orderkey % 2 = 1 AND o_orderkey % 8 = 7 THEN 'by_bitmap' WHEN o_custkey % 2 = 1 AND o_orderkey % 8 = 0 THEN 'in_parent' ELSE 'sparse' END AS kind FROM orders WHERE NOT (o_orderkey % 8 = 7 AND o_custkey % 2 = 0)")
+@query("SELECT o_orderkey, o_orderkey % 8 AS state, o_orderkey * 1048576 AS \"offset\", CASE WHEN o_orderkey % 8 = 6 THEN 'in_file' WHEN o_custkey % 2 = 1 AND o_orderkey % 8 = 7 THEN 'by_bitmap' WHEN o_custkey % 2 = 1 AND o_orderkey % 8 = 0 THEN 'in_parent' ELSE 'sparse' END AS kind FROM orders")
 def vhdx_block(spark, d):
     from sedira.functions import formats
 
     e = F.shiftleft(F.col("o_orderkey"), 20).bitwiseOR(F.col("o_orderkey") % 8)
-    rows = _t(spark, d, "orders").where("not (o_orderkey % 8 = 7 and o_custkey % 2 = 0)")
-    return rows.select("o_orderkey", formats.vhdx_block(e, F.col("o_custkey") % 2 == 1).alias("b")).select("o_orderkey", "b.state", "b.offset", "b.kind")
+    return _t(spark, d, "orders").select("o_orderkey", formats.vhdx_block(e, F.col("o_custkey") % 2 == 1).alias("b")).select("o_orderkey", "b.state", "b.offset", "b.kind")
 
 
 @query("SELECT p_partkey, CASE WHEN n < 100 THEN 'E' || lpad(n::VARCHAR, 2, '0') ELSE chr((69 + (n - 100) // 676)::INT) || chr((65 + (n - 100) % 676 // 26)::INT) || chr((65 + (n - 100) % 26)::INT) END AS segment FROM (SELECT p_partkey, p_partkey % 14000 + 1 AS n FROM part)")
@@ -741,42 +738,45 @@ def flag_names(spark, d):
     return _t(spark, d, "events").select("event_id", reports.flag_names(F.col("event_id") % 64, APM_FLAGS).alias("flags"))
 
 
-def _literal_codec(name: str, pack: Callable[[bytes], bytes]):
-    """A codec over streams of literal runs: what is packed comes out again."""
+def _codec(name: str):
+    """Whole texts, packed with matches by functions.packers, come out again."""
 
     def run(spark, d):
-        from sedira.functions import compression
+        from sedira.functions import compression, packers
 
-        size = F.octet_length("text").cast("long")
-        packer = _packer(pack)
-        return _t(spark, d, "documents").where("length(text) > 0").select("doc_id", compression.decompress(packer("text"), name, size).cast("string").alias("text"))
+        pack = getattr(packers, name)
 
-    run.__name__ = f"{name}_decode"
-    query("SELECT doc_id, text FROM documents WHERE length(text) > 0")(run)
+        @F.pandas_udf("binary")
+        def packed(v: pd.Series) -> pd.Series:
+            return v.map(lambda x: None if x is None else pack(x.encode()))
 
+        size = F.octet_length("text").cast("long")
+        return _t(spark, d, "documents").select("doc_id", compression.decompress(packed("text"), name, size).cast("string").alias("text"))
 
-def _packer(pack):
-    def typed(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: None if x is None else pack(x.encode()))
+    run.__name__ = f"{name}_decode"
+    query("SELECT doc_id, text FROM documents")(run)
 
-    return F.pandas_udf(typed, "binary")
 
+for _name in ("adc", "lznt1", "lzvn", "lzfse", "lzxpress", "lzxpress_huffman"):
+    _codec(_name)
 
-def _runs(data: bytes, n: int) -> list[bytes]:
-    return [data[k : k + n] for k in range(0, len(data), n)]
 
+# ---- the catalog of signatures -----------------------------------------------------------------------------------------------
 
-def _lzvn_literals(data: bytes) -> bytes:
-    return b"".join((bytes([0xE0, len(p) - 16]) if len(p) > 15 else bytes([0xE0 | len(p)])) + p for p in _runs(data, 256)) + b"\x06" + bytes(7)
+_CATALOG = ", ".join(f"({k}, '{r[0]}', '{r[1]}', {r[3]}, {r[2] == 'end'})" for k, r in enumerate(signatures.CATALOG))
 
 
-def _lzfse_literals(data: bytes) -> bytes:
-    raw = _lzvn_literals(data)
-    return b"bvxn" + len(data).to_bytes(4, "little") + len(raw).to_bytes(4, "little") + raw + b"bvx$"
+@query(f"SELECT doc_id, identifier, format, CASE WHEN at_end THEN 8192 + octet_length(encode(text)) - pos ELSE pos END::BIGINT AS position FROM documents JOIN (VALUES {_CATALOG}) t(k, identifier, format, pos, at_end) ON k = doc_id % {len(signatures.CATALOG)}")
+def signature_catalog(spark, d):
+    """Blobs of zeros around each text, with one signature of the catalog in its place."""
+    known = spark.createDataFrame([(k, r[2] == "end", r[3], bytes.fromhex(r[4])) for k, r in enumerate(signatures.CATALOG)], "k long, at_end boolean, at int, pattern binary")
+    zeros = lambda n: F.unhex(F.repeat(F.lit("00"), n))
+    docs = _t(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("body"), (F.col("doc_id") % len(signatures.CATALOG)).alias("k")).join(F.broadcast(known), "k")
+    n = F.octet_length("pattern")
+    front = F.concat(zeros(F.col("at")), F.col("pattern"), zeros(F.lit(6000) - F.col("at") - n), F.col("body"), zeros(F.lit(2192)))
+    back = F.concat(zeros(F.lit(6000)), F.col("body"), zeros(F.lit(2192) - F.col("at")), F.col("pattern"), zeros(F.col("at") - n))
+    blobs = docs.select("doc_id", F.when(F.col("at_end"), back).otherwise(front).alias("content"))
+    return signatures.scan(blobs, signatures.catalog(spark)).select("doc_id", "identifier", "format", "position")
 
 
-_literal_codec("adc", lambda x: b"".join(bytes([0x7F + len(p)]) + p for p in _runs(x, 128)))
-_literal_codec("lznt1", lambda x: b"".join((len(p) - 1 | 0x3000).to_bytes(2, "little") + p for p in _runs(x, 4096)))
-_literal_codec("lzvn", _lzvn_literals)
-_literal_codec("lzfse", _lzfse_literals)
-_literal_codec("lzxpress", lambda x: b"".join(bytes(4) + p for p in _runs(x, 32)))
+from sedira.plans import media  # noqa: E402, F401  it registers its queries here

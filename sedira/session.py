@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: What results depend on (the time zone, the JDK's code pages), and what lets filters reach our data sources.
 SETTINGS = {
@@ -24,3 +29,29 @@ def build(master: str | None = None, conf: dict[str, str] | None = None, name: s
     for k, v in (SETTINGS | (conf or {})).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, as Spark names it; without one, a folder of this machine if everything runs on it."""
+    if where := spark.conf.get("spark.checkpoint.dir", None):
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    where = tempfile.mkdtemp(prefix="sedira-")
+    atexit.register(shutil.rmtree, where, True)
+    return where
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The same as a mounted folder, for files that readers of images open."""
+    where = scratch_folder(spark)
+    if "://" in where and not where.startswith("file:///"):
+        raise RuntimeError(f"{where} is not a mounted folder, which readers of images need")
+    return where.removeprefix("file://").removeprefix("file:")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written once: what is computed over and over from then on starts from files."""
+    path = f"{scratch_folder(df.sparkSession)}/sedira-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

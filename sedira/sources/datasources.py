@@ -1,13 +1,14 @@
 """Python data sources over images, volumes and file systems.
 
 `register(spark)` makes the formats known: blob_chunks, head_tail, os_entries, image_info, image_chunks, block_map, volumes,
-file_systems, file_entries, data_forks, scan_nodes. Planning opens headers only; each partition opens its own files, so a
+file_systems, file_entries, file_names, data_forks, scan_nodes. Planning opens headers only; each partition opens its own files, so a
 lost task is read again from the image. Equality filters on identifier and display_path become lookups when
 spark.sql.python.filterPushdown.enabled is set. An object that cannot be read gives a row with `_error` (mode PERMISSIVE,
 the default) or ends the query (FAILFAST).
 
 Paths are a file, a folder (all files in it, a sparse bundle counting as one), or a glob, on a file system that every
-executor mounts.
+executor mounts. `identifier` as an option of file_entries and data_forks reads that one object by its number, without a walk:
+it has a name or path only where its format keeps them with the object. A filter on identifier gives both, by a walk.
 """
 
 from __future__ import annotations
@@ -279,7 +280,11 @@ class _InVolumes(_Reader):
             yield f  # Spark filters again: a lookup may give a row too many
 
     def found(self, fs: FileSystem) -> Iterator[Entry]:
-        if "identifier" in self.lookup and "display_path" not in self.lookup:
+        if "identifier" in self.o:
+            if (e := fs.by_identifier(self.o["identifier"])) is not None:
+                e.path = e.path or ["", e.name]
+                yield e
+        elif "identifier" in self.lookup and "display_path" not in self.lookup:
             # names and paths of an entry come from its folder; a lookup by number gives them where the format allows it
             yield from (e for e in fs.walk() if e.identifier == self.lookup["identifier"])
         elif "display_path" in self.lookup and "\\" not in self.lookup["display_path"]:
@@ -352,6 +357,26 @@ class FileEntries(_InVolumes):
             yield (part.path, None, k, *[None] * 23, self.failed(x))
 
 
+class FileNames(_InVolumes):
+    """Every name that a record of an NTFS volume holds (hard links and DOS names are names of their own), and its parent."""
+
+    def read(self, part):
+        k = part.more["volume"]
+        try:
+            fs, _ = self.open(part)
+            if not isinstance(fs, Ntfs):
+                return
+            for n in range(fs.mft.size // fs.record):
+                try:
+                    names = fs.names(n)
+                except _DAMAGED:  # a record that is not in use
+                    continue
+                for parent, name, space, times in names:
+                    yield part.path, k, str(n), str(parent), name.encode("utf-16", "surrogatepass").decode("utf-16", "replace"), space, *(_row_time(t) for t in times), None
+        except _DAMAGED as x:
+            yield (part.path, k, *[None] * 8, self.failed(x))
+
+
 class DataForks(_InVolumes):
     """digest=<kind> adds the digest, with_content=true the bytes. The bad clusters' stream of NTFS is not read."""
 
@@ -416,6 +441,7 @@ SOURCES = [
     _source("file_systems", schema.FILE_SYSTEM, FileSystems),
     _source("file_entries", schema.FILE_ENTRY, FileEntries),
     _source("data_forks", schema.DATA_FORK, DataForks),
+    _source("file_names", schema.FILE_NAME, FileNames),
     _source("scan_nodes", schema.SCAN_NODE, ScanNodes),
 ]
 

@@ -1,4 +1,8 @@
-"""Writes small images for tests, after the public descriptions of the formats."""
+"""Writes small images after the public descriptions of the formats: what the readers are checked with.
+
+A file system, volume system or container is made of bytes in memory, as large as what it holds needs, so these are for
+images of some megabytes. Compressed forms come from functions.packers or the standard library.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +13,12 @@ import zlib
 
 
 def fat12(files: dict[str, bytes], label: str = "TESTFAT") -> bytes:
-    """A FAT-12 volume of 512-byte clusters; names over 8.3 get long entries; one folder deep (a/b)."""
-    clusters, fat_n, root_n = 2000, 6, 64
+    """A FAT-12 volume of 512-byte clusters; names over 8.3 get long entries; one folder deep (a/b). Up to 4084 clusters."""
+    need = [2 + -(-len(n.rpartition("/")[2]) // 13) for n in files]
+    clusters = max(16, sum(-(-len(c) // 512) for c in files.values()) + sum(k // 16 + 3 for k in need))
+    if clusters > 4084:
+        raise ValueError("too much for FAT-12")
+    fat_n, root_n = -(-(clusters + 2) * 3 // 1024), -(-(sum(need) + 2) // 16) * 16
     fat = [0xFF8, 0xFFF] + [0] * clusters
     data = bytearray(clusters * 512)
     next_ = 2
@@ -71,10 +79,14 @@ def fat12(files: dict[str, bytes], label: str = "TESTFAT") -> bytes:
 
 
 def ext2(files: dict[str, bytes], links: dict[str, str]) -> bytes:
-    """An ext2 volume of 1024-byte blocks with the files in its root."""
-    blocks, inodes = 512, 32
-    out = bytearray(blocks * 1024)
+    """An ext2 volume of 1024-byte blocks with the files in its root; one group of up to 8192 blocks, files of up to 268 KiB."""
+    inodes = -(-(11 + len(files) + len(links)) // 8) * 8
     table = 5
+    names = sum(12 + len(n.encode()) for n in [*files, *links])
+    blocks = table + inodes * 128 // 1024 + sum(-(-len(c) // 1024) + 1 for c in files.values()) + 2 * (names // 900) + 4
+    if blocks > 8192 or any(len(c) > 268 << 10 for c in files.values()):
+        raise ValueError("too much for one group")
+    out = bytearray(blocks * 1024)
     next_block = table + inodes * 128 // 1024
     next_inode = 11
 
@@ -110,13 +122,16 @@ def ext2(files: dict[str, bytes], links: dict[str, str]) -> bytes:
         inode(next_inode, 0o120777, len(target), [], target.encode())
         rows.append((next_inode, name.encode(), 7))
         next_inode += 1
-    listing = b""
+    listing, part = b"", b""
     for k, (n, name, kind) in enumerate(rows):
         width = 8 + (len(name) + 3 & ~3)
-        if k == len(rows) - 1:
-            width = 1024 - len(listing)
-        listing += (struct.pack("<IHBB", n, width, len(name), kind) + name).ljust(width, b"\0")
-    inode(2, 0o040755, 1024, store(listing))
+        more = 8 + (len(rows[k + 1][1]) + 3 & ~3) if k < len(rows) - 1 else 1024
+        if len(part) + width + more > 1024:
+            width = 1024 - len(part)
+        part += (struct.pack("<IHBB", n, width, len(name), kind) + name).ljust(width, b"\0")
+        if len(part) == 1024:
+            listing, part = listing + part, b""
+    inode(2, 0o040755, len(listing), store(listing))
     s = bytearray(1024)
     struct.pack_into("<IIIIIIIIIII", s, 0, inodes, blocks, 0, 0, 0, 1, 0, 0, 8192, 8192, inodes)
     s[56:58] = b"\x53\xef"
@@ -148,9 +163,12 @@ def _far(kind: int, runs: bytes, clusters: int, size: int, flags: int = 0, unit:
 
 def ntfs(files: dict[str, bytes], forks: dict[str, dict[str, bytes]], packed: dict[str, tuple[bytes, bytes]]) -> bytes:
     """An NTFS volume of 1024-byte clusters and records: resident files, far ones, named streams; `packed` has content and its LZNT1 form in units of 16 clusters."""
-    total, mft = 2048, 16
-    out = bytearray(total * 1024)
+    mft = 16
     n = 11 + len(files) + len(packed)
+    total = mft + n + 2 + sum(-(-len(c) // 1024) for c in files.values()) + 16 * len(packed) + 8
+    if total > 32767:
+        raise ValueError("too much for runs of 16 bits")
+    out = bytearray(total * 1024)
     free = mft + n + 2
     stamp = 0x01CB3A623D0A17CE
 

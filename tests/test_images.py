@@ -1,4 +1,4 @@
-"""Images, volumes and file systems written by tests.imagery, read by the data sources and by the readers."""
+"""Images, volumes and file systems written by sources.writers, read by the data sources and by the readers."""
 
 import hashlib
 import os
@@ -13,7 +13,7 @@ from sedira.sources.fat import Fat
 from sedira.sources.ntfs import Ntfs, open_file_system
 from sedira.sources.streams import Block, BlockStream, BytesStream, RangeStream
 from sedira.sources.volumes import read_apm, read_gpt, read_mbr, read_volumes
-from tests import imagery
+from sedira.sources import writers as imagery
 
 RNG = random.Random(4)
 LICENSE = b"".join(b"line %d of a text that repeats itself, line %d\n" % (k, k) for k in range(300))
@@ -22,7 +22,7 @@ FILES = {"emptyfile": b"", "testfile1": b"ceramics\n", "TestFile2": LICENSE, "a
 
 @pytest.fixture(scope="module")
 def media():
-    return imagery.fat12(FILES | {"testdir1/nested.txt": b"nested content"})
+    return imagery.fat12(FILES | {"testdir1/nested.txt": b"nested content", "big": RNG.randbytes(900_000)})
 
 
 def md5(data):

@@ -1,7 +1,7 @@
 import pytest
 
 from sedira.vfs import Location, Resolver
-from tests import imagery
+from sedira.sources import writers as imagery
 
 
 def test_resolver(spark, tmp_path):
