@@ -50,6 +50,8 @@ UNPRINTABLE = [
 
 
 _RARE = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f" + "".join(f"\\x{{{c:x}}}" for c in UNPRINTABLE) + "]"
+#: What most texts are made of; only one that holds something else is looked at more closely.
+_UNUSUAL = "[^\\x20-\\x7e\\t\\n\\r\\x{a0}-\\x{1fff}\\x{2030}-\\x{d7ff}]"
 #: What is escaped in nearly every text, and how.
 _COMMON = [("\\", "\\\\"), ("/", "\\/"), (":", "\\:"), ("\n", "\\x0a"), ("\r", "\\x0d"), ("\t", "\\x09")]
 
@@ -63,7 +65,7 @@ def display_escape(text: Column) -> Column:
         return F.concat(F.when(n < 0xA0, F.lit("\\x")).otherwise(F.lit("\\U")), F.lpad(F.lower(F.hex(n)), F.when(n < 0xA0, 2).otherwise(8), F.lit("0")))
 
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({_RARE})")))
-    return F.when(text.rlike(_RARE), F.aggregate(found, plain, lambda t, c: F.replace(t, c, code(c)))).otherwise(plain)
+    return F.when(text.rlike(_UNUSUAL), F.aggregate(found, plain, lambda t, c: F.replace(t, c, code(c)))).otherwise(plain)
 
 
 def display_path(components: Column) -> Column:

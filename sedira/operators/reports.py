@@ -45,15 +45,19 @@ def file_system_report(spark: SparkSession, path: str) -> DataFrame:
 
 
 def entry_report(spark: SparkSession, path: str, identifier: str | None = None, display_path: str | None = None, **o: str) -> DataFrame:
-    """One entry, by identifier or path; the filter becomes a lookup in the reader."""
-    e = _read(spark, "file_entries", path, **o)
-    if identifier is not None:
-        e = e.where(F.col("identifier") == identifier)
+    """One entry, by identifier (of which the reader makes no walk, so that there is no path) or path; the filter becomes a lookup in the reader."""
+    e = _read(spark, "file_entries", path, **(o if identifier is None else o | {"identifier": identifier}))
     if display_path is not None:
         e = e.where(F.col("display_path") == display_path)
     return e.withColumn("attribute_names", flag_names(F.col("attributes"), FILE_ATTRIBUTES))
 
 
+def attribute_report(spark: SparkSession, path: str, identifier: str | None = None, **o: str) -> DataFrame:
+    """NTFS and ext: a row an attribute of an entry (or of all), with its value or where it lies; ext: a row for the blocks as well."""
+    a = _read(spark, "attributes", path, **o)
+    return a if identifier is None else a.where(F.col("identifier") == F.regexp_extract(F.lit(identifier), "^[0-9]+", 0))
+
+
 def hierarchy_report(spark: SparkSession, path: str, **o: str) -> DataFrame:
     """path, volume and display_path of all entries, in the order of a walk by (volume, postorder)."""
     return _read(spark, "file_entries", path, **o).select("path", "volume", "display_path", "file_type", "postorder")

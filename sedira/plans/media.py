@@ -161,6 +161,22 @@ def file_names(spark, d):
     return _load(spark, "file_names", _ntfs(spark, d)).select(_image(), "name", F.regexp_extract("parent", "^[0-9]+", 0).alias("parent"), "name_space")
 
 
+@query(f"""SELECT {_OF}, kind, name, count(*) AS n, sum(CASE kind WHEN '0x10' THEN 48 WHEN '0x30' THEN 66 + 2 * length('doc' || doc_id || '.txt') WHEN '0x80' THEN CASE WHEN name IS NULL THEN {_BYTES} ELSE octet_length(encode(source)) END END)::BIGINT AS bytes
+FROM documents, (VALUES ('0x10', NULL), ('0x30', NULL), ('0x80', NULL), ('0x80', 'source')) t(kind, name) GROUP BY ALL""")
+def ntfs_attributes(spark, d):
+    """Attributes of the records of files, by ranges of records."""
+    a = reports.attribute_report(spark, _ntfs(spark, d), per_partition="10").where(F.col("identifier").cast("int") >= 11)
+    return a.groupBy(_image(), "kind", "name").agg(F.count(F.lit(1)).alias("n"), F.sum("size").cast("long").alias("bytes"))
+
+
+@query(f"SELECT {_OF}, count(*) AS files, sum({_BYTES})::BIGINT AS bytes, sum(({_BYTES} + 1023) // 1024 * 1024)::BIGINT AS in_blocks FROM documents GROUP BY 1")
+def ext_blocks(spark, d):
+    """The blocks of the inodes of files, by ranges of inodes."""
+    a = reports.attribute_report(spark, _ext(spark, d), per_partition="7").where("kind = 'data' and identifier >= 11")
+    held = F.aggregate("runs", F.lit(0).cast("decimal(20,0)"), lambda x, r: (x + r["size"]).cast("decimal(20,0)"))
+    return a.groupBy(_image()).agg(F.count(F.lit(1)).alias("files"), F.sum("size").cast("long").alias("bytes"), F.sum(held).cast("long").alias("in_blocks"))
+
+
 @query(f"SELECT {_OF}, '/doc' || doc_id || '.txt' AS display_path, {_BYTES} AS size FROM documents WHERE doc_id % {GROUP} = 7")
 def entries_by_path(spark, d):
     """A lookup of one path in each image, in the reader."""

@@ -14,5 +14,6 @@ VOLUME = "path string, scheme string, idx int, type_id string, uuid string, name
 FILE_SYSTEM = "path string, volume int, format string, info map<string,string>, _error array<string>"
 FILE_ENTRY = f"path string, layers {LAYERS}, volume int, display_path string, path_components array<string>, raw_name binary, name string, identifier string, file_type string, mode_string string, mode int, attributes bigint, owner_id bigint, group_id bigint, size decimal(20,0), atime {TIME}, mtime {TIME}, ctime {TIME}, btime {TIME}, link_target string, device struct<major:int,minor:int>, n_attributes int, n_forks int, is_root boolean, postorder bigint, md5 string, _error array<string>"
 FILE_NAME = f"path string, volume int, identifier string, parent string, name string, name_space int, btime {TIME}, mtime {TIME}, ctime {TIME}, atime {TIME}, _error array<string>"
+ATTRIBUTE = "path string, volume int, identifier string, idx int, kind string, name string, resident boolean, size decimal(20,0), value binary, runs array<struct<media_offset:decimal(20,0),size:decimal(20,0),data_offset:decimal(20,0)>>, _error array<string>"
 DATA_FORK = "path string, volume int, display_path string, identifier string, fork_index int, fork_name string, size decimal(20,0), digest string, content binary, _error array<string>"
 SCAN_NODE = "path string, node_id string, parent_id string, ordinal int, vfs_type string, location string, _error array<string>"

@@ -1,7 +1,7 @@
 """Python data sources over images, volumes and file systems.
 
 `register(spark)` makes the formats known: blob_chunks, head_tail, os_entries, image_info, image_chunks, block_map, volumes,
-file_systems, file_entries, file_names, data_forks, scan_nodes. Planning opens headers only; each partition opens its own files, so a
+file_systems, file_entries, file_names, attributes, data_forks, scan_nodes. Planning opens headers only; each partition opens its own files, so a
 lost task is read again from the image. Equality filters on identifier and display_path become lookups when
 spark.sql.python.filterPushdown.enabled is set. An object that cannot be read gives a row with `_error` (mode PERMISSIVE,
 the default) or ends the query (FAILFAST).
@@ -26,6 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 from sedira import schema
 from sedira.sources.entries import Entry, FileSystem, Time
+from sedira.sources.ext import Ext
 from sedira.sources.images import detect, open_any
 from sedira.sources.ntfs import Ntfs, open_file_system
 from sedira.sources.streams import BlockStream, FileStream, RangeStream, Stream
@@ -357,24 +358,68 @@ class FileEntries(_InVolumes):
             yield (part.path, None, k, *[None] * 23, self.failed(x))
 
 
-class FileNames(_InVolumes):
-    """Every name that a record of an NTFS volume holds (hard links and DOS names are names of their own), and its parent."""
+class _InRecords(_InVolumes):
+    """A partition some records (65536 by default, option per_partition) of the table of a volume: its MFT, or its inodes. Records say all of themselves, so a large volume is read by many tasks."""
+
+    def partitions(self):
+        per, out = int(self.o.get("per_partition", "65536")), []
+        for part in super().partitions():
+            try:
+                fs, _ = self.open(part)
+                n = fs.records if isinstance(fs, (Ntfs, Ext)) else 0
+            except _DAMAGED:
+                n = 1  # the task that reads it says what is wrong
+            out += [Part(part.path, volume=part.more["volume"], first=k, last=min(k + per, n)) for k in range(0, n, per)]
+        return out
+
+    def columns(self, fs: FileSystem, n: int) -> Iterator[tuple]:
+        raise NotImplementedError
 
     def read(self, part):
         k = part.more["volume"]
         try:
             fs, _ = self.open(part)
-            if not isinstance(fs, Ntfs):
-                return
-            for n in range(fs.mft.size // fs.record):
+            for n in range(part.more["first"], part.more["last"]):
                 try:
-                    names = fs.names(n)
+                    found = list(self.columns(fs, n))
                 except _DAMAGED:  # a record that is not in use
                     continue
-                for parent, name, space, times in names:
-                    yield part.path, k, str(n), str(parent), name.encode("utf-16", "surrogatepass").decode("utf-16", "replace"), space, *(_row_time(t) for t in times), None
+                for row in found:
+                    yield (part.path, k, *row, None)
         except _DAMAGED as x:
-            yield (part.path, k, *[None] * 8, self.failed(x))
+            yield (part.path, k, *[None] * self.width, self.failed(x))
+
+
+class FileNames(_InRecords):
+    """Every name that a record of an NTFS volume holds (hard links and DOS names are names of their own), and its parent."""
+
+    width = 8
+
+    def columns(self, fs, n):
+        for parent, name, space, times in fs.names(n) if isinstance(fs, Ntfs) else ():
+            yield str(n), str(parent), name.encode("utf-16", "surrogatepass").decode("utf-16", "replace"), space, *(_row_time(t) for t in times)
+
+
+class Attributes(_InRecords):
+    """The attributes of every NTFS record, and the extended attributes and blocks of every ext inode, one by one."""
+
+    width = 8
+
+    def columns(self, fs, n):
+        if isinstance(fs, Ntfs):
+            for k, a in enumerate(fs.attributes(n)):
+                runs = [(v * fs.cluster, m * fs.cluster, None if lcn is None else lcn * fs.cluster) for v, m, lcn in a.runs]
+                yield str(n), k, f"0x{a.kind:02x}", a.name or None, a.resident is not None, Decimal(a.size), a.resident, [(Decimal(x), Decimal(y), None if z is None else Decimal(z)) for x, y, z in runs]
+        else:
+            raw = fs.inode(n + 1)
+            for k, (name, value) in enumerate(fs.attributes(raw)):
+                yield str(n + 1), k, "extended", name, True, Decimal(len(value)), value, []
+            e = fs.entry(n + 1)
+            if e.file_type == "directory" or e.data is not None:
+                size = e.data.size if e.data is not None else int.from_bytes(raw[4:8], "little")
+                data = fs.data_of(raw, size)
+                blocks = data.blocks if isinstance(data, BlockStream) else []
+                yield str(n + 1), None, "data", None, not isinstance(data, BlockStream), Decimal(size), None, [(Decimal(b.media_offset), Decimal(b.size), Decimal(b.data_offset)) for b in blocks]
 
 
 class DataForks(_InVolumes):
@@ -442,6 +487,7 @@ SOURCES = [
     _source("file_entries", schema.FILE_ENTRY, FileEntries),
     _source("data_forks", schema.DATA_FORK, DataForks),
     _source("file_names", schema.FILE_NAME, FileNames),
+    _source("attributes", schema.ATTRIBUTE, Attributes),
     _source("scan_nodes", schema.SCAN_NODE, ScanNodes),
 ]
 

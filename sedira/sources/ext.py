@@ -35,6 +35,7 @@ class Ext(FileSystem):
         u32 = lambda at: struct.unpack_from("<I", s, at)[0]
         self.block = 1024 << u32(24)
         self.inodes, self.per_group = u32(0), u32(40)
+        self.records = self.inodes
         compatible, incompatible, read_only = u32(92), u32(96), u32(100)
         self.version = version_of(compatible, incompatible, read_only)
         self.inode_size = struct.unpack_from("<H", s, 88)[0] if u32(76) else 128

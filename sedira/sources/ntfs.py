@@ -137,7 +137,7 @@ class Ntfs(FileSystem):
         self.mft = self._stream(next(a for a in first if a.kind == DATA and not a.name))
         every = self.attributes(0)
         self.mft = self._stream(self._joined([a for a in every if a.kind == DATA and not a.name]))
-        self.entries = self.mft.size // self.record
+        self.records = self.mft.size // self.record
         self.upcase: list[int] | None = None
         self.info = {"bytes_per_sector": str(sector), "cluster_size": str(self.cluster), "mft_entry_size": str(self.record), "serial_number": f"0x{struct.unpack_from('<Q', b, 72)[0]:016x}"}
         try:

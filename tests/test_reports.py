@@ -6,7 +6,7 @@ from sedira import cli
 from sedira.operators import reports
 from sedira.sources import datasources
 from sedira.streaming import folders
-from tests import imagery
+from sedira.sources import writers as imagery
 
 FILES = {"testfile1": b"ceramics\n", "other": b"x" * 5000}
 
@@ -23,13 +23,15 @@ def disk(spark, tmp_path_factory):
 
 def test_reports(spark, disk):
     v = reports.volume_report(spark, disk).orderBy("idx").collect()
-    assert [(r["type_id"], r["name"], r["size_text"], r["flags"]) for r in v] == [("0x07", "HPFS/NTFS", "2.0 MiB", ["is active"]), ("0x83", "Linux", "512.0 KiB", [])]
+    assert [(r["type_id"], r["name"], r["size_text"], r["flags"]) for r in v] == [("0x07", "HPFS/NTFS", "45.0 KiB", ["is active"]), ("0x83", "Linux", "19.0 KiB", [])]
     i = {r["key"]: r["value"] for r in reports.image_report(spark, disk).collect()}
     assert i["format"] == "ewf" and i["description"] == "an image" and "stored_md5" in i
     f = {(r["volume"], r["key"]): r["value"] for r in reports.file_system_report(spark, disk).collect()}
     assert f[1, "label"] == "ntfs_test" and f[2, "version"] == "ext2"
     e = reports.entry_report(spark, disk, identifier="11-11").collect()
     assert [(r["name"], r["attribute_names"]) for r in e] == [("testfile1", ["archive"])]
+    a = [(r["volume"], r["kind"], r["name"], r["resident"], int(r["size"])) for r in reports.attribute_report(spark, disk, "11-11").collect()]
+    assert a == [(1, "0x10", None, True, 48), (1, "0x30", None, True, 84), (1, "0x80", None, True, 9), (1, "0x80", "ads", True, 3), (2, "data", None, False, 9)]
     assert {r["volume"] for r in reports.entry_report(spark, disk, display_path="/other").collect()} == {1, 2}
     assert [r["verified"] for r in reports.verify_report(spark, disk).collect()] == [True]
 
@@ -47,6 +49,8 @@ def test_command_line(spark, disk, tmp_path):
     assert cli.run(spark, ["hash", str(tmp_path / "plain.txt"), "--digest", "sha1"]).collect()[0][0] == hashlib.sha1(b"plain text").hexdigest()
     assert cli.run(spark, ["export", disk, "/testfile1", str(tmp_path / "out")]) == 3
     assert (tmp_path / "out" / "1_testfile1_ads").read_bytes() == b"abc"
+    cli.run(spark, ["hash", disk, "--output", str(tmp_path / "list")])
+    assert f"{m}  /p1/testfile1" in spark.read.text(str(tmp_path / "list")).toPandas()["value"].tolist()
     assert cli.run(spark, ["info", disk, "hierarchy"]).count() == 3 + 4
     assert cli.run(spark, ["info", disk, "path", "/link"]).collect()[0]["link_target"] == "testfile1"
 
