@@ -200,6 +200,18 @@ def directory_children(spark, d):
     return e.groupBy(_image(), F.col("path_components")[1].alias("lang")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").cast("long").alias("bytes"))
 
 
+@query(f"SELECT {_OF}, 'doc' || doc_id || '.txt' AS name, {_BYTES} AS size FROM documents WHERE lang = 'en'")
+def one_directory(spark, d):
+    """What one directory of each image holds; nothing else is read."""
+    return _load(spark, "file_entries", _fat(spark, d), children_of="/en").select(_image(), "name", F.col("size").cast("long").alias("size"))
+
+
+@query(f"SELECT {_OF}, '/doc' || doc_id || '.txt' AS display_path, source AS content FROM documents")
+def one_fork(spark, d):
+    """One named stream of every file."""
+    return _load(spark, "data_forks", _ntfs(spark, d), with_content="true", fork="source").select(_image(), "display_path", F.col("content").cast("string").alias("content"))
+
+
 @query(f"SELECT image, format, label FROM ({_ROOTS}), (VALUES ('ext', 'ext2_test'), ('fat', 'TESTFAT'), ('ntfs', 'ntfs_test')) t(format, label)")
 def file_system_labels(spark, d):
     rows = [reports.file_system_report(spark, f(spark, d)) for f in (_fat, _ext, _ntfs)]

@@ -8,7 +8,8 @@ the default) or ends the query (FAILFAST).
 
 Paths are a file, a folder (all files in it, a sparse bundle counting as one), or a glob, on a file system that every
 executor mounts. `identifier` as an option of file_entries and data_forks reads that one object by its number, without a walk:
-it has a name or path only where its format keeps them with the object. A filter on identifier gives both, by a walk.
+it has a name or path only where its format keeps them with the object. A filter on identifier gives both, by a walk. The
+option `children_of` (a path) lists one directory only, and `fork` of data_forks (a name; empty: the unnamed one) reads one stream.
 """
 
 from __future__ import annotations
@@ -281,7 +282,12 @@ class _InVolumes(_Reader):
             yield f  # Spark filters again: a lookup may give a row too many
 
     def found(self, fs: FileSystem) -> Iterator[Entry]:
-        if "identifier" in self.o:
+        if "children_of" in self.o:
+            parent = fs.by_path(self.o["children_of"])
+            for e in fs.children(parent) if parent is not None and parent.file_type == "directory" else ():
+                e.path = [*parent.path, e.name]
+                yield e
+        elif "identifier" in self.o:
             if (e := fs.by_identifier(self.o["identifier"])) is not None:
                 e.path = e.path or ["", e.name]
                 yield e
@@ -432,6 +438,8 @@ class DataForks(_InVolumes):
             for e in self.found(fs) if fs else ():
                 path = shown(e.path)
                 for n, f in enumerate(e.forks):
+                    if "fork" in self.o and (f.name or "") != self.o["fork"]:
+                        continue
                     digest = data = error = None
                     if isinstance(fs, Ntfs) and e.path[-1] == "$BadClus" and f.name == "$Bad":
                         digest = "N/A (skipped)" if kind else None

@@ -76,13 +76,11 @@ class Resolver:
         return not self.entries(location).where("display_path is not null").isEmpty()
 
     def children(self, location: Location) -> DataFrame:
-        """Entries directly below a directory."""
-        e = self._load("file_entries", location.layers[0][1])
-        e = e if location.volume is None else e.where(F.col("volume") == location.volume)
-        parts = [""] + [p for p in location.path.split("/") if p]
-        return e.where((F.size("path_components") == len(parts) + 1) & (F.slice("path_components", 1, len(parts)) == F.array(*map(F.lit, parts))))
+        """Entries directly below a directory, which is all that is read."""
+        e = self._load("file_entries", location.layers[0][1], children_of=location.path)
+        return e if location.volume is None else e.where(F.col("volume") == location.volume)
 
     def data(self, location: Location, fork: str | None = None) -> DataFrame:
         """The bytes of a stream of an entry: the unnamed one, or the one of that name."""
-        d = self._at(self._load("data_forks", location.layers[0][1], with_content="true"), location)
-        return d.where(F.col("fork_name").eqNullSafe(F.lit(fork))).select("volume", "display_path", "fork_name", "size", "content")
+        d = self._at(self._load("data_forks", location.layers[0][1], with_content="true", fork=fork or ""), location)
+        return d.select("volume", "display_path", "fork_name", "size", "content")
