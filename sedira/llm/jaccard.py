@@ -8,13 +8,14 @@
    x and y with Jaccard similarity t share at least a - ceil(t n) + 1 of the first n - ceil(t n) + 1 shingles of each, with
    a the overlap they need and n the size of the one whose prefix ends first. So the number of shingles that two groups'
    unions share bounds what any of their members can have in common, and only pairs of groups that reach the bound
-   qualify. The order puts shingles that many documents hold last, so that a passage of many documents brings few
-   candidates. Any order is exact; which shingles count as frequent only says how many groups are opened.
+   qualify. The order puts shingles that many documents hold last, and of these the most frequent ones, so that a
+   passage of many documents brings few candidates. Any order is exact; what counts as frequent only says how many groups
+   are opened.
 4. Qualifying groups are opened: the members of the smaller one are held against all members of the other, exactly.
    Members are dealt out in blocks, so no group has to fit into one task, and no pairs within a group are listed.
 5. Links are contracted to connected components, distributed.
 
-Shingles are 64-bit hashes (63 bits used); classes are told apart by 64 bits over the whole set.
+Shingles are 64-bit hashes (63 bits used, 57 of frequent ones); classes are told apart by 64 bits over the whole set.
 
 Cases: null and empty texts, and texts of white space, have the empty set and link with nothing, not even each other; a
 text of fewer than k words is one shingle; repeated rows and copies are one class; a null doc_id counts as larger than
@@ -36,8 +37,8 @@ from sedira.llm.common import bounds, components, gathered, lean, mix, most_freq
 FREQUENT, FREQUENT_MOST = 12, 1 << 18
 #: Members of a group that one task opens at a time; shingles of them, as a mean, that it holds (8 bytes each); hits it counts at once.
 BLOCK, BLOCK_SHINGLES, HITS = 2048, 1 << 21, 1 << 20
-#: Groups of a shingle that one task pairs with each other.
-WIDE = 2048
+#: Groups of a shingle that one task pairs with each other; blocks of more groups at most (each group is repeated for every block).
+WIDE, BLOCKS = 2048, 16
 #: Rows (two numbers each) of a table that is broadcast at most; beyond it the optimizer chooses the join.
 BROADCAST = 1 << 20
 _HALF = np.uint64(1)
@@ -47,14 +48,14 @@ _SEEDS = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
 def _sets(batch: pa.RecordBatch, k: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingles (frequent ones last) of the documents of a batch, and where each document's start."""
+    """Sorted distinct shingles (frequent ones last, under other numbers: `frequent` has both) of the documents of a batch, and where each document's start."""
     data, offsets = text_buffers(batch.column("text"))
     starts, ends, at = spans(data, offsets)
     h, to = shingle_hashes(word_hashes(data, starts, ends), at, k)
     h >>= _HALF
-    if len(frequent):
-        i = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
-        h[frequent[i] == h] |= _LAST
+    if frequent.shape[1]:
+        i = np.minimum(np.searchsorted(frequent[0], h), frequent.shape[1] - 1)
+        h = np.where(frequent[0][i] == h, frequent[1][i], h)
     for d in range(len(to) - 1):
         h[to[d] : to[d + 1]].sort()
     new = np.ones(len(h), bool)
@@ -64,14 +65,19 @@ def _sets(batch: pa.RecordBatch, k: int, frequent: np.ndarray) -> tuple[np.ndarr
 
 
 def _frequent(docs: DataFrame, k: int, scratch: Scratch) -> np.ndarray:
+    """Hashes of frequent shingles, sorted, and under them the numbers that put them last, by half powers of two of their counts."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h in gathered(_sets(b, k, np.zeros(0, np.uint64))[0] for whole in batches for b in slices(whole)):
+        for h in gathered(_sets(b, k, np.zeros((2, 0), np.uint64))[0] for whole in batches for b in slices(whole)):
             h, n = np.unique(h, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["h", "n"])
 
     found = docs.select("text").mapInArrow(lean(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     top = most_frequent(scratch.keep(found, "frequent"), "n", FREQUENT_MOST)
-    return np.sort(top["h"].astype(np.int64).view(np.uint64))
+    h = top["h"].astype(np.int64).view(np.uint64)
+    many = np.minimum(2 * np.log2(np.maximum(top["n"].astype(float), 1.0)), 63).astype(np.uint64)
+    last = _LAST | many << np.uint64(57) | h & np.uint64((1 << 57) - 1)
+    return np.stack([h, last])[:, np.argsort(h)]
 
 
 def _needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -204,7 +210,7 @@ def candidates(rows: DataFrame, percent: int, partitions: int, scratch: Scratch)
             at = bounds(token)
             wide = np.flatnonzero(np.diff(at) > WIDE)
             for k in wide:
-                g, blocks = slice(at[k], at[k + 1]), -(-int(at[k + 1] - at[k]) // WIDE)
+                g, blocks = slice(at[k], at[k + 1]), min(BLOCKS, -(-int(at[k + 1] - at[k]) // WIDE))
                 own = (mix(gid[g].view(np.uint64) ^ np.uint64(token[at[k]] & (1 << 62) - 1)) % np.uint64(blocks)).astype(np.int64)
                 for other in range(blocks):
                     least, most = np.minimum(own, other), np.maximum(own, other)
