@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: What separates words everywhere in this subpackage (a fixed value): space and the control characters 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bytes of text that the vectorised functions take at a time, which bounds their temporary arrays to some 100 MB.
-SLICE_BYTES = 1 << 19
+#: Bytes of text that the vectorised functions take at a time, which bounds their temporary arrays to some 50 MB.
+SLICE_BYTES = 1 << 18
 
 
 #: Rows of an Arrow batch at most: texts can be long, and a batch is held by the JVM and by Python at once.

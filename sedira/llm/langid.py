@@ -30,12 +30,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sedira.llm.common import Scratch, doc_crc, lean, read, release
+from sedira.llm.common import Scratch, doc_crc, lean, read
 
 SAMPLE = 600
 #: Languages whose counts are broadcast at most.
@@ -278,8 +279,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc (struct of the input's columns), lang_pred, score, sure. The model (a few MB, bounded by the sample) is broadcast; there is no exchange."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def labelled(values: list[str | None], m: Model) -> pd.DataFrame:
-        out = [None] * len(values)
+    def labelled(values: list[str | None], m: Model) -> Iterator[tuple[list[int], tuple]]:
         order = sorted(range(len(values)), key=lambda k: -len(values[k] or ""))  # long ones together
         limit, at = max(1 << 16, 4 * NUMBERS // max(4, len(m.languages))), 0
         while at < len(order):
@@ -287,19 +287,26 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             while to < len(order) and (to == at or size < limit):
                 size += len(values[order[to]] or "")
                 to += 1
-            for k, row in zip(order[at:to], zip(*label(m, [values[k] for k in order[at:to]]))):
-                out[k] = row
+            yield order[at:to], label(m, [values[k] for k in order[at:to]])
             at = to
-        return pd.DataFrame(out, columns=["lang_pred", "score", "sure"])
 
-    @F.pandas_udf("lang_pred string, score double, sure double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield labelled(texts.tolist(), shared.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc = b.column("doc")
+            values = pc.struct_field(doc, text).to_pylist()
+            pred, score, sure = [UNKNOWN] * len(values), np.zeros(len(values)), np.zeros(len(values))
+            for rows, (p, s, u) in labelled(values, shared.value):
+                for k, x in zip(rows, p):
+                    pred[k] = x
+                score[rows], sure[rows] = s, u
+            yield pa.RecordBatch.from_arrays([doc, pa.array(pred), pa.array(score), pa.array(sure)], ["doc", "lang_pred", "score", "sure"])
         shared.value.forget()  # the worker lives on
-        release()
 
-    return docs.select(F.struct("*").alias("doc")).select("doc", run("doc.text").alias("found")).select("doc", "found.*")
+    docs = docs.select(F.struct("*").alias("doc"))
+    kind = docs.schema["doc"].dataType
+    text = next(k for k, f in enumerate(kind.fields) if f.name.lower() == "text")
+    out = T.StructType([T.StructField("doc", kind), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("sure", T.DoubleType())])
+    return docs.mapInArrow(lean(run), out)
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sedira.llm.common import gapless, read, release, Scratch
+from sedira.llm.common import gapless, lean, read, release, Scratch
 
 LENGTH = 2048
 END = 0
@@ -296,16 +297,18 @@ def pack(cut: DataFrame, scratch: Scratch, length: int = LENGTH, rows_per_task:
     table[:, 1:3] += table[:, :1] * base  # one sorted key: length, then number
     shared = spark.sparkContext.broadcast(table)
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(size, k):
-        import pandas as pd
+    names = [c for c in numbered.columns if c != "_k"]
 
-        t, s, k = shared.value, size.to_numpy(np.int64), k.to_numpy(np.int64)
-        row = t[np.searchsorted(t[:, 1], s * base + k, "right") - 1]
-        at = s * base + k - row[:, 1]
-        return pd.DataFrame({"sequence_id": row[:, 3] + at // row[:, 4], "offset": row[:, 5] + at % row[:, 4] * s})
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = shared.value
+        for b in batches:
+            s, k = b.column("length").to_numpy(), b.column("_k").to_numpy()
+            row = t[np.searchsorted(t[:, 1], s * base + k, "right") - 1]
+            at = s * base + k - row[:, 1]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(row[:, 3] + at // row[:, 4]), pa.array(row[:, 5] + at % row[:, 4] * s)], [*names, "sequence_id", "offset"])
 
-    return numbered.withColumn("_at", place("length", "_k")).select("*", "_at.*").drop("_k", "_at")
+    kind = T.StructType([*(numbered.schema[c] for c in names), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return numbered.mapInArrow(lean(place), kind)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, scratch: Scratch | None = None, with_ids: bool = False) -> DataFrame:

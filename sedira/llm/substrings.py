@@ -26,8 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sedira.llm.common import Scratch, _powers, gathered, lean, mix, most_frequent, parts, read, slices, spans, text_buffers, word_hashes
 
@@ -167,17 +169,22 @@ def remove(docs: DataFrame, words: int = WORDS) -> DataFrame:
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), th.alias("th"))
     found = repeats(keyed, words)
     marks = found.withColumn("th", F.shiftrightunsigned("at", 32)).groupBy("doc_id", "th").agg(F.collect_set(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))).alias("marks"))
-    rows = docs.select(F.struct("*").alias("doc"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_id"), th.alias("_th"))
-    joined = rows.join(marks.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "marks"), ["_id", "_th"], "left").select("doc", "text", "marks")
+    rows = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_id"), th.alias("_th"))
+    joined = rows.join(marks.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "marks"), ["_id", "_th"], "left").select("doc", "marks")
+    kind = joined.schema["doc"].dataType
+    text = next(k for k, f in enumerate(kind.fields) if f.name.lower() == "text")
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    @F.pandas_udf("text string, n_sentences long, n_removed long, removed array<struct<start:long,end:long>>")
-    def cut(texts, marks):
-        import pandas as pd
-
-        out = [_cut(t, m) for t, m in zip(texts, marks)]
-        return pd.DataFrame(out, columns=["text", "n_sentences", "n_removed", "removed"])
-
-    return joined.withColumn("_cut", cut("text", "marks")).select("doc", "_cut.*")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc = b.column("doc")
+            out = list(zip(*(_cut(t, m) for t, m in zip(pc.struct_field(doc, text).cast(pa.string()).to_pylist(), b.column("marks").to_pylist())))) or [()] * 4
+            cols = [doc, *(pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.int64(), spans_type)))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc", "text", "n_sentences", "n_removed", "removed"])
+
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    fields = [("doc", kind), ("text", T.StringType()), ("n_sentences", T.LongType()), ("n_removed", T.LongType()), ("removed", T.ArrayType(span))]
+    return joined.mapInArrow(lean(cut), T.StructType([T.StructField(n, t) for n, t in fields]))
 
 
 def _cut(text: str | None, marks) -> tuple:
