@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedira.llm import jaccard, langid, mixing, packing, substrings
-from sedira.llm.common import Scratch, read
+from sedira.llm.common import WORD, Scratch, read
 
 #: A document whose spans are no surer of their languages than this (however many languages they are), or that has no letters, is rejected.
 LEAST_SURE = 0.25
@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the sentences of passages that occur earlier; those of which nothing is left go."""
     cut = substrings.remove(docs)
-    kept = cut.where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0))
+    kept = cut.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD))  # line breaks before the first sentence are nothing
     new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None}
     return kept.select(*(new[c].alias(c) if new.get(c) is not None else F.col("doc")[c].alias(c) for c in docs.columns))
 
