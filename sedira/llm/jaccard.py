@@ -12,7 +12,8 @@
    passage of many documents brings few candidates. Any order is exact; what counts as frequent only says how many groups
    are opened.
 4. Qualifying groups are opened: the members of the smaller one are held against all members of the other, exactly.
-   Members are dealt out in blocks, so no group has to fit into one task, and no pairs within a group are listed.
+   Members are dealt out in blocks, and the queries of a block in parts, so no group has to fit into one task and no
+   group that many others are held against keeps one busy; no pairs within a group are listed.
 5. Links are contracted to connected components, distributed.
 
 Shingles are 64-bit hashes (63 bits used, 57 of frequent ones); classes are told apart by 64 bits over the whole set.
@@ -37,6 +38,8 @@ from sedira.llm.common import bounds, components, gathered, lean, mix, most_freq
 FREQUENT, FREQUENT_MOST = 12, 1 << 18
 #: Members of a group that one task opens at a time; shingles of them, as a mean, that it holds (8 bytes each); hits it counts at once.
 BLOCK, BLOCK_SHINGLES, HITS = 2048, 1 << 21, 1 << 20
+#: Queries of other groups that one task holds against a block, as a mean; the block is repeated for every so many.
+ASKED = 1024
 #: Groups of a shingle that one task pairs with each other; blocks of more groups at most (each group is repeated for every block).
 WIDE, BLOCKS = 2048, 16
 #: Rows (two numbers each) of a table that is broadcast at most; beyond it the optimizer chooses the join.
@@ -373,11 +376,15 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | None
     size = asked.groupBy("gid").agg(F.count(F.lit(1)).alias("m"), blocks.alias("blocks"))
     a, b = (size.select(F.col("gid").alias(x), F.col("m").alias(f"m{x}"), F.col("blocks").alias(f"blocks{x}")) for x in "ab")
     smaller = F.col("ma") < F.col("mb")
-    into = pairs.join(a, "a").join(b, "b").select(F.when(smaller, F.col("a")).otherwise(F.col("b")).alias("gid"), F.when(smaller, F.col("b")).otherwise(F.col("a")).alias("into"), F.when(smaller, F.col("blocksb")).otherwise(F.col("blocksa")).alias("blocks"))
-    opened = into.select(F.col("into").alias("gid"), "blocks").distinct()
-    members = asked.join(opened, "gid").select("cls", F.xxhash64("gid", F.pmod("cls", "blocks")).alias("target"), F.lit(True).alias("member"), "rep")
-    queries = asked.join(into, "gid").select("cls", "rep", "into", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    queries = queries.select("cls", F.xxhash64("into", "block").alias("target"), F.lit(False).alias("member"), "rep")
+    into = pairs.join(a, "a").join(b, "b").select(F.when(smaller, F.col("a")).otherwise(F.col("b")).alias("gid"), F.when(smaller, F.col("b")).otherwise(F.col("a")).alias("into"), F.when(smaller, F.col("blocksb")).otherwise(F.col("blocksa")).alias("blocks"), F.least("ma", "mb").alias("asking"))
+    # a group that many others are held against: its queries are parted by a hash, and its blocks repeated for every part
+    opened = scratch.keep(into.groupBy(F.col("into").alias("gid")).agg(F.max("blocks").alias("blocks"), F.ceil(F.sum("asking") / ASKED).alias("asks")), "opened")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    members = asked.join(_small(opened), "gid").select("cls", "rep", "gid", F.pmod("cls", "blocks").alias("block"), each("asks").alias("ask"))
+    members = members.select("cls", F.xxhash64("gid", "block", "ask").alias("target"), F.lit(True).alias("member"), "rep")
+    into = into.join(_small(opened.select(F.col("gid").alias("into"), "asks")), "into")
+    queries = asked.join(into, "gid").select("cls", "rep", "into", F.pmod(F.xxhash64("cls"), "asks").alias("ask"), each("blocks").alias("block"))
+    queries = queries.select("cls", F.xxhash64("into", "block", "ask").alias("target"), F.lit(False).alias("member"), "rep")
     sets = scratch.keep(_tokens(docs, asked.select("cls", "doc_id"), k, frequent), "asked-sets")
     more = scratch.keep(open_groups(members.unionByName(queries).join(sets, "cls"), percent, p, search=False), "edges")
     scratch.drop("asked-sets")

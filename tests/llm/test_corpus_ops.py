@@ -435,6 +435,7 @@ def distinct_rows(documents):
 def test_jaccard(documents, k, percent, block, wide, monkeypatch):
     """Nulls and repeated rows are in; shingles, groups and blocks overflow."""
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "ASKED", block / 2)
     monkeypatch.setattr(jaccard, "WIDE", wide)
     rows = distinct_rows(documents)
     want = brute(list(enumerate(t for _, t in rows)), k, percent)
