@@ -39,7 +39,7 @@ FREQUENT, FREQUENT_MOST = 12, 1 << 18
 #: Members of a group that one task opens at a time; shingles of them, as a mean, that it holds (8 bytes each); hits it counts at once.
 BLOCK, BLOCK_SHINGLES, HITS = 2048, 1 << 21, 1 << 20
 #: Queries of other groups that one task holds against a block, as a mean; the block is repeated for every so many.
-ASKED = 1024
+ASKED = 4096
 #: Groups of a shingle that one task pairs with each other; blocks of more groups at most (each group is repeated for every block).
 WIDE, BLOCKS = 2048, 16
 #: Rows (two numbers each) of a table that is broadcast at most; beyond it the optimizer chooses the join.
