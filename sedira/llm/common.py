@@ -20,13 +20,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 18
 
 
-#: Rows of an Arrow batch at most: texts can be long, and a batch is held by the JVM and by Python at once.
-BATCH_ROWS = 1500
+#: Rows and bytes of an Arrow batch at most: texts and sets can be long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS, BATCH_BYTES = 1500, 8 << 20
 
 
 def _bound_batches(spark: SparkSession) -> None:
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, spread: bool = False) -> DataFrame:
