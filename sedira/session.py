@@ -19,6 +19,16 @@ SETTINGS = {
     "spark.sql.python.filterPushdown.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+#: Rows and bytes of an Arrow batch at most: texts and chunks can be long, and a batch is held by the JVM and by Python at once, in several forms.
+BATCH_ROWS, BATCH_BYTES = 1500, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session gives Python such batches; a narrower bound of its own stays."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def build(master: str | None = None, conf: dict[str, str] | None = None, name: str = "sedira") -> SparkSession:
