@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sedira.functions import binary, codec, digest, text, time
 from sedira.operators import bodyfile, relations, signatures
+from sedira.session import bound_batches
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -33,6 +34,13 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id and text of documents, for work that Python does on every byte: dealt to all cores, as one row group of a file is one task however large, in bounded batches."""
+    bound_batches(spark)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
+    return _t(spark, d, "documents").select("doc_id", "text").repartition(n, "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
@@ -384,7 +392,7 @@ def _codepage(charset: str):
     def run(spark, d):
         for setting in ("javaCharsets", "codingErrorAction"):
             spark.conf.set(f"spark.sql.legacy.{setting}", "true")
-        docs = _t(spark, d, "documents").select("doc_id", "text").withColumn("raw", codec.encode(F.col("text"), charset)).where("raw is not null")
+        docs = _texts(spark, d).withColumn("raw", codec.encode(F.col("text"), charset)).where("raw is not null")
         return docs.select("doc_id", codec.decode(F.col("raw"), charset).alias("text"))
 
     run.__name__ = f"codepage_{charset}"
@@ -611,7 +619,7 @@ def _deflated(spark, d, f):
         return v.map(lambda x: None if x is None else f(x.encode()))
 
     pack = F.pandas_udf(typed, "binary")
-    return _t(spark, d, "documents").select("doc_id", pack("text").alias("packed"))
+    return _texts(spark, d).select("doc_id", pack("text").alias("packed"))
 
 
 @query("SELECT doc_id, text FROM documents")
@@ -751,7 +759,7 @@ def _codec(name: str):
             return v.map(lambda x: None if x is None else pack(x.encode()))
 
         size = F.octet_length("text").cast("long")
-        return _t(spark, d, "documents").select("doc_id", compression.decompress(packed("text"), name, size).cast("string").alias("text"))
+        return _texts(spark, d).select("doc_id", compression.decompress(packed("text"), name, size).cast("string").alias("text"))
 
     run.__name__ = f"{name}_decode"
     query("SELECT doc_id, text FROM documents")(run)

@@ -107,3 +107,18 @@ def test_base64_strict_takes_whole_texts(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(3, "héllo " * 50_000), (5, "short")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["valid"] for r in catalog.queries()["base64_strict"](spark, str(tmp_path)).collect()}
     assert got == {3: True, 5: False}
+
+
+@pytest.mark.parametrize("name", ["codepage_windows1250", "codepage_koi8_r", "codepage_mac_celtic", "lznt1_decode", "lzxpress_decode", "lzxpress_huffman_decode", "bzip2_inflate"])
+def test_texts_are_dealt_out_in_bounded_batches(spark, tmp_path, name):
+    """One file of one row group is no task for one core alone, and Python gets some of its rows at a time."""
+    for setting in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{setting}")
+    rows = [(k, "a plain text " * (k % 7)) for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    df = catalog.queries()[name](spark, str(tmp_path))
+    assert {(r["doc_id"], r["text"]) for r in df.collect()} == set(rows)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1500
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= 8 << 20
+    sizes = [sum(1 for _ in part) for part in df.rdd.glom().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 200
