@@ -315,3 +315,34 @@ def test_lzfse():
     raw = b"bvx2" + struct.pack("<I", len(want)) + struct.pack("<QQQ", f0, f1, f2) + table + a + b
     raw += b"bvx-" + struct.pack("<I", 3) + b"end" + b"bvx$"
     assert compression.lzfse(raw) == bytes(want) + b"end"
+
+
+@pytest.mark.parametrize("name", ["adc", "lznt1", "lzvn", "lzfse", "lzxpress", "lzxpress_huffman"])
+def test_packers_of_odd_texts(name):
+    """What is packed comes out again, and packing is done by matches: its Python work is not by the byte."""
+    from sedira.functions import compression, packers
+
+    rng = random.Random(7)
+    texts = [b"", b"a", b"ab", b"abc", b"abcd" * 9, bytes(70_000), bytes(range(256)) * 300, b"x" * 279 + b"y" + b"x" * 600, rng.randbytes(9000), b"".join(rng.choice([b"alpha ", b"beta ", b"gamma, ", b"\xff\x00"]) for _ in range(30_000)), rng.randbytes(3) * 5000 + rng.randbytes(66_000), bytes((1 << 20) + 5)]
+    for t in texts:
+        assert compression.decompress_bytes(getattr(packers, name)(t), name, len(t)) == t
+    found = list(packers.matches(texts[9], 3, 279, 8192))
+    assert sum(len(a) + n for a, _, n in found) == len(texts[9])
+    assert all(0 <= d <= 8192 and n <= 279 for _, d, n in found)
+
+
+@pytest.mark.parametrize("name", ["lznt1", "lzxpress", "lzxpress_huffman"])
+def test_damaged_streams_end_with_an_error_or_bytes(name):
+    from sedira.functions import compression, packers
+
+    rng, text = random.Random(3), b"some text that repeats, some text that does not " * 40
+    whole = getattr(packers, name)(text)
+    for _ in range(300):
+        raw = bytearray(whole[: rng.randrange(len(whole) + 1)])
+        for _ in range(rng.randrange(4)):
+            if raw:
+                raw[rng.randrange(len(raw))] = rng.randrange(256)
+        try:
+            assert isinstance(compression.decompress_bytes(bytes(raw), name, len(text)), bytes)
+        except ValueError:
+            pass
