@@ -331,6 +331,46 @@ def test_packers_of_odd_texts(name):
     assert all(0 <= d <= 8192 and n <= 279 for _, d, n in found)
 
 
+def _adc_one_by_one(found):
+    out = bytearray()
+    for literals, distance, length in found:
+        for k in range(0, len(literals), 128):
+            out += bytes([0x7F + len(literals[k : k + 128])]) + literals[k : k + 128]
+        if length and distance <= 1024 and length <= 18:
+            out += bytes([(length - 3) << 2 | distance - 1 >> 8, distance - 1 & 255])
+        elif length:
+            out += bytes([0x40 | length - 4, distance - 1 >> 8, distance - 1 & 255])
+    return bytes(out)
+
+
+def _lzvn_one_by_one(found):
+    out = bytearray()
+    for literals, distance, length in found:
+        for p in (literals[k : k + 271] for k in range(0, len(literals), 271)):
+            out += (bytes([0xE0, len(p) - 16]) if len(p) > 15 else bytes([0xE0 | len(p)])) + p
+        if length:
+            first = min(length, 10)
+            rest = length - first
+            out += bytes([(first - 3) << 3 | 7]) + struct.pack("<H", distance) + (bytes([0xF0, rest - 16]) if rest > 15 else bytes([0xF0 | rest]) if rest else b"")
+    return bytes(out) + b"\x06" + bytes(7)
+
+
+@pytest.mark.parametrize(("name", "most", "far", "one_by_one"), [("adc", 67, 65536, _adc_one_by_one), ("lzvn", 281, 65535, _lzvn_one_by_one)])
+def test_streams_are_laid_out_at_once(monkeypatch, name, most, far, one_by_one):
+    """The same bytes as token by token, but without a step of Python for each token."""
+    from sedira.functions import packers
+
+    rng = random.Random(11)
+    texts = [b"", b"abc", rng.randbytes(700), bytes(3000), b"ab" * 900 + rng.randbytes(300) * 2, b"".join(rng.choice([b"one ", b"two ", b"\x00\xff", b"three "]) for _ in range(9000)), bytes((1 << 20) + 9)]
+    want = [one_by_one(packers.matches(t, 4, most, far)) for t in texts]
+
+    def token_by_token(*_):
+        raise AssertionError("tokens one by one")
+
+    monkeypatch.setattr(packers, "matches", token_by_token)
+    assert [getattr(packers, name)(t) for t in texts] == want
+
+
 @pytest.mark.parametrize("name", ["lznt1", "lzxpress", "lzxpress_huffman"])
 def test_damaged_streams_end_with_an_error_or_bytes(name):
     from sedira.functions import compression, packers
