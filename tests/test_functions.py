@@ -371,6 +371,20 @@ def test_streams_are_laid_out_at_once(monkeypatch, name, most, far, one_by_one):
     assert [getattr(packers, name)(t) for t in texts] == want
 
 
+def test_matches_of_a_block_are_looked_for_once():
+    """The blocks of an image are packed by one codec after the other; the streams do not depend on what was kept."""
+    from sedira.functions import packers
+
+    rng = random.Random(5)
+    blocks = [b"".join(rng.choice([b"red ", b"green ", b"blue, "]) for _ in range(20_000))[:n] for n in (65536, 65536, 900)]
+    packers._candidates.cache_clear()
+    first = [packers.adc(b) for b in blocks]
+    packed = [packers.lzvn(b) for b in blocks]
+    assert packers._candidates.cache_info()[:2] == (3, 3)
+    packers._candidates.cache_clear()
+    assert packed == [packers.lzvn(b) for b in blocks] and first == [packers.adc(b) for b in blocks]
+
+
 @pytest.mark.parametrize("name", ["lznt1", "lzxpress", "lzxpress_huffman"])
 def test_damaged_streams_end_with_an_error_or_bytes(name):
     from sedira.functions import compression, packers
