@@ -68,9 +68,10 @@ def hierarchy_report(spark: SparkSession, path: str | Made, **o: str) -> DataFra
 
 def verify_report(spark: SparkSession, path: str | Made) -> DataFrame:
     """path, kind, stored, computed and verified of the digests that images carry."""
-    from sedira.operators.relations import stream_digests
+    from sedira.operators.relations import made_digests, stream_digests
 
     stored = _read(spark, "image_info", path).where("_error is null").select("path", F.explode("stored").alias("kind", "stored"))
-    computed = stream_digests(_read(spark, "image_chunks", path), ("md5", "sha1"), "path", placed=isinstance(path, Made))
+    kinds = ("md5", "sha1")
+    computed = made_digests(path, "image_chunks", kinds) if isinstance(path, Made) else stream_digests(_read(spark, "image_chunks", path), kinds, "path")
     both = stored.join(computed, "path").withColumn("computed", F.when(F.col("kind") == "md5", F.col("md5")).otherwise(F.col("sha1")))
     return both.select("path", "kind", "stored", "computed", (F.col("stored") == F.col("computed")).alias("verified"))
